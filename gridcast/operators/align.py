@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridcast.operators.grid import complete_rows
 from gridcast.plans.chunks import by
 
 OVERALL = "__overall__"
@@ -21,7 +22,7 @@ def align_xy(
     x: DataFrame, y: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), ts: str = "ts"
 ) -> DataFrame:
     """Features and labels of two tables on the same rows; incomplete rows dropped."""
-    return join_feeds(x, y, keys, ts).dropna(how="any", subset=list(cols))
+    return complete_rows(join_feeds(x, y, keys, ts), cols)
 
 
 def _bucket(on: Column, width: float) -> Column:

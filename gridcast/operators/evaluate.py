@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.operators.align import OVERALL, with_baseline
+from gridcast.operators.grid import complete_rows
 from gridcast.operators.split import time_split
 from gridcast.plans.chunks import POS, TOTAL, positions, salted_join, windowed
 from gridcast.spec import SeriesSpec
@@ -36,7 +37,7 @@ def to_long(
 def persistence_one(df: DataFrame, spec: SeriesSpec, targets: Sequence[str]) -> DataFrame:
     """Predict the previous value; rows with any missing prediction are dropped."""
     out = windowed(df, spec, [lambda w: {f"__p_{c}": F.lag(c, 1).over(w) for c in targets}], back=1)
-    out = out.dropna(how="any", subset=[f"__p_{c}" for c in targets])
+    out = complete_rows(out, [f"__p_{c}" for c in targets])
     return to_long(out, {c: (c, f"__p_{c}") for c in targets}, [*spec.keys, spec.ts])
 
 
@@ -47,7 +48,7 @@ def persistence_in_split(
     out = windowed(
         df, spec, [lambda w: {f"__f_{c}": F.lead(c, k).over(w) for c in targets}], ahead=k, extra_keys=[split]
     )
-    out = out.dropna(how="any", subset=[f"__f_{c}" for c in targets])
+    out = complete_rows(out, [f"__f_{c}" for c in targets])
     return to_long(out, {c: (f"__f_{c}", c) for c in targets}, [*spec.keys, spec.ts, split])
 
 

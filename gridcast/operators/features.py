@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
+from gridcast.operators.grid import complete_rows
 from gridcast.plans.chunks import POS, positions, windowed
 from gridcast.spec import SeriesSpec
 
@@ -148,7 +149,7 @@ def official_features(
         raise ValueError(f"target lags are not allowed here: {leaks}")
     shown = [F.col(n) if not bounds or n not in bounds else clip(F.col(n), *bounds[n]).alias(n) for n in names]
     out = out.select(*spec.keys, spec.ts, *shown)
-    return out.dropna(how="any", subset=names) if dropna else out
+    return complete_rows(out, names) if dropna else out
 
 
 def supervised(
@@ -181,7 +182,7 @@ def supervised(
     out = windowed(source, spec, [stage], back=reach(new), ahead=k)
     labels = [f"y_{c}" for c in targets]
     out = out.select(*spec.keys, spec.ts, *names, *labels)
-    return out.dropna(how="any", subset=[*names, *labels]) if dropna else out
+    return complete_rows(out, [*names, *labels]) if dropna else out
 
 
 def features_from_list(df: DataFrame, spec: SeriesSpec, names: Sequence[str]) -> DataFrame:
