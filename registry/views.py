@@ -85,7 +85,7 @@ def racks(spark: SparkSession, sf: str) -> DataFrame:
 
 def xy(spark: SparkSession, sf: str, k: int = 3) -> DataFrame:
     """Complete rows of features and labels, with the split."""
-    ds = supervised(racks(spark, sf), RACKS, EXOG, TARGETS, k=k)
+    ds = materialize(supervised(racks(spark, sf), RACKS, EXOG, TARGETS, k=k))
     return time_split(ds, RACKS_RAW)
 
 
@@ -96,10 +96,6 @@ def predictions(spark: SparkSession, sf: str, k: int = 3) -> DataFrame:
     return persistence_series(racks(spark, sf), RACKS, TARGETS, k)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    return materialize(df)
-
-
 # --- the same views as DuckDB common tables -------------------------------
 
 def grid_sql(name: str, key: str, source: str, step: int, cols: list[str], origin: int = 0) -> str:
