@@ -8,11 +8,15 @@ may be turned into literals with ``pooled``.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.plans.chunks import salted_join
+from gridcast.plans.storage import materialize
 
 _FACTS = "__facts"
 
@@ -43,10 +47,7 @@ def quantiles(
     """Exact, linearly interpolated quantiles: (keys, one array column per column).
 
     Small groups go through ``percentile``. It holds every distinct value of a
-    group, so for larger ones the values are narrowed first: a bounded sketch
-    brackets each wanted rank, exact counts place the rank inside the bracket,
-    and this repeats until at most ``limit`` values lie in it (or they are all
-    equal). Each round keeps about 2 % of the rows, whatever the distribution.
+    group, so larger ones are narrowed to at most ``limit`` values first.
     """
     most = df.groupBy(*keys).agg(*[F.count(c).alias(c) for c in cols]).agg(
         *[F.max(c).alias(c) for c in cols]
@@ -55,88 +56,147 @@ def quantiles(
         return df.groupBy(*keys).agg(
             *[F.percentile(c, F.array(*[F.lit(float(q)) for q in qs])).alias(c) for c in cols]
         )
-    return _narrowed_quantiles(df, cols, qs, keys, limit)
+    return _narrowed_quantiles(df.select(*keys, *cols), cols, qs, keys, limit)
+
+
+_CELLS = 200  # steps of the sketch; a round keeps about three of them
+
+
+@dataclass(frozen=True)
+class _Slot:
+    """The search for one order statistic: its rank, and the open interval
+    (lo, hi) it lies in, with ``below`` values up to lo and ``inner`` inside."""
+
+    col: str
+    name: str
+    rank: Column
+
+    def __getattr__(self, field: str) -> str:
+        if field in ("lo", "hi", "val", "below", "inner"):
+            return f"{field}{self.name}"
+        raise AttributeError(field)
+
+    @property
+    def fields(self) -> list[str]:
+        return [self.lo, self.hi, self.val, self.below, self.inner]
+
+    def inside(self) -> Column:
+        c, lo, hi = F.col(self.col), F.col(self.lo), F.col(self.hi)
+        return F.when(
+            F.col(self.val).isNull() & (lo.isNull() | (c > lo)) & (hi.isNull() | (c < hi)), c
+        )
 
 
 def _narrowed_quantiles(
-    df: DataFrame, cols: Sequence[str], qs: Sequence[float], keys: Sequence[str], limit: int
+    data: DataFrame, cols: Sequence[str], qs: Sequence[float], keys: Sequence[str], limit: int
 ) -> DataFrame:
-    cells = 200
-    grid = [i / cells for i in range(cells + 1)]
-    slots = [(c, i, f"__{j}_{i}") for j, c in enumerate(cols) for i in range(len(qs))]
-    data = df.select(*keys, *cols)
-    state = data.groupBy(*keys).agg(
-        *[F.count(c).alias(f"__n_{j}") for j, c in enumerate(cols)],
-        *[F.min(c).alias(f"lo{s}") for c, _, s in slots],
-        *[F.max(c).alias(f"hi{s}") for c, _, s in slots],
+    """Exact selection of the order statistics on either side of each quantile.
+
+    A round takes a bounded sketch of the values still inside, reads two pivots
+    around the wanted rank off it and counts exactly how many values lie below
+    and at them. The statistic is then one of the pivots or lies strictly
+    between, beneath or above them, so ties and heavy tails are no obstacle. A
+    round leaves about 2 % of the values; the state is one row per group.
+    """
+    size = {c: f"__n{j}" for j, c in enumerate(cols)}
+    at = {(c, i): (F.col(size[c]) - 1) * F.lit(float(q)) for c in cols for i, q in enumerate(qs)}
+    slots = {
+        (c, i, side): _Slot(c, f"__{j}_{i}{side}", fn(at[c, i]))
+        for j, c in enumerate(cols)
+        for i in range(len(qs))
+        for side, fn in (("f", F.floor), ("c", F.ceil))
+    }
+    all_slots = list(slots.values())
+    state_cols = [*size.values(), *[f for s in all_slots for f in s.fields]]
+    nothing = F.lit(None).cast("double")
+    state = data.groupBy(*keys).agg(*[F.count(c).alias(n) for c, n in size.items()]).withColumns(
+        {f: nothing for s in all_slots for f in (s.lo, s.hi, s.val)}
+        | {s.below: F.lit(0).cast("long") for s in all_slots}
+        | {s.inner: F.col(size[s.col]) for s in all_slots}
     )
-    count_of = {c: f"__n_{j}" for j, c in enumerate(cols)}
-    rank = {s: (F.col(count_of[c]) - 1) * F.lit(float(qs[i])) for c, i, s in slots}
-    limits = [x for _, _, s in slots for x in (f"lo{s}", f"hi{s}")]
+
+    def kept() -> list[Column]:
+        return [F.first(c).alias(c) for c in state_cols]
+
+    def is_open(s: _Slot) -> Column:
+        return F.col(s.val).isNull() & (F.col(s.inner) > limit)
 
     while True:
-        joined = salted_join(data, state, keys, cols)
-        inside = {s: F.when(F.col(c).between(F.col(f"lo{s}"), F.col(f"hi{s}")), F.col(c)) for c, _, s in slots}
-        counted = joined.groupBy(*keys).agg(
-            *[F.first(x).alias(x) for x in [*count_of.values(), *limits]],
-            *[F.count_if(F.col(c) < F.col(f"lo{s}")).alias(f"below{s}") for c, _, s in slots],
-            *[F.count(inside[s]).alias(f"in{s}") for _, _, s in slots],
-            *[F.percentile_approx(inside[s], grid, 20 * cells).alias(f"sk{s}") for _, _, s in slots],
+        state = materialize(state)
+        if not state.where(reduce(or_, [is_open(s) for s in all_slots])).take(1):
+            break
+        steps = [i / _CELLS for i in range(_CELLS + 1)]
+        sketch = salted_join(data, state, keys, cols).groupBy(*keys).agg(
+            *kept(),
+            *[
+                F.percentile_approx(F.when(is_open(s), s.inside()), steps, 20 * _CELLS).alias(f"sk{s.name}")
+                for s in all_slots
+            ],
         )
-        counted = counted.persist()
-        open_slots = counted.agg(
+        pivots = {}
+        for s in all_slots:
+            share = (s.rank - F.col(s.below)) / F.greatest(F.col(s.inner) - 1, F.lit(1))
+            cell = F.floor(share * _CELLS).cast("int")
+            pivots[f"p{s.name}"] = F.get(f"sk{s.name}", F.greatest(cell - 1, F.lit(0)))
+            pivots[f"q{s.name}"] = F.get(f"sk{s.name}", F.least(cell + 2, F.lit(_CELLS)))
+        chosen = sketch.withColumns(pivots).select(*keys, *state_cols, *pivots)
+        counted = salted_join(data, chosen, keys, cols).groupBy(*keys).agg(
+            *kept(),
+            *[F.first(p).alias(p) for p in pivots],
             *[
-                F.max(F.when(F.col(f"lo{s}") < F.col(f"hi{s}"), F.col(f"in{s}")).otherwise(0)).alias(s)
-                for _, _, s in slots
-            ]
-        ).first()
-        if max((v or 0) for v in open_slots) <= limit:
-            break
-        narrowed = {}
-        for _, _, s in slots:
-            share = (rank[s] - F.col(f"below{s}")) / F.greatest(F.col(f"in{s}") - 1, F.lit(1))
-            cell = F.floor(share * cells).cast("int")
-            narrow = F.col(f"in{s}") > limit
-            narrowed[f"lo{s}"] = F.when(
-                narrow, F.element_at(f"sk{s}", F.greatest(cell, F.lit(1)))
-            ).otherwise(F.col(f"lo{s}"))
-            narrowed[f"hi{s}"] = F.when(
-                narrow, F.element_at(f"sk{s}", F.least(cell + 3, F.lit(cells + 1)))
-            ).otherwise(F.col(f"hi{s}"))
-        state = counted.withColumns(narrowed).select(*keys, *count_of.values(), *limits)
-
-    kept = [*count_of.values(), *limits, *[f"below{s}" for _, _, s in slots]]
-    joined = salted_join(data, counted.select(*keys, *kept), keys, cols)
-    picked = joined.groupBy(*keys).agg(
-        *[F.first(x).alias(x) for x in kept],
-        *[
-            F.sort_array(
-                F.collect_list(
-                    F.when(
-                        F.col(c).between(F.col(f"lo{s}"), F.col(f"hi{s}"))
-                        & (F.col(f"lo{s}") < F.col(f"hi{s}")),
-                        F.col(c),
-                    )
+                F.count_if(test).alias(f"{tag}{s.name}")
+                for s in all_slots
+                for tag, test in (
+                    ("a", F.col(s.col) < F.col(f"p{s.name}")),
+                    ("b", F.col(s.col) <= F.col(f"p{s.name}")),
+                    ("d", F.col(s.col) < F.col(f"q{s.name}")),
+                    ("e", F.col(s.col) <= F.col(f"q{s.name}")),
                 )
-            ).alias(f"vals{s}")
-            for c, _, s in slots
-        ],
+            ],
+        )
+        state = counted.withColumns(
+            {f: e for s in all_slots for f, e in _advance(s, is_open(s)).items()}
+        ).select(*keys, *state_cols)
+
+    picked = salted_join(data, state, keys, cols).groupBy(*keys).agg(
+        *kept(), *[F.sort_array(F.collect_list(s.inside())).alias(f"in{s.name}") for s in all_slots]
     )
 
-    def value(s: str) -> Column:
-        at = rank[s] - F.col(f"below{s}")
-        low = F.element_at(f"vals{s}", (F.floor(at) + 1).cast("int"))
-        high = F.element_at(f"vals{s}", (F.ceil(at) + 1).cast("int"))
-        return F.when(F.col(f"lo{s}") == F.col(f"hi{s}"), F.col(f"lo{s}")).otherwise(
-            low + (high - low) * (at - F.floor(at))
-        )
+    def statistic(s: _Slot) -> Column:
+        return F.coalesce(F.col(s.val), F.get(f"in{s.name}", (s.rank - F.col(s.below)).cast("int")))
+
+    def value(c: str, i: int) -> Column:
+        low, high = statistic(slots[c, i, "f"]), statistic(slots[c, i, "c"])
+        return low + (high - low) * (at[c, i] - F.floor(at[c, i]))
 
     return picked.select(
-        *keys,
-        *[F.array(*[value(s) for c2, _, s in slots if c2 == c]).alias(c) for c in cols],
+        *keys, *[F.array(*[value(c, i) for i in range(len(qs))]).alias(c) for c in cols]
     )
 
 
+def _advance(s: _Slot, still_open: Column) -> dict[str, Column]:
+    """The state of a slot after its pivots p <= q have been counted."""
+    p, q = F.col(f"p{s.name}"), F.col(f"q{s.name}")
+    a, b, d, e = (F.col(f"{t}{s.name}") for t in "abde")
+    lo, hi, val, below, inner = (F.col(f) for f in s.fields)
+    r = s.rank
+    end = below + inner
+
+    def case(beneath, at_p, between, at_q, above, closed) -> Column:
+        return (
+            F.when(~still_open, closed).when(r < a, beneath).when(r < b, at_p)
+            .when(r < d, between).when(r < e, at_q).otherwise(above)
+        )
+
+    return {
+        s.lo: case(lo, lo, p, lo, q, lo),
+        s.hi: case(p, hi, q, hi, hi, hi),
+        s.val: case(val, p, val, q, val, val),
+        s.below: case(below, below, b, below, e, below),
+        s.inner: case(a - below, inner, d - b, inner, end - e, inner),
+    }
+
+
 def winsor_bounds(
     train: DataFrame,
     cols: Sequence[str],
