@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import chain
 
 from pyspark.sql import Column
@@ -59,6 +60,7 @@ UNUSED_LABEL = "Temperature (1)"
 UNUSED_CHANNEL = "temp_unused_channel"
 
 NON_WORD = r"(?U)[^\w]+"
+SPACE = " \t\n\r\f\v"
 
 
 def rename(c: Column, names: dict[str, str]) -> Column:
@@ -87,18 +89,31 @@ def clean_probe_label(c: Column) -> Column:
     Missing parts become ``pos?`` and ``u?``, whose marks turn into ``_``; labels
     of another shape are lower-cased and snake-cased.
     """
-    k = F.regexp_replace(c, r"^\s+|\s+$", "")
+    return _let(F.btrim(c, F.lit(SPACE)), _clean_trimmed_label)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also inside array lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _clean_trimmed_label(k: Column) -> Column:
     shape = r"^Temperature\s*\((.*?)\)"
-    parts = F.split(F.lower(F.regexp_extract(k, shape, 1)), "-")
-    parts = F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
-    cabin = F.regexp_replace(F.get(parts, F.lit(0)), r"\s+", "")
-    pos = F.coalesce(F.get(parts, F.lit(1)), F.lit("pos?"))
-    height = F.coalesce(F.get(parts, F.lit(2)), F.lit("u?"))
-    placed = F.concat(F.lit("temp_"), cabin, F.lit("_"), pos, F.lit("_"), height, F.lit("_c"))
+
+    def placed(parts: Column) -> Column:
+        cabin = F.regexp_replace(F.get(parts, F.lit(0)), r"\s+", "")
+        pos = F.coalesce(F.btrim(F.get(parts, F.lit(1)), F.lit(SPACE)), F.lit("pos?"))
+        height = F.coalesce(F.btrim(F.get(parts, F.lit(2)), F.lit(SPACE)), F.lit("u?"))
+        name = F.concat(F.lit("temp_"), cabin, F.lit("_"), pos, F.lit("_"), height, F.lit("_c"))
+        return F.regexp_replace(name, NON_WORD, "_")
+
     other = F.replace(F.lower(k), F.lit("temperature"), F.lit("temp"))
     return (
         F.when(k == UNUSED_LABEL, UNUSED_CHANNEL)
-        .when(F.regexp_like(k, F.lit(shape)), F.regexp_replace(placed, NON_WORD, "_"))
+        .when(
+            k.startswith("Temperature") & F.regexp_like(k, F.lit(shape)),
+            _let(F.split(F.lower(F.regexp_extract(k, shape, 1)), "-"), placed),
+        )
         .otherwise(F.regexp_replace(other, NON_WORD, "_"))
     )
 

@@ -64,8 +64,8 @@ def persistence_series(
 
     The truth may lie in the next split; the last k rows of the series drop out.
     """
-    out = windowed(df, spec, [lambda w: {f"__f_{c}": F.lead(c, k).over(w) for c in targets}], ahead=k)
-    out = time_split(out, spec, train, val)
+    rows = time_split(df.select(*spec.keys, spec.ts, *targets), spec, train, val)
+    out = windowed(rows, spec, [lambda w: {f"__f_{c}": F.lead(c, k).over(w) for c in targets}], ahead=k)
     return to_long(out, {c: (f"__f_{c}", c) for c in targets}, [*spec.keys, spec.ts, "split"])
 
 

@@ -26,10 +26,21 @@ def split_cuts(
 ) -> DataFrame:
     """Per entity the first timestamp of ``val`` and of ``test``.
 
-    Only keys and timestamps are read; only the buckets holding a cut are sorted.
+    Only keys and timestamps are read. A gap-free series is cut by its first and
+    last timestamp; else only the buckets holding a cut are sorted.
     """
     _fractions(train, val, test)
     train_end, val_end = _ends(train, val)
+    if spec.gap_free:
+        span = df.groupBy(*spec.keys).agg(
+            F.min(spec.index()).alias(POS), (F.max(spec.index()) - F.min(spec.index()) + 1).alias(TOTAL)
+        )
+
+        def start(end):
+            # no row starts a split that lies behind the last one
+            return F.when(end < F.col(TOTAL), spec.index_to_ts(F.col(POS) + end))
+
+        return span.select(*spec.keys, start(train_end).alias("val_from"), start(val_end).alias("test_from"))
     hit = rows_at_rank(df.select(*spec.keys, spec.ts), spec, [train_end, val_end])
     return hit.groupBy(*spec.keys).agg(
         F.max(F.when(F.col(POS) == train_end, F.col(spec.ts))).alias("val_from"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridcast.functions.scalars import to_number
 
 _SHAPE = "map<string,array<map<string,string>>>"
-_SPACE = r"^\s*$"
+_EMPTY = r"^\s*(\{\s*\}\s*)?$"
 
 
 def read_log(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -23,25 +23,26 @@ def _literal(line: Column) -> Column:
     """``None``, ``True``, ``False`` in value position as JSON spells them."""
     out = line
     for python, json in (("None", "null"), ("True", "true"), ("False", "false")):
-        out = F.regexp_replace(out, rf":\s*{python}\s*(?=[,}}])", f": {json}")
+        plain = F.regexp_replace(out, rf":\s*{python}\s*(?=[,}}])", f": {json}")
+        out = F.when(line.contains(python), plain).otherwise(out)
     return out
 
 
 def parse_lines(df: DataFrame, line: str = "line") -> DataFrame:
-    """Add ``ts``, ``items`` and ``bad`` to non-blank lines; ``{}`` is skipped.
+    """Add ``ts`` and ``items`` to the lines; blank and ``{}`` lines are skipped.
 
-    The first key of a line is its timestamp. Lines that do not parse, or whose
-    timestamp does not, are marked ``bad``.
+    The first key of a line is its timestamp. Both are NULL for a line that does
+    not parse or whose timestamp does not. No condition is put on parsed columns
+    here: it would be pushed below and parse every line a second time.
     """
     parsed = F.from_json(_literal(F.col(line)), _SHAPE, {"allowSingleQuotes": "true"})
-    out = df.where(~F.regexp_like(F.col(line), F.lit(_SPACE))).withColumn("__p", parsed)
-    out = out.where(F.col("__p").isNull() | (F.size("__p") > 0))
-    stamp = F.get(F.map_keys("__p"), F.lit(0))
-    return (
-        out.withColumn("ts", F.try_to_timestamp(stamp))
-        .withColumn("items", F.get(F.map_values("__p"), F.lit(0)))
-        .withColumn("bad", F.col("ts").isNull() | F.col("items").isNull())
-        .drop("__p")
+    out = df.where(~F.regexp_like(F.col(line), F.lit(_EMPTY))).withColumn("__p", parsed)
+    ts = F.try_to_timestamp(F.get(F.map_keys("__p"), F.lit(0)))
+    items = F.get(F.map_values("__p"), F.lit(0))
+    return out.select(
+        *df.columns,
+        F.when(items.isNotNull(), ts).alias("ts"),
+        F.when(ts.isNotNull(), items).alias("items"),
     )
 
 
@@ -61,9 +62,9 @@ def sensor_rows(
         raise ValueError(f"unknown mode: {mode}")
     if mode == "FAILFAST":
         reason = F.concat(F.lit("bad sensor line: "), F.col(line))
-        good = parsed.withColumn("items", F.when(F.col("bad"), F.raise_error(reason)).otherwise(F.col("items")))
+        good = parsed.withColumn("items", F.when(F.col("items").isNull(), F.raise_error(reason)).otherwise(F.col("items")))
     else:
-        good = parsed.where(~F.col("bad"))
+        good = parsed
     entries = F.flatten(F.transform("items", F.map_entries))
     good = good.withColumn(
         "__e", F.transform(entries, lambda e: F.struct(clean(e["key"]).alias("channel"), e["value"].alias("raw")))
@@ -76,10 +77,10 @@ def sensor_rows(
         good.withColumn("__r", F.explode(last))
         .withColumn("channel", F.col("__r.channel"))
         .withColumn("value", to_number(F.col("__r.raw")))
-        .drop("__e", "__names", "__r", "items", "bad", line)
+        .drop("__e", "__names", "__r", "items", line)
     )
 
 
 def bad_lines(parsed: DataFrame) -> DataFrame:
     """The quarantine: lines ``sensor_rows`` leaves out in PERMISSIVE mode."""
-    return parsed.where("bad").drop("ts", "items", "bad")
+    return parsed.where("items IS NULL").drop("ts", "items")
