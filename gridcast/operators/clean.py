@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridcast.functions.names import FEATURE_PATTERNS, PREFERRED_FEATURES
 from gridcast.functions.scalars import mask_zero
-from gridcast.plans.chunks import salted_join
+from gridcast.plans.chunks import join_facts
 
 TARGET_PATTERN = "^temp_cabin.*_c$"
 
@@ -47,7 +47,7 @@ def drop_dead_channels(
         .where((F.col("__sum") > 0) & ~F.col(channel).contains(unused))
         .drop("__sum")
     )
-    return salted_join(df, alive, groups, [value, *[c for c in df.columns if c not in groups]], "left_semi")
+    return join_facts(df, alive, groups, [value, *[c for c in df.columns if c not in groups]], "left_semi")
 
 
 def drop_duplicate_unit(
@@ -69,7 +69,7 @@ def drop_duplicate_unit(
     has = df.groupBy(*keys).agg(F.max(F.col(channel) == twin).alias("__twin"))
     spread = [c for c in df.columns if c not in keys]
     return (
-        salted_join(df, has, keys, spread)
+        join_facts(df, has, keys, spread)
         .where((F.col(channel) != duplicate) | ~F.col("__twin"))
         .drop("__twin")
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gridcast.operators.align import OVERALL, with_baseline
 from gridcast.operators.grid import complete_rows
 from gridcast.operators.split import time_split
-from gridcast.plans.chunks import POS, TOTAL, positions, salted_join, windowed
+from gridcast.plans.chunks import POS, TOTAL, join_facts, positions, salted_join, windowed
 from gridcast.spec import SeriesSpec
 
 
@@ -163,7 +163,7 @@ def residual_histogram(pred: DataFrame, bins: int = 50) -> DataFrame:
     )
     slot = F.width_bucket(F.col("residual"), F.col("lo"), F.col("hi"), F.lit(bins))
     return (
-        salted_join(rows, spans, ["target"], ["residual"])
+        join_facts(rows, spans, ["target"], ["residual"])
         .withColumn("bin", F.least(slot, F.lit(bins)).cast("int"))
         .groupBy("target", "bin")
         .agg(F.count(F.lit(1)).alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.plans.chunks import POS, TOTAL, positions, rows_at_rank, salted_join
+from gridcast.plans.chunks import POS, TOTAL, join_facts, positions, rows_at_rank
 from gridcast.spec import SeriesSpec
 
 
@@ -63,7 +63,7 @@ def time_split(
     sorted; timestamps must be unique per entity.
     """
     cuts = split_cuts(df, spec, train, val, test)
-    joined = salted_join(df, cuts, spec.keys, [spec.ts], "left")
+    joined = join_facts(df, cuts, spec.keys, [spec.ts], "left")
     ts = F.col(spec.ts)
     label = (
         F.when(F.col("val_from").isNull() | (ts < F.col("val_from")), "train")

@@ -15,7 +15,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridcast.plans.chunks import salted_join
+from gridcast.plans.chunks import join_facts
 from gridcast.plans.storage import materialize
 
 _FACTS = "__facts"
@@ -126,7 +126,7 @@ def _narrowed_quantiles(
         if not state.where(reduce(or_, [is_open(s) for s in all_slots])).take(1):
             break
         steps = [i / _CELLS for i in range(_CELLS + 1)]
-        sketch = salted_join(data, state, keys, cols).groupBy(*keys).agg(
+        sketch = join_facts(data, state, keys, cols, stored=True).groupBy(*keys).agg(
             *kept(),
             *[
                 F.percentile_approx(F.when(is_open(s), s.inside()), steps, 20 * _CELLS).alias(f"sk{s.name}")
@@ -140,7 +140,7 @@ def _narrowed_quantiles(
             pivots[f"p{s.name}"] = F.get(f"sk{s.name}", F.greatest(cell - 1, F.lit(0)))
             pivots[f"q{s.name}"] = F.get(f"sk{s.name}", F.least(cell + 2, F.lit(_CELLS)))
         chosen = sketch.withColumns(pivots).select(*keys, *state_cols, *pivots)
-        counted = salted_join(data, chosen, keys, cols).groupBy(*keys).agg(
+        counted = join_facts(data, chosen, keys, cols).groupBy(*keys).agg(
             *kept(),
             *[F.first(p).alias(p) for p in pivots],
             *[
@@ -158,7 +158,7 @@ def _narrowed_quantiles(
             {f: e for s in all_slots for f, e in _advance(s, is_open(s)).items()}
         ).select(*keys, *state_cols)
 
-    picked = salted_join(data, state, keys, cols).groupBy(*keys).agg(
+    picked = join_facts(data, state, keys, cols, stored=True).groupBy(*keys).agg(
         *kept(), *[F.sort_array(F.collect_list(s.inside())).alias(f"in{s.name}") for s in all_slots]
     )
 
@@ -275,7 +275,7 @@ def _with_facts(df: DataFrame, stats: DataFrame, keys: Sequence[str], cols: Sequ
     facts = stats.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("column", F.struct(*fields)))).alias(_FACTS)
     )
-    return salted_join(df, facts, keys, cols, "left")
+    return join_facts(df, facts, keys, cols, "left", width=len(cols) * len(fields))
 
 
 def _apply(
@@ -343,7 +343,7 @@ def zscore_full(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) ->
     stats = df.groupBy(*keys).agg(
         *[F.avg(c).alias(f"__m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"__s_{c}") for c in cols]
     )
-    joined = salted_join(df, stats, keys, cols)
+    joined = join_facts(df, stats, keys, cols)
     scale = {c: F.when(F.col(f"__s_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"__s_{c}")) for c in cols}
     return joined.withColumns(
         {f"{c}_z": (F.col(c) - F.col(f"__m_{c}")) / scale[c] for c in cols}

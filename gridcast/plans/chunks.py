@@ -23,6 +23,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from gridcast.plans.storage import materialize
 from gridcast.spec import SeriesSpec, floor_div
 
 POS, CHUNK, BUCKET, HOME = "__pos", "__chunk", "__bucket", "__home"
@@ -43,17 +44,45 @@ def salted_join(
     spread: Sequence[str],
     how: str = "inner",
     salts: int = 32,
+    known_small: bool = False,
 ) -> DataFrame:
     """Join one-row-per-entity facts to many rows per entity.
 
     A hot entity is spread over ``salts`` groups by the hash of the ``spread``
-    columns. Catalyst still broadcasts ``small`` when its size allows.
+    columns. ``known_small`` says that the size of ``small`` has been checked.
     """
     left = df.withColumn(SALT, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = small.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if known_small:
+        right = F.broadcast(right)
     return left.join(right, [*keys, SALT], how).drop(SALT)
 
 
+def join_facts(
+    df: DataFrame,
+    facts: DataFrame,
+    keys: Sequence[str],
+    spread: Sequence[str],
+    how: str = "inner",
+    width: int | None = None,
+    max_cells: int = 2_000_000,
+    stored: bool = False,
+) -> DataFrame:
+    """Join fitted facts (one row per entity) to the rows they belong to.
+
+    The facts are written once (unless ``stored``) and counted. Up to ``max_cells`` values (rows
+    times ``width``) they are broadcast, so the rows are not shuffled at all;
+    beyond that a salted join takes over.
+    """
+    facts = facts if stored else materialize(facts)
+    most = max_cells // (width or len(facts.columns))
+    if facts.limit(most + 1).count() > most:
+        return salted_join(df, facts, keys, spread, how)
+    if keys:
+        return df.join(F.broadcast(facts), list(keys), how)
+    return salted_join(df, facts, keys, spread, how, known_small=True)
+
+
 def _offsets(bucketed: DataFrame, keys: Sequence[str]) -> DataFrame:
     counts = bucketed.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("__n"))
     before = by(keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridcast import SeriesSpec
 from gridcast.operators import evaluate, features, grid, split
-from gridcast.plans.chunks import CHUNK, POS, positions, running_sum, with_halo, with_pos
+from gridcast.plans.chunks import CHUNK, POS, join_facts, positions, running_sum, with_halo, with_pos
 from tests.data import series, skewed, values
 
 GRID = SeriesSpec(("k",), "ts", step_s=10, gap_free=True, chunk_rows=16)
@@ -125,3 +125,28 @@ def test_features_share_one_sort_and_no_single_partition(spark):
 def test_resample_joins_nothing(spark):
     p = plan(grid.resample_mean(skewed(spark), GRID.replace(gap_free=False), ["v"]))
     assert "Join" not in p and "SinglePartition" not in p
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_facts_join_alike_broadcast_or_salted(spark, keys, how):
+    df = skewed(spark)
+    facts = df.groupBy(*keys).agg(F.avg("v").alias("m"))
+    if keys:
+        facts = facts.where("k <> 'k3'")
+    small = join_facts(df, facts, keys, ["ts"], how)
+    large = join_facts(df, facts, keys, ["ts"], how, max_cells=0)
+    assert "BroadcastHashJoin" in plan(small) and "CartesianProduct" not in plan(large)
+    assert "NestedLoop" not in plan(small)
+    assert as_rows(small) == as_rows(large)
+
+
+def test_the_filter_and_the_columns_reach_the_scan(spark):
+    from registry import views
+
+    df = grid.resample_mean(
+        views.events(spark, "/root/testdata/sf0.001").where("ts >= timestamp'2024-01-10 00:00:00'"), views.EVENTS, ["value"]
+    )
+    p = df._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in p.splitlines() if "FileScan" in line]
+    assert scans and all("props" not in x and "event_type" not in x for x in scans)
