@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridcast.operators.grid import complete_rows
-from gridcast.plans.chunks import by
+from gridcast.plans.chunks import BUCKET, by, find_buckets
 
 OVERALL = "__overall__"
 
@@ -25,10 +25,6 @@ def align_xy(
     return complete_rows(join_feeds(x, y, keys, ts), cols)
 
 
-def _bucket(on: Column, width: float) -> Column:
-    return F.floor(on / F.lit(float(width))).cast("long")
-
-
 def nearest(
     requests: DataFrame,
     series: DataFrame,
@@ -37,23 +33,24 @@ def nearest(
     width: float,
     keys: Sequence[str] = (),
     matched: str = "matched",
+    max_bucket_rows: int = 1_000_000,
 ) -> DataFrame:
     """For each request the series row nearest on the numeric column ``on``.
 
     Of two equally near rows the later one is taken. ``matched`` is that row's
     ``on``; ``payload`` columns come with it.
 
-    Both sides are cut into buckets of ``width``. Series rows are sorted only in
+    Both sides are cut into buckets of ``width``, crowded ones further. Series rows are sorted only in
     buckets that hold a request; the rows before and after such a bucket come
     from one first / last row per bucket. No pairs are formed.
     """
-    b = "__b"
+    b = BUCKET
     groups = [*keys, b]
     hit = F.struct(F.col(on).alias("__on"), *payload)
-    rows = series.where(F.col(on).isNotNull()).select(
-        *keys, F.col(on), _bucket(F.col(on), width).alias(b), hit.alias("__hit")
-    )
-    asked = requests.withColumn(b, _bucket(F.col(on), width))
+    rows = series.where(F.col(on).isNotNull()).select(*keys, on, hit.alias("__hit"))
+    both = rows.select(*keys, on).unionByName(requests.select(*keys, on))
+    buckets = find_buckets(both, keys, on, width, max_bucket_rows)
+    rows, asked = buckets.assign(rows), buckets.assign(requests)
     where_asked = asked.select(*groups).distinct()
 
     ends = rows.groupBy(*groups).agg(
@@ -81,7 +78,7 @@ def nearest(
         both.withColumn("__prev_in", F.last("__hit", True).over(forward))
         .withColumn("__next_in", F.last("__hit", True).over(backward))
         .where(F.col("__ask") == 1)
-        .join(carry, groups)
+        .join(carry, groups, "left")
     )
     prev = F.coalesce(F.col("__prev_in"), F.col("__prev"))
     nxt = F.coalesce(F.col("__next_in"), F.col("__next"))
@@ -108,7 +105,7 @@ def nearest_in_time(
         series.withColumn(us, F.unix_micros(ts)),
         us,
         payload,
-        bucket_s * 1e6,
+        max(1, int(bucket_s * 1e6)),
         keys,
         "__m",
     )

@@ -15,6 +15,7 @@ from gridcast.plans.chunks import (
     HOME,
     POS,
     TOTAL,
+    bucketed,
     by,
     chunk_edges,
     positions,
@@ -231,9 +232,8 @@ def intervals(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     earlier bucket, found among one row per bucket.
     """
     keys = spec.keys
-    rows = df.where(F.col(spec.ts).isNotNull()).select(
-        *keys, spec.micros().alias("__us"), spec.bucket().alias(BUCKET)
-    )
+    rows, _ = bucketed(df.where(F.col(spec.ts).isNotNull()).select(*keys, spec.ts), spec)
+    rows = rows.select(*keys, BUCKET, spec.micros().alias("__us"))
     ends = rows.groupBy(*keys, BUCKET).agg(F.max("__us").alias("__end"))
     before = ends.select(
         *keys, BUCKET, F.lag("__end").over(by(keys).orderBy(BUCKET)).alias("__carry")

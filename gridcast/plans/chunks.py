@@ -6,6 +6,8 @@ rows. Everything here cuts a series into chunks of bounded length instead:
 * ``windowed``      bounded look-back / look-ahead: rows near a chunk edge are
                     copied into the neighbour chunk (halo), one exchange and one
                     sort by (keys, chunk), copies dropped at the end
+* ``find_buckets``  time ranges with a bounded number of rows; crowded ones are cut
+                    further
 * ``positions``     exact row numbers: bucket counts, prefix sum over the counts,
                     row_number inside a bucket
 * ``rows_at_rank``  rows at given ranks; only buckets holding a rank are sorted
@@ -19,6 +21,8 @@ chunk (time span / chunk span), not one per reading.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -83,8 +87,78 @@ def join_facts(
     return salted_join(df, facts, keys, spread, how, known_small=True)
 
 
-def _offsets(bucketed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    counts = bucketed.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("__n"))
+@dataclass(frozen=True)
+class Buckets:
+    """Time (or value) ranges of one entity that hold a bounded number of rows.
+
+    ``hot`` lists, level by level, the ranges that held too many rows and were
+    cut into finer ones; ``counts`` has the rows of every range that remains.
+    """
+
+    keys: tuple[str, ...]
+    at: str
+    widths: tuple[float, ...]
+    hot: tuple[DataFrame, ...]
+    counts: DataFrame
+
+    def assign(self, df: DataFrame) -> DataFrame:
+        """Add ``__bucket``: the start of the range a row lies in."""
+        out = df.withColumn(BUCKET, _range_start(F.col(self.at), self.widths[0]))
+        for hot, width in zip(self.hot, self.widths[1:]):
+            flagged = hot.withColumn("__hot", F.lit(True))
+            out = join_facts(out, flagged, [*self.keys, BUCKET], [self.at], "left", stored=True)
+            out = out.withColumn(
+                BUCKET, F.when(F.col("__hot"), _finer(F.col(self.at), width)).otherwise(F.col(BUCKET))
+            ).drop("__hot")
+        return out
+
+
+def _range_start(x: Column, width: float) -> Column:
+    if isinstance(width, int):
+        return x - F.pmod(x, F.lit(width))
+    return F.floor(x / F.lit(width)) * F.lit(width)
+
+
+def _finer(at: Column, width: float) -> Column:
+    # counted from the start of the coarse range, so the finer ones nest in it
+    return F.col(BUCKET) + _range_start(at - F.col(BUCKET), width)
+
+
+def find_buckets(
+    df: DataFrame, keys: Sequence[str], at: str, width: float, max_rows: int
+) -> Buckets:
+    """Cut each entity into ranges of ``width``, and crowded ones further.
+
+    One count combined map-side per level; the next level reads only the rows of
+    ranges above ``max_rows``, and most data needs no second level. What cannot
+    be cut are rows that share one value of ``at``.
+    """
+    rows = df.where(F.col(at).isNotNull()).select(*keys, at)
+    rows = rows.withColumn(BUCKET, _range_start(F.col(at), width))
+    widths, hot, counts = [width], [], []
+    while True:
+        level = materialize(rows.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("__n")))
+        crowded = level.where(F.col("__n") > max_rows)
+        if widths[-1] == 1 or len(widths) == 10 or not crowded.take(1):
+            counts.append(level)
+            break
+        counts.append(level.where(F.col("__n") <= max_rows))
+        hot.append(crowded.drop("__n"))
+        last = widths[-1]
+        widths.append(-(-last // 64) if isinstance(last, int) else last / 64)
+        rows = join_facts(rows, hot[-1], [*keys, BUCKET], [at], "left_semi", stored=True)
+        rows = rows.withColumn(BUCKET, _finer(F.col(at), widths[-1]))
+    return Buckets(tuple(keys), at, tuple(widths), tuple(hot), reduce(DataFrame.unionByName, counts))
+
+
+def bucketed(df: DataFrame, spec: SeriesSpec) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``__bucket``, and the bucket counts."""
+    timed = df.withColumn("__at", spec.micros())
+    buckets = find_buckets(timed, spec.keys, "__at", spec.bucket_us, spec.max_bucket_rows)
+    return buckets.assign(timed).drop("__at"), buckets.counts
+
+
+def _offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     before = by(keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     return counts.select(
         *keys,
@@ -102,10 +176,10 @@ def positions(df: DataFrame, spec: SeriesSpec, tie: Sequence[str] = ()) -> DataF
     position and are left out.
     """
     keys = spec.keys
-    bucketed = df.withColumn(BUCKET, spec.bucket())
+    rows, counts = bucketed(df, spec)
     inside = by([*keys, BUCKET]).orderBy(spec.ts, *tie)
     return (
-        bucketed.join(_offsets(bucketed, keys).drop("__n"), [*keys, BUCKET])
+        rows.join(_offsets(counts, keys).drop("__n"), [*keys, BUCKET])
         .withColumn(POS, F.row_number().over(inside) - 1 + F.col(OFFSET))
         .drop(BUCKET, OFFSET)
     )
@@ -119,14 +193,14 @@ def rows_at_rank(
 ) -> DataFrame:
     """Rows at the given 0-based ranks (expressions over ``__total``) per entity."""
     keys = spec.keys
-    bucketed = df.withColumn(BUCKET, spec.bucket())
-    wanted = _offsets(bucketed, keys).withColumn("__ranks", F.array(*[r.cast("long") for r in ranks]))
+    rows, counts = bucketed(df, spec)
+    wanted = _offsets(counts, keys).withColumn("__ranks", F.array(*[r.cast("long") for r in ranks]))
     holding = wanted.where(
         F.exists("__ranks", lambda r: (r >= F.col(OFFSET)) & (r < F.col(OFFSET) + F.col("__n")))
     ).drop("__n")
     inside = by([*keys, BUCKET]).orderBy(spec.ts, *tie)
     return (
-        bucketed.join(holding, [*keys, BUCKET])
+        rows.join(holding, [*keys, BUCKET])
         .withColumn(POS, F.row_number().over(inside) - 1 + F.col(OFFSET))
         .where(F.array_contains("__ranks", F.col(POS)))
         .drop(BUCKET, OFFSET, "__ranks")

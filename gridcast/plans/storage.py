@@ -27,12 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write a frame that several later jobs read, so that none recomputes it.
 
-    Uses a reliable checkpoint: it survives lost executors.
+    A Parquet table in the shared folder: it survives lost executors, later jobs
+    read only the columns they need, and its size is known to the planner.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -28,6 +28,7 @@ class SeriesSpec:
                 then the grid index; otherwise they are counted.
     chunk_rows  rows of one entity that one window group holds (plus the halo)
     bucket_s    time span sorted as one group when positions must be counted
+    max_bucket_rows  a span of one entity with more rows is cut into finer ones
     """
 
     keys: tuple[str, ...] = ()
@@ -37,6 +38,7 @@ class SeriesSpec:
     gap_free: bool = False
     chunk_rows: int = 4096
     bucket_s: float | None = None
+    max_bucket_rows: int = 1_000_000
 
     def __post_init__(self) -> None:
         if self.gap_free and self.step_s is None:
@@ -55,7 +57,7 @@ class SeriesSpec:
     @property
     def bucket_us(self) -> int:
         if self.bucket_s is not None:
-            return int(round(self.bucket_s * 1_000_000))
+            return max(1, int(round(self.bucket_s * 1_000_000)))
         if self.step_s is not None:
             return self.step_us * self.chunk_rows
         return 3_600_000_000
@@ -63,9 +65,6 @@ class SeriesSpec:
     def micros(self) -> Column:
         return F.unix_micros(F.col(self.ts).cast("timestamp"))
 
-    def bucket(self) -> Column:
-        return floor_div(self.micros(), self.bucket_us)
-
     def index(self) -> Column:
         """Left-labelled grid index of a row.
 

@@ -5,8 +5,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridcast import SeriesSpec
-from gridcast.operators import evaluate, features, grid, split
-from gridcast.plans.chunks import CHUNK, POS, join_facts, positions, running_sum, with_halo, with_pos
+from gridcast.operators import align, evaluate, features, grid, split
+from gridcast.plans.chunks import BUCKET, CHUNK, POS, bucketed, join_facts, positions, running_sum, with_halo, with_pos
 from tests.data import series, skewed, values
 
 GRID = SeriesSpec(("k",), "ts", step_s=10, gap_free=True, chunk_rows=16)
@@ -70,6 +70,37 @@ def test_positions_and_split(spark):
         ("test", 90), ("train", 420), ("val", 90)]
 
 
+def crowd(spark):
+    """Half of the rows of the hot key lie within one second."""
+    df = skewed(spark)
+    crowded = spark.range(1000).select(
+        F.lit("hot").alias("k"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 3 + 1).alias("ts"),
+        F.col("id").cast("double").alias("v"), F.lit(0.0).alias("u"))
+    return df.unionByName(crowded)
+
+
+@pytest.mark.parametrize("bucket_s", [70, 100_000])
+def test_crowded_buckets_are_cut_further(spark, bucket_s):
+    df = crowd(spark)
+    spec = SeriesSpec(("k",), "ts", bucket_s=bucket_s, max_bucket_rows=40)
+    rows, counts = bucketed(df, spec)
+    assert counts.agg(F.max("__n"), F.sum("__n")).first() == (counts.agg(F.max("__n")).first()[0], df.count())
+    assert rows.groupBy("k", BUCKET).count().agg(F.max("count")).first()[0] <= 40
+    w = Window.partitionBy("k").orderBy("ts")
+    want = df.select("k", "ts", (F.row_number().over(w) - 1).cast("long").alias("p"))
+    assert as_rows(want) == as_rows(positions(df, spec).select("k", "ts", F.col(POS).alias("p")))
+
+
+def test_nearest_in_crowded_buckets(spark):
+    df = crowd(spark).where("k = 'hot'").select("k", "ts", "v")
+    asked = df.select("k", (F.col("ts") + F.expr("interval 1 microsecond")).alias("ts")).withColumn("req", F.unix_micros("ts"))
+    one = align.nearest_in_time(asked, df, ["v"], 1e6, ["k"])
+    us = [F.col("k"), F.unix_micros("ts").alias("on")]
+    many = align.nearest(
+        asked.select(*us, "req"), df.select(*us, "v"), "on", ["v"], 10_000_000, ["k"], "m", max_bucket_rows=30)
+    assert as_rows(one.select("req", "v")) == as_rows(many.select("req", "v"))
+
+
 def test_running_sum(spark):
     df = skewed(spark).withColumn("v", F.coalesce("v", F.lit(0.0)))
     w = Window.partitionBy("k").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
