@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridcast.operators import align, audit, evaluate, features, rollout
-from gridcast.functions.scalars import clamp
 from gridcast.plans.chunks import POS, TOTAL, positions
+from gridcast.plans.storage import materialize
 from registry import views as v
 from registry.views import r6, rs, secs
 
@@ -315,13 +315,13 @@ def smooth_sql(diff: str, agg: str) -> str:
 
 @query(smooth_sql("y_pred - lag(y_pred) OVER w", "avg"))
 def smoothness_1(spark, sf):
-    out = audit.smoothness(v.predictions(spark, sf), v.RACKS_RAW, 1)
+    out = audit.smoothness(materialize(v.predictions(spark, sf)), v.RACKS_RAW, 1)
     return rounded(out, ["smoothness"], "target")
 
 
 @query(smooth_sql("y_pred - 2 * lag(y_pred) OVER w + lag(y_pred, 2) OVER w", "avg"))
 def smoothness_2(spark, sf):
-    out = audit.smoothness(v.predictions(spark, sf), v.RACKS_RAW, 2)
+    out = audit.smoothness(materialize(v.predictions(spark, sf)), v.RACKS_RAW, 2)
     return rounded(out, ["smoothness"], "target")
 
 
@@ -330,9 +330,9 @@ def smoothness_2(spark, sf):
        "w AS (SELECT unnest(['stabilize', 'physics_on', 'control_ready']) AS phase, unnest([0.0, 0.1, 0.2]) AS mono) "
        f"SELECT phase, {rs('data')} AS data, {rs('smoothness')} AS smoothness, {rs('data + 0.25 * mono + 0.05 * smoothness')} AS total FROM s, w")
 def total_score(spark, sf):
-    pred = v.predictions(spark, sf)
+    pred = materialize(v.predictions(spark, sf))
     parts = [
-        audit.prediction_mse(pred.withColumn("y_pred", F.col("y_pred")), pred.withColumn("y_pred", F.col("y_true")), ["rack"]).withColumnRenamed("mse", "data"),
+        audit.prediction_mse(pred, pred.withColumn("y_pred", F.col("y_true")), ["rack"]).withColumnRenamed("mse", "data"),
         audit.smoothness(pred, v.RACKS_RAW, 1),
         audit.monotonic_penalty(scored_up(spark, sf)).select("target", "monotonic"),
     ]
