@@ -262,18 +262,11 @@ def cadence_report(
     gaps = intervals(df, spec).where(
         ~F.col("interval_s").between(expected_s - tolerance_s, expected_s + tolerance_s)
     )
-    counts = gaps.groupBy("interval_s").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("n_off"))
-    report = counts.orderBy(F.desc("n"), "interval_s").limit(top)
-    return with_total(report, total)
-
-
-def with_total(rows: DataFrame, total: DataFrame) -> DataFrame:
-    """Attach a one-row frame to a short report by an equi-join on a constant."""
-    return (
-        rows.withColumn("__one", F.lit(1))
-        .join(total.withColumn("__one", F.lit(1)), "__one")
-        .drop("__one")
+    # the rollup's total comes first: no single interval is more frequent
+    counts = gaps.rollup("interval_s").agg(F.count(F.lit(1)).alias("n"))
+    report = counts.orderBy(F.desc("n"), F.asc_nulls_first("interval_s")).limit(top + 1)
+    return report.withColumn("n_off", F.max("n").over(Window.partitionBy())).where(
+        F.col("interval_s").isNotNull()
     )
 
 
@@ -281,7 +274,7 @@ def first_rows(df: DataFrame, spec: SeriesSpec, n: int) -> DataFrame:
     """The first ``n`` rows by time: of each entity, or of the table without keys."""
     if not spec.keys:
         return df.orderBy(spec.ts).limit(n)
-    return positions(df, spec).where(F.col(POS) < n).drop(POS, TOTAL)
+    return positions(df, spec, first=n).where(F.col(POS) < n).drop(POS, TOTAL)
 
 
 def row_at_position(

@@ -169,17 +169,23 @@ def _offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def positions(df: DataFrame, spec: SeriesSpec, tie: Sequence[str] = ()) -> DataFrame:
+def positions(
+    df: DataFrame, spec: SeriesSpec, tie: Sequence[str] = (), first: int | None = None
+) -> DataFrame:
     """Add ``__pos`` (0-based row number per entity) and ``__total`` (its rows).
 
-    ``tie`` orders rows that share a timestamp. Rows without a timestamp have no
+    ``tie`` orders rows that share a timestamp. With ``first`` only the buckets
+    that hold the first rows are read on, as a caller asks for no others. Rows without a timestamp have no
     position and are left out.
     """
     keys = spec.keys
     rows, counts = bucketed(df, spec)
+    offsets = _offsets(counts, keys).drop("__n")
+    if first is not None:
+        offsets = offsets.where(F.col(OFFSET) < first)
     inside = by([*keys, BUCKET]).orderBy(spec.ts, *tie)
     return (
-        rows.join(_offsets(counts, keys).drop("__n"), [*keys, BUCKET])
+        rows.join(offsets, [*keys, BUCKET])
         .withColumn(POS, F.row_number().over(inside) - 1 + F.col(OFFSET))
         .drop(BUCKET, OFFSET)
     )

@@ -163,10 +163,6 @@ def drop_duplicate_unit(spark, sf):
 @query(f"WITH {v.RACKS_SQL} SELECT rack, CAST(t AS BIGINT) AS t FROM racks_raw WHERE t_low IS NOT NULL OR t_high IS NOT NULL")
 def drop_empty_rows(spark, sf):
     raw = grid.resample_mean(v.shipments(spark, sf), v.RACKS_RAW, v.TARGETS)
-    return clean_rows(raw)
-
-
-def clean_rows(raw):
     return grid.drop_empty_rows(raw, v.TARGETS).select("rack", secs().alias("t"))
 
 
@@ -292,9 +288,6 @@ def scan_pruned(spark, sf):
     return df.groupBy("l_returnflag").agg((F.round(F.sum("l_extendedprice"), 2) + 0.0).alias("total"))
 
 
-REQUEST_SQL = "SELECT o_orderkey AS req, o_orderdate AS at, 'e' AS k FROM orders"
-
-
 @query("""WITH ev AS (SELECT l_suppkey AS k, l_shipdate AS ts, max(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2),
   rq AS (SELECT o_orderkey AS req, o_custkey % (SELECT count(*) FROM supplier) AS k, o_orderdate AS ts FROM orders),
   p AS (SELECT rq.req, rq.ts, ev.ts AS pts, ev.value AS pv FROM rq ASOF LEFT JOIN ev ON rq.k = ev.k AND rq.ts >= ev.ts),

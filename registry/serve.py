@@ -12,10 +12,10 @@ from gridcast.plans.storage import scratch_path
 from gridcast.sources import sinks, tables
 from gridcast.spec import SeriesSpec
 from registry import views as v
-from registry.grid import COOLER_KEYS, cooler_key, probe_label, probe_lines
+from registry.grid import cooler_key, probe_label, probe_lines
 from registry.learn import XY, XY_CTE, YS, k_ahead
 from registry.score import MODEL_SQL, PRED, model_predictions, rounded
-from registry.views import r6, rs, secs
+from registry.views import rs, secs
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}

@@ -1,6 +1,6 @@
 """Small hand-made series."""
 
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
