@@ -353,8 +353,8 @@ def actuator_clamp(spark, sf):
     return rounded(audit.clamp_actuator(rows, "fan"), ["fan"], "rack", secs().alias("t"))
 
 
-@query(f"""{RACKS}, {STEPS_SQL}, i AS (SELECT scenario_id, step, load * 50 AS p, coalesce(supply, 0) AS amb,
-    CASE WHEN step BETWEEN 10 AND 19 THEN 80.0 ELSE fan END AS f FROM steps WHERE fan IS NOT NULL)
+@query(f"""{RACKS}, {STEPS_SQL}, i AS (SELECT scenario_id, step, coalesce(load, 0) * 50 AS p, coalesce(supply, 0) AS amb,
+    CASE WHEN step BETWEEN 10 AND 19 THEN 80.0 ELSE coalesce(fan, 25) END AS f FROM steps)
   SELECT scenario_id, step, {rs('y_pred')} AS y_pred FROM (
     WITH RECURSIVE r(scenario_id, step, y_pred) AS (
       SELECT scenario_id, step, 40 + (0.01 * p - 0.03 * f - 0.05 * (40 - amb)) / 100 FROM i WHERE step = 0
@@ -362,8 +362,10 @@ def actuator_clamp(spark, sf):
       FROM r JOIN i ON i.scenario_id = r.scenario_id AND i.step = r.step + 1)
     SELECT * FROM r)""")
 def rc_rollout(spark, sf):
-    rows = steps(spark, sf).where("fan IS NOT NULL").select(
-        "scenario_id", "step", (F.col("load") * 50).alias("power"), "fan", F.coalesce("supply", F.lit(0.0)).alias("ambient"))
+    # every step is kept: one without a reading runs on neutral inputs
+    rows = steps(spark, sf).select(
+        "scenario_id", "step", (F.coalesce("load", F.lit(0.0)) * 50).alias("power"),
+        F.coalesce("fan", F.lit(25.0)).alias("fan"), F.coalesce("supply", F.lit(0.0)).alias("ambient"))
     rows = rollout.edit_scenario(rows, "fan", 80.0, 10, 20)
     start = rows.select("scenario_id").distinct().withColumn("t0", F.lit(40.0))
     out = rollout.rc_rollout(rows, start, gamma=0.01, block=16)
