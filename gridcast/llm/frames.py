@@ -91,3 +91,69 @@ def components(edges: DataFrame) -> DataFrame:
 def _mark(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return row[0], row[1]
+
+
+def run_pass(
+    df: DataFrame, keys: list[str], step: Callable[[pa.Table, np.ndarray], pa.RecordBatch | None], schema: str
+) -> DataFrame:
+    """Apply ``step`` to groups of rows with equal (integer) keys, many groups at a time.
+
+    ``step`` gets a table of whole groups and their row splits. Groups must be small:
+    callers cut them into units of bounded size, as only such a unit is held at once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            rest = now if rest is None else pa.concat_tables([rest, now])
+            splits = _splits(rest, keys)
+            if len(splits) > 2:  # the last group may go on in the next batch
+                out = step(rest.slice(0, splits[-2]).combine_chunks(), splits[:-1])
+                rest = rest.slice(splits[-2])
+                if out is not None and out.num_rows:
+                    yield out
+        if rest is not None:
+            out = step(rest.combine_chunks(), _splits(rest, keys))
+            if out is not None and out.num_rows:
+                yield out
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def _splits(table: pa.Table, keys: list[str]) -> np.ndarray:
+    change = np.zeros(table.num_rows - 1, bool)
+    for key in keys:
+        values = table.column(key).to_numpy()
+        change |= values[1:] != values[:-1]
+    return np.concatenate([[0], np.flatnonzero(change) + 1, [table.num_rows]])
+
+
+FILTER_BITS = 23
+
+
+def _filter_places(columns) -> list:
+    return [F.shiftrightunsigned(c, 64 - FILTER_BITS) for c in columns]
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter over (__a, __b): 2**23 bits, a megabyte whatever the number of keys.
+
+    It spares a shuffle most of the rows that a join would drop; the join itself
+    still follows, so a filter that many keys have filled only saves less.
+    """
+    places = keys.select(F.explode(F.array(*_filter_places([F.col(k) for k in KEY]))).alias("at"))
+    words = places.groupBy((F.col("at").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) / 32).cast("int").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits")
+    )
+    bits = np.zeros((1 << FILTER_BITS) // 32, np.uint32)
+    rows = words.toArrow()
+    bits[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint32)
+    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
+
+
+def passes_filter(batch: pa.RecordBatch, bits: np.ndarray) -> np.ndarray:
+    places = [batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - FILTER_BITS) for k in KEY]
+    return bits[places[0]] & bits[places[1]]
