@@ -6,8 +6,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridcast.plans.storage import materialize
 
@@ -29,7 +30,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def arrow_pass(
-    df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
+    df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType
 ) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 
@@ -53,17 +54,6 @@ def first_of_each(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return again, first
 
 
-def repeated(rows: DataFrame, by: list[str], known: str) -> DataFrame:
-    """Rows whose key occurs more than once, or that are marked as ``known`` to be so.
-
-    The passes that make the rows mark values repeated inside one Arrow batch and
-    give all but the first of them a key of their own, so that a value held by a
-    third of all rows arrives here once per batch, not once per row.
-    """
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    return rows.withColumn("__n", n).where(F.col(known) | (F.col("__n") > 1)).drop("__n")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (u, v); root is the smallest node.
 

@@ -5,9 +5,10 @@ for any two positions i and j, a shift ``d < v`` with both ``i + d`` and ``j + d
 in ``D`` (modulo v). So if a window of ``w`` words starts at i in one document and
 at j in another, both hold the same run of ``w - v + 1`` words at cover positions:
 an anchor that is aligned in both. Only anchors are hashed and shuffled (about a
-quarter of the positions). Anchors that occur twice are candidates; they are
-extended by up to ``v - 1`` words to both sides, to every full window around
-them, and these windows are compared by 128-bit hashes of all their words.
+quarter of the positions), with a hash of their context: the words that any window
+around the anchor can reach. Where the whole context occurs twice, all these
+windows do. Only around equal anchors whose contexts differ, at the ends of a
+match, are single windows compared, by 128-bit hashes of all their words.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridcast.llm import words as W
-from gridcast.llm.frames import KEY, arrow_pass, first_of_each, keyed, repeated
+from gridcast.llm.frames import KEY, arrow_pass, first_of_each, keyed
+from gridcast.plans.storage import materialize
 
 
 @lru_cache(maxsize=32)
@@ -38,92 +40,126 @@ def difference_cover(period: int) -> tuple[int, ...]:
         size += 1
 
 
-def _emit(key: list[np.ndarray], a, b, pos) -> pa.RecordBatch:
-    """Rows (keys, a, b, at, known): see ``frames.repeated``."""
-    again, first = first_of_each(key[0])
-    if len(key) > 1 and again.any():  # equal in all parts of the key
-        joint = W.mix(key[0] ^ W.mix(key[1]))
-        again, first = first_of_each(joint)
-    own = W.mix(W.mix(a.astype(np.uint64) + np.uint64(1)) ^ W.mix(pos.astype(np.uint64) + b.astype(np.uint64)))
+def _rows(keys: list[np.ndarray], a: np.ndarray, b: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Rows (k0, k1, a, b, at) where ``at`` is 2 * place + known.
+
+    ``known``: the key occurs again in this batch. All but the first such row get
+    the row key instead, so a run that a third of the corpus shares reaches the
+    shuffle once per batch, not once per document.
+    """
+    joint = W.mix(keys[0].view(np.uint64) ^ W.mix(keys[1].astype(np.int64).view(np.uint64)))
+    again, first = first_of_each(joint)
     lone = again & ~first
-    columns = [pa.array(np.where(lone, W.mix(own + np.uint64(i)), k).view(np.int64)) for i, k in enumerate(key)]
-    names = [f"k{i}" for i in range(len(key))]
-    rest = [pa.array(a), pa.array(b), pa.array(pos.astype(np.int32)), pa.array(again)]
-    return pa.RecordBatch.from_arrays(columns + rest, names=[*names, *KEY, "at", "known"])
+    k0 = np.where(lone, a, keys[0].view(np.int64))
+    k1 = np.where(lone, b.astype(keys[1].dtype), keys[1])
+    cols = [k0, k1, a, b, (2 * at + again).astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k0", "k1", *KEY, "at"])
 
 
 def _anchors(window: int, period: int):
-    length, cover = window - period + 1, difference_cover(period)
+    """Anchors with a name of their context: all windows around them, cut at the ends of the text."""
+    length, reach, cover = window - period + 1, period - 1, difference_cover(period)
     aligned = np.zeros(period, bool)
     aligned[list(cover)] = True
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in KEY)
-        keys, rows, places = [], [], []
+        parts = []
         for first_row, texts in W.slices(batch.column("__text")):
             ws = W.split(texts, W.EXACT)
-            first, h = ws.windows(length, ws.hashes())
+            h = ws.hashes()
+            first, anchor = ws.windows(length, h)
             row = np.searchsorted(ws.splits, first, "right") - 1
             pos = first - ws.splits[row]
             take = aligned[pos % period] & (ws.counts[row] >= window)
-            keys.append(h[take])
-            rows.append(row[take] + first_row)
-            places.append(pos[take])
-        if not keys:
+            first, anchor, row, pos = first[take], anchor[take], row[take], pos[take]
+            left = np.minimum(pos, reach)
+            right = np.minimum(ws.counts[row] - pos, window)
+            around = ws.spans(h, first - left, first + right)
+            around = W.mix(around + (left * (window + 1) + right).astype(np.uint64))
+            parts.append((anchor, around.view(np.int64).astype(np.int32), row + first_row, pos))
+        if not parts:
             return None
-        row = np.concatenate(rows)
-        return _emit([np.concatenate(keys)], a[row], b[row], np.concatenate(places))
+        anchor, around, row, pos = (np.concatenate(x) for x in zip(*parts))
+        return _rows([anchor, around], a[row], b[row], pos)
 
     return step
 
 
-def _marks(starts: np.ndarray, reach_back: int, reach_on: int, size: int) -> np.ndarray:
-    """Which of ``size`` places lie between start - reach_back and start + reach_on."""
-    edge = np.zeros(size + 1, np.int64)
-    np.add.at(edge, np.maximum(starts - reach_back, 0), 1)
-    np.add.at(edge, np.minimum(starts + reach_on + 1, size), -1)
-    return np.cumsum(edge[:-1]) > 0
+def _judged(anchors: DataFrame) -> DataFrame:
+    """By document: anchors whose windows are all repeated, and those to look at closely.
 
-
-def _global_places(batch: pa.RecordBatch, first_row: int, ws: W.Words) -> np.ndarray:
-    """The ``places`` lists of the rows of a slice as word numbers of the slice."""
-    lists = batch.column("places").slice(first_row, len(ws.counts))
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    ``code`` is 4 * place + 2 * closed + look. An anchor is closed if its whole
+    context occurs again. If a group of equal anchors has a member that is not,
+    one member of each context of the group shows its windows.
+    """
+    group, context = Window.partitionBy("k0"), Window.partitionBy("k0", "k1")
+    known = F.col("at").bitwiseAND(F.lit(1)) == 1
+    rows = anchors.withColumns(
+        {"closed": known | (F.count(F.lit(1)).over(context) > 1), "first": F.row_number().over(context.orderBy("__a", "__b", "at")) == 1}
+    ).withColumns({"open": F.max(~F.col("closed")).over(group), "n": F.count(F.lit(1)).over(group)})
+    look = (~F.col("closed") & (F.col("n") > 1)) | (F.col("closed") & F.col("first") & F.col("open"))
+    code = F.expr("4 * (at div 2)") + F.when(F.col("closed"), 2).otherwise(0) + F.when(look, 1).otherwise(0)
+    judged = rows.withColumn("code", code.cast("int")).where("code % 4 > 0")
+    return judged.groupBy(*KEY).agg(F.collect_set("code").alias("codes"))
+
+
+def _spread(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` places lie in one of the ranges."""
+    edge = np.bincount(starts, minlength=size + 1) - np.bincount(ends, minlength=size + 1)
+    return np.cumsum(edge[:size]) > 0
+
+
+def _lists(batch: pa.RecordBatch, name: str, first_row: int, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row of the slice, value) of the lists of the rows of a slice."""
+    lists = batch.column(name).slice(first_row, n_rows)
     sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    return flat + np.repeat(ws.splits[:-1], sizes)
+    return np.repeat(np.arange(n_rows), sizes), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _windows(window: int, period: int):
-    length = window - period + 1
+    """The windows around the anchors to look at."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in KEY)
-        keys, rows, places = ([], []), [], []
+        parts = []
         for first_row, texts in W.slices(batch.column("__text")):
+            row, code = _lists(batch, "codes", first_row, len(texts))
+            row, code = row[code % 2 == 1], code[code % 2 == 1]
+            if not len(row):
+                continue
             ws = W.split(texts, W.EXACT)
-            anchors = _global_places(batch, first_row, ws)
-            near = _marks(anchors, window - length, 0, int(ws.splits[-1]))
-            for seed in (0, 1):
-                first, h = ws.windows(window, ws.hashes(seed), seed)
-                keys[seed].append(h[near[first]])
-            first = first[near[first]]
+            place = ws.splits[row] + code // 4
+            near = _spread(np.maximum(place - period + 1, ws.splits[row]), place + 1, len(ws.start))
+            first, h = ws.windows(window, ws.hashes())
+            other = ws.windows(window, ws.hashes(1), 1)[1]
+            take = near[first]
+            first = first[take]
             row = np.searchsorted(ws.splits, first, "right") - 1
-            rows.append(row + first_row)
-            places.append(first - ws.splits[row])
-        if not rows:
+            parts.append((h[take], other[take].view(np.int64), row + first_row, first - ws.splits[row]))
+        if not parts:
             return None
-        row = np.concatenate(rows)
-        return _emit([np.concatenate(k) for k in keys], a[row], b[row], np.concatenate(places))
+        h, other, row, pos = (np.concatenate(x) for x in zip(*parts))
+        return _rows([h, other], a[row], b[row], pos)
 
     return step
 
 
-def _cut(window: int, id_type: pa.DataType | None = None):
+def _cut(window: int, period: int):
+    def covered(batch: pa.RecordBatch, first_row: int, ws: W.Words) -> np.ndarray:
+        row, code = _lists(batch, "codes", first_row, len(ws.counts))
+        row, place = row[code // 2 % 2 == 1], code[code // 2 % 2 == 1] // 4
+        low = ws.splits[row] + np.maximum(place - period + 1, 0)
+        high = ws.splits[row] + np.minimum(place + window, ws.counts[row])
+        again, start = _lists(batch, "starts", first_row, len(ws.counts))
+        start = start + ws.splits[again]
+        return _spread(np.concatenate([low, start]), np.concatenate([high, start + window]), len(ws.start))
+
     def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         totals, removed, kept = [], [], []
         for first_row, texts in W.slices(batch.column("__text")):
             ws = W.split(texts, W.EXACT)
-            gone = _marks(_global_places(batch, first_row, ws), 0, window - 1, int(ws.splits[-1]))
+            gone = covered(batch, first_row, ws)
             before = np.concatenate([[0], np.cumsum(gone)])
             totals.append(ws.counts)
             removed.append(before[ws.splits[1:]] - before[ws.splits[:-1]])
@@ -141,10 +177,6 @@ def _cut(window: int, id_type: pa.DataType | None = None):
     return step
 
 
-def _by_document(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*KEY).agg(F.collect_set("at").alias("places"))
-
-
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, period: int | None = None
 ) -> DataFrame:
@@ -163,16 +195,16 @@ def remove_repeats(
     period = period or max(1, min(21, window * 3 // 5))
     rows = keyed(docs, id_col, text_col)
     kind = rows.schema["__id"].dataType.simpleString()
-    anchors = arrow_pass(rows.select("__text", *KEY), _anchors(window, period), "k0 long, __a long, __b long, at int, known boolean")
-    candidates = _by_document(repeated(anchors, ["k0"], "known"))
-    # the same exchange of the texts by key serves both joins
-    around = rows.join(candidates, list(KEY))
+    anchors = arrow_pass(rows.select("__text", *KEY), _anchors(window, period), "k0 long, k1 int, __a long, __b long, at int")
+    judged = materialize(_judged(anchors))
+    # both joins below read the same exchange of the texts by key
+    near = rows.join(judged.where(F.exists("codes", lambda c: c % 2 == 1)), list(KEY))
     found = arrow_pass(
-        around.select("__text", *KEY, "places"),
-        _windows(window, period),
-        "k0 long, k1 long, __a long, __b long, at int, known boolean",
+        near.select("__id", "__text", *KEY, "codes"), _windows(window, period), "k0 long, k1 long, __a long, __b long, at int"
     )
-    starts = _by_document(repeated(found, ["k0", "k1"], "known"))
-    covered = rows.join(starts, list(KEY), "left").select("__id", "__text", "places")
-    out = arrow_pass(covered, _cut(window), f"__id {kind}, n_words long, n_removed long, kept_text string")
+    w = Window.partitionBy("k0", "k1")
+    again = found.withColumn("n", F.count(F.lit(1)).over(w)).where("n > 1 or at % 2 = 1")
+    starts = again.groupBy(*KEY).agg(F.collect_set(F.expr("at div 2")).alias("starts"))
+    marked = rows.join(judged, list(KEY), "left").join(starts, list(KEY), "left").select("__id", "__text", "codes", "starts")
+    out = arrow_pass(marked, _cut(window, period), f"__id {kind}, n_words long, n_removed long, kept_text string")
     return out.withColumnRenamed("__id", id_col)

@@ -117,23 +117,19 @@ class Words:
         np.cumsum(self.splitter.values(seed)[self.data] * up[:-1], out=total[1:])
         return mix((total[self.end] - total[self.start]) * down[self.start])
 
-    def windows(self, length: int, hashes: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, hash) of each run of ``length`` words inside one row."""
+    def spans(self, hashes: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+        """Hashes of word ranges of any length, comparable with ``windows``."""
         n = len(hashes)
         up, down = WORD_POWER[seed].to(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(hashes * up[:-1], out=total[1:])
-        last = np.repeat(self.splits[1:], self.counts)
-        first = np.flatnonzero(np.arange(n) + length <= last)
-        return first, mix((total[first + length] - total[first]) * down[first])
+        return mix((total[end] - total[start]) * down[start])
 
-    def whole(self, hashes: np.ndarray, seed: int = 0) -> np.ndarray:
-        """Hash of all words of each row, comparable with ``windows``."""
-        n = len(hashes)
-        up, down = WORD_POWER[seed].to(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(hashes * up[:-1], out=total[1:])
-        return mix((total[self.splits[1:]] - total[self.splits[:-1]]) * down[self.splits[:-1]])
+    def windows(self, length: int, hashes: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of each run of ``length`` words inside one row."""
+        last = np.repeat(self.splits[1:], self.counts)
+        first = np.flatnonzero(np.arange(len(hashes)) + length <= last)
+        return first, self.spans(hashes, first, first + length, seed)
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
