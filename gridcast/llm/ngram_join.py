@@ -56,7 +56,7 @@ def shingle_sets(texts: pa.Array, size: int, order: Order | None = None) -> tupl
     row = np.searchsorted(ws.splits, first, "right") - 1
     short = np.flatnonzero((ws.counts > 0) & (ws.counts < size))
     if len(short):
-        grams = np.concatenate([grams, ws.whole(h)[short]])
+        grams = np.concatenate([grams, ws.spans(h, ws.splits[short], ws.splits[short + 1])])
         row = np.concatenate([row, short])
     if order is not None:
         grams = order.tokens(grams)

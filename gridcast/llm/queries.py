@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridcast.llm.decontaminate import find_contamination
+from gridcast.llm.licenses import scan_licenses
+from gridcast.llm.ngram_join import near_duplicates
+from gridcast.llm.pii import BASE_KINDS, detect
 from gridcast.llm.substring_dedup import remove_repeats
 
 
@@ -12,11 +16,52 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spans_text(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect(_table(spark, sf_dir, "documents").select("doc_id", "text"), masked=False)
+    spans = F.col("pii_spans")
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS],
+        F.sha2(_spans_text(F.filter(spans, lambda s: s["kind"].isin(*BASE_KINDS))), 256).alias("base_sha256"),
+        _spans_text(spans).alias("spans"),
+    )
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan_licenses(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(_table(spark, sf_dir, "documents"), window=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=10)
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.size("hit_words").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(_table(spark, sf_dir, "documents"), size=4, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op4_licenses": op4_licenses,
     "op6_substring_dedup": op6_substring_dedup,
+    "op8_decontamination": op8_decontamination,
+    "op10_ngram_join": op10_ngram_join,
 }

@@ -1,5 +1,7 @@
 """DuckDB SQL that must give the same rows as the queries of the same name."""
 
+from gridcast.llm.licenses import BASE_PHRASES, MORE_PHRASES
+
 OP6 = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35),
@@ -14,6 +16,67 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP4 = rf"""
+WITH w AS (SELECT doc_id, text, {_PLAIN} AS ws FROM documents),
+phrase(p, label, base) AS (VALUES {{phrases}}),
+split AS (SELECT string_split(p, ' ') AS ps, label, base FROM phrase),
+word AS (SELECT doc_id, ws, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM w),
+hit AS (SELECT doc_id, i, label, base FROM word JOIN split ON word = ps[1] AND ws[i + 1:i + len(ps)] = ps),
+found AS (SELECT doc_id, count(*) FILTER (base) AS n, min(i) FILTER (base) AS lo, max(i) FILTER (base) AS hi,
+                 array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels,
+                 array_to_string(list_sort(list(DISTINCT label)), ',') AS labels,
+                 count(DISTINCT label) FILTER (base) AS b, count(DISTINCT label) AS a
+          FROM hit GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo AS first_word, hi AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN a IS NULL THEN 0.0 ELSE round(1.0 - pow(0.2::DOUBLE, b) * pow(0.4::DOUBLE, a - b), 6) END AS score
+FROM w LEFT JOIN found USING (doc_id)
+"""
+
+OP8 = rf"""
+WITH d AS (SELECT doc_id, {_PLAIN} AS ws FROM documents),
+b AS (SELECT item_id, {_PLAIN} AS ws FROM benchmark),
+win AS (SELECT item_id, ws[i:i + least(10, len(ws)) - 1] AS w
+        FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+word AS (SELECT doc_id, ws, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
+hit AS (SELECT DISTINCT doc_id, i, len(w) AS n, item_id FROM word JOIN win ON word = w[1] AND ws[i:i + len(w) - 1] = w),
+words AS (SELECT doc_id, count(DISTINCT j) AS n_hit
+          FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM hit GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP10 = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS gram
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b USING (gram)
+          WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM both_ JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach AS (SELECT DISTINCT x AS node, x AS root FROM link UNION SELECT link.y, reach.root FROM reach JOIN link ON link.x = reach.node),
+comp AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(root, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN comp ON node = w.doc_id
+"""
+
+
+def _phrases() -> str:
+    rows = [(p, x, True) for p, x in BASE_PHRASES.items()] + [(p, x, False) for p, x in MORE_PHRASES.items()]
+    return ", ".join(f"('{p}', '{x}', {base})" for p, x, base in rows)
+
+
 SQL = {
+    # without identifier tags, of which the tables hold none; tests compare those by brute force
+    "op4_licenses": OP4.replace("{phrases}", _phrases()),
     "op6_substring_dedup": OP6,
+    "op8_decontamination": OP8,
+    "op10_ngram_join": OP10,
 }
