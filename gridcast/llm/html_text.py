@@ -165,7 +165,7 @@ def training_pages(docs: DataFrame, text_col: str = "text", texts: int = SAMPLE_
     """(x, y): elements of made pages, of at most ``texts`` texts of the corpus."""
     text = F.substring(F.col(f"`{text_col}`").cast("string"), 1, SAMPLE_CHARS).alias("text")
     chosen = docs.select(text).where("length(text) >= 40").select("text", F.xxhash64("text").alias("seed")).orderBy("seed").limit(texts)
-    schema = T.StructType().add("x", T.ArrayType(T.DoubleType())).add("y", "int")
+    schema = T.StructType().add("x", T.ArrayType(T.DoubleType())).add("y", "integer")
     return arrow_pass(materialize(chosen).coalesce(1).orderBy("seed"), _training_rows, schema)
 
 

@@ -123,7 +123,7 @@ def pieces(
                 cols.append(pa.array(ids, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, names=["id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
 
-    schema = T.StructType([rows.schema["id"]]).add("piece", "int").add("start", "long").add("length", "long").add("ids_crc32", "long")
+    schema = T.StructType([rows.schema["id"]]).add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
     return rows.mapInArrow(run, schema)

@@ -282,7 +282,7 @@ def _sample(docs: DataFrame, labels: DataFrame, settings: Training, meta: list[s
 
     schema = rows.schema
     for k in range(3):
-        schema = T.StructType(schema.fields).add(f"m{k}", "long")
+        schema = T.StructType(list(schema.fields)).add(f"m{k}", "long")
     found = arrow_pass(rows, step, schema)
     for k in range(3):
         every = F.struct(*[F.col(c) for c in found.columns])

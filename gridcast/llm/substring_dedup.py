@@ -95,7 +95,8 @@ def _judged(anchors: DataFrame) -> DataFrame:
     """
     group, context = Window.partitionBy("k0"), Window.partitionBy("k0", "k1")
     known = F.col("at").bitwiseAND(F.lit(1)) == 1
-    rows = anchors.withColumns(
+    # dealt by the shorter key, which serves both windows
+    rows = anchors.repartition("k0").withColumns(
         {"closed": known | (F.count(F.lit(1)).over(context) > 1), "first": F.row_number().over(context.orderBy("__a", "__b", "at")) == 1}
     ).withColumns({"open": F.max(~F.col("closed")).over(group), "n": F.count(F.lit(1)).over(group)})
     look = (~F.col("closed") & (F.col("n") > 1)) | (F.col("closed") & F.col("first") & F.col("open"))
