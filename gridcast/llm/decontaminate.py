@@ -13,12 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridcast.llm import words as W
 from gridcast.llm.frames import arrow_pass
@@ -116,31 +116,35 @@ def build_index(items: list[tuple], docs: DataFrame, size: int) -> Index:
     return Index(*cols, [sorted(r[5], key=str) for r in rows])
 
 
-def _hits(index) -> object:
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+NEW = ("n_words", "hit_words", "items")
+
+
+def _hits(index, kept: list[str], merge: bool):
+    """Add the hits of one index to the rows, and to those of the indexes before."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_words, hits, items = [], [], []
-        for _, texts in W.slices(batch.column("text")):
+        for first_row, texts in W.slices(batch.column("text")):
             ws = W.split(texts, W.PLAIN)
             start, window = index.value.find(ws)
             row = np.searchsorted(ws.splits, start, "right") - 1
             length = index.value.length[window]
             edge = np.bincount(start, minlength=len(ws.start) + 1) - np.bincount(start + length, minlength=len(ws.start) + 1)
-            hit = np.cumsum(edge[:-1]) > 0
+            place = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+            counts = np.bincount(np.searchsorted(ws.splits, place, "right") - 1, minlength=len(texts))
+            local = np.split(place - np.repeat(ws.splits[:-1], counts), np.cumsum(counts)[:-1])
             of_row: list[set] = [set() for _ in range(len(texts))]
             for r, w in sorted({*zip(row.tolist(), window.tolist())}):
-                of_row[r].update(index.value.items[w])
-            place = np.flatnonzero(hit)
-            counts = np.bincount(np.searchsorted(ws.splits, place, "right") - 1, minlength=len(texts))
-            local = place - np.repeat(ws.splits[:-1], counts)
-            hits += np.split(local, np.cumsum(counts)[:-1])
-            items += [sorted(str(x) for x in s) for s in of_row]
-            n_words.append(ws.counts)
-        if not n_words:
-            return None
-        keys = [batch.column(c) for c in batch.schema.names if c != "text"]
-        names = [c for c in batch.schema.names if c != "text"]
-        extra = [pa.array(np.concatenate(n_words).astype(np.int64)), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays([*keys, *extra], names=[*names, "n_words", "hit_words", "items"])
+                of_row[r].update(map(str, index.value.items[w]))
+            for r in range(len(texts)) if merge else ():
+                at = first_row + r
+                local[r] = np.union1d(local[r], np.array(batch.column("hit_words")[at].as_py(), np.int64))
+                of_row[r].update(batch.column("items")[at].as_py())
+            hits += local
+            items += [sorted(s) for s in of_row]
+            n_words += ws.counts.tolist()
+        extra = [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *extra], names=[*kept, *NEW])
 
     return step
 
@@ -159,7 +163,6 @@ def _item_parts(benchmark: DataFrame, size: int, most: int) -> list[DataFrame]:
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
-    id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
@@ -170,34 +173,23 @@ def find_contamination(
 
     Words are runs of 0-9, a-z (A-Z lower-cased) and of characters above 0x7F.
     Windows are ``size`` consecutive words of an item, or the whole of a shorter
-    one. Returns (id, n_words, hit_words, items, contaminated), one row per input
-    row: the sorted numbers of the words hit, and the ids of the items with an
-    occurring window, sorted as strings. A null or empty text has no words and is
+    one. Adds (n_words, hit_words, items, contaminated) to the columns of ``docs``
+    (those named like the new ones are replaced), one row per input row: the sorted
+    numbers of the words hit, and the ids of the items with an occurring window,
+    sorted as strings. A null or empty text has no words and is
     hit by nothing; an item without words has no window; an item without an id
     hits words but is not listed; equal items are listed once under each id;
-    repeated rows give repeated results. Other columns are ignored.
+    repeated rows give repeated results.
     """
     spark: SparkSession = docs.sparkSession
-    docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
     benchmark = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text"))
-    kind = docs.schema["id"].dataType.simpleString()
-    schema = "n_words long, hit_words array<long>, items array<string>"
-    parts = _item_parts(benchmark, size, max_windows)
-    if len(parts) == 1:
-        index = spark.sparkContext.broadcast(build_index([tuple(r) for r in parts[0].collect()], docs, size))
-        out = arrow_pass(docs, _hits(index), f"id {kind}, {schema}")
-    else:
-        rows = docs.select("*", F.xxhash64("id", "text").alias("a"), F.xxhash64("text", "id").alias("b"))
-        found = []
-        for part in parts:
-            index = spark.sparkContext.broadcast(build_index([tuple(r) for r in part.collect()], docs, size))
-            found.append(arrow_pass(rows, _hits(index), f"id {kind}, a long, b long, {schema}"))
-        every = reduce(DataFrame.unionByName, found).groupBy("id", "a", "b").agg(
-            F.max("n_words").alias("n_words"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.count(F.lit(1)).alias("n"),
-        )
-        copies = F.expr(f"sequence(1L, n div {len(parts)})")  # repeated rows
-        out = every.withColumn("copy", F.explode(copies)).drop("copy", "n", "a", "b")
-    return out.withColumn("contaminated", F.size("hit_words") > 0).withColumnRenamed("id", id_col)
+    names = [c for c in docs.columns if c not in (*NEW, "contaminated")]
+    kept = [*(f"c{i}" for i in range(len(names))), "text"]
+    out = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, kept)], F.col(f"`{text_col}`").cast("string").alias("text"))
+    schema = T.StructType(list(out.schema.fields)).add("n_words", "long").add("hit_words", T.ArrayType(T.LongType()))
+    schema = schema.add("items", T.ArrayType(T.StringType()))
+    for k, part in enumerate(_item_parts(benchmark, size, max_windows)):
+        index = spark.sparkContext.broadcast(build_index([tuple(r) for r in part.collect()], texts, size))
+        out = arrow_pass(out, _hits(index, kept, merge=k > 0), schema)
+    return out.drop("text").toDF(*names, *NEW).withColumn("contaminated", F.size("hit_words") > 0)

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -15,18 +15,16 @@ from gridcast.plans.storage import materialize
 KEY = ("__a", "__b")
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Id, text and a 128-bit row key; equal rows share the key, nulls are allowed.
+def row_key(ident: Column, text: Column) -> list[Column]:
+    """A 128-bit key of a row; equal rows share it, nulls are allowed."""
+    absent = F.isnull(text)
+    return [F.xxhash64(ident, text, absent).alias("__a"), F.xxhash64(absent, text, ident).alias("__b")]
 
-    Only these columns are taken on, so names of other columns cannot clash.
-    """
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Id, text and row key; only these columns are taken on, so no other name can clash."""
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
-    return docs.select(
-        ident.alias("__id"),
-        text.alias("__text"),
-        F.xxhash64(ident, text, F.isnull(text)).alias("__a"),
-        F.xxhash64(F.isnull(text), text, ident).alias("__b"),
-    )
+    return docs.select(ident.alias("__id"), text.alias("__text"), *row_key(ident, text))
 
 
 def arrow_pass(

@@ -282,9 +282,9 @@ def near_duplicates(
 
     Words are runs without ASCII white space, A-Z lower-cased; a set holds the
     distinct runs of ``size`` words, or the whole sequence of a shorter document.
-    Returns (id, n_shingles, component_id, __a, __b), one row per input row, where
-    ``__a, __b`` is the row key of ``frames.keyed``; component_id is the smallest id
-    of the component. A null or blank text has an empty set, links with nothing and
+    Returns (id, n_shingles, component_id, is_first, __a, __b), one row per input row:
+    the smallest id of the component, whether the row (or one equal to it) stands for
+    the component, and the row key of ``frames.row_key``. A null or blank text has an empty set, links with nothing and
     is its own component; repeated rows link; null ids take part, but a component
     is named by an id only if it has one that is not null. Other columns are ignored.
     """
@@ -297,18 +297,21 @@ def near_duplicates(
     )
     classes = materialize(
         listed.where("n > 0").groupBy("s0", "s1").agg(
-            F.min("__id").alias("id"), F.min(F.struct(*KEY)).alias("doc"),
+            F.min(F.struct(F.isnull("__id").alias("none"), "__id", *KEY)).alias("doc"),
             *[F.min(c).alias(c) for c in ("n", "g0", "g1")],
         )
     )
     links, sets = _links(rows, classes, order, size, percent)
     roots = components(links)
-    named = materialize(_with_roots(classes.select("s0", "s1", "id"), roots))
-    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_class = named.join(least, "root").select("s0", "s1", "component_id")
-    filled, blank = listed.where("n > 0"), listed.where("n = 0")
-    out = filled.join(of_class, ["s0", "s1"]).unionByName(blank.withColumn("component_id", F.col("__id")).select(*listed.columns, "component_id"))
-    return out.select(F.col("__id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", *KEY)
+    named = _with_roots(classes.select("s0", "s1", "doc"), roots)
+    least = named.groupBy("root").agg(F.min("doc").alias("first"))
+    of_class = _with_roots(classes.select("s0", "s1"), roots).join(least, "root").select("s0", "s1", "first")
+    filled, blank = listed.where("n > 0").join(of_class, ["s0", "s1"]), listed.where("n = 0")
+    first = (F.col("__a") == F.col("first.__a")) & (F.col("__b") == F.col("first.__b"))
+    size = F.col("n").alias("n_shingles")
+    filled = filled.select("__id", size, F.col("first.__id").alias("component_id"), first.alias("is_first"), *KEY)
+    blank = blank.select("__id", size, F.col("__id").alias("component_id"), F.lit(True).alias("is_first"), *KEY)
+    return filled.unionByName(blank).withColumnRenamed("__id", id_col)
 
 
 def _links(rows: DataFrame, classes: DataFrame, order, size: int, percent: int) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,7 @@ from gridcast.llm.licenses import scan_licenses
 from gridcast.llm.ngram_join import near_duplicates
 from gridcast.llm.pii import BASE_KINDS, detect
 from gridcast.llm.substring_dedup import remove_repeats
+from gridcast.llm.suffix_dedup import remove_passages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_passages(_table(spark, sf_dir, "documents"), least_words=50)
+    runs = F.array_join(F.transform("runs", lambda r: F.concat_ws(":", r["start"], r["end"])), ",")
+    return out.select("doc_id", "n_words", "n_removed", runs.alias("removed_words"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = html_text.fit(_table(spark, sf_dir, "documents"))
     out = html_text.extract_text(_table(spark, sf_dir, "pages"), model)
@@ -81,6 +88,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_html_text": op3_html_text,
     "op4_licenses": op4_licenses,
     "op5_embedding_dedup": op5_embedding_dedup,

@@ -16,6 +16,23 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+OP2 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50),
+runs AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS run FROM starts),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY run) AS n FROM runs) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM again),
+islands AS (SELECT doc_id, min(j) AS lo, max(j) AS hi
+            FROM (SELECT doc_id, j, j - row_number() OVER (PARTITION BY doc_id ORDER BY j) AS g FROM gone) GROUP BY doc_id, g),
+ranges AS (SELECT doc_id, string_agg((lo - 1) || ':' || hi, ',' ORDER BY lo) AS r FROM islands GROUP BY doc_id),
+word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS t, count(*) AS n
+         FROM word ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+       coalesce(r, '') AS removed_words, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN ranges USING (doc_id)
+"""
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PLAIN = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -67,6 +84,21 @@ SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(root, w.doc_id)
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN comp ON node = w.doc_id
 """
 
+OP5 = r"""
+WITH RECURSIVE
+v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+       AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+         WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT DISTINCT x AS node, x AS root FROM link UNION SELECT link.y, reach.root FROM reach JOIN link ON link.x = reach.node),
+comp AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+n AS (SELECT x, count(*) AS n FROM link GROUP BY x)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(root, vec_id) AS component_id,
+       coalesce(root, vec_id) = vec_id AS kept
+FROM v LEFT JOIN comp ON node = vec_id LEFT JOIN n ON x = vec_id
+"""
+
 
 def _phrases() -> str:
     rows = [(p, x, True) for p, x in BASE_PHRASES.items()] + [(p, x, False) for p, x in MORE_PHRASES.items()]
@@ -76,6 +108,8 @@ def _phrases() -> str:
 SQL = {
     # without identifier tags, of which the tables hold none; tests compare those by brute force
     "op4_licenses": OP4.replace("{phrases}", _phrases()),
+    "op2_suffix_dedup": OP2,
+    "op5_embedding_dedup": OP5,
     "op6_substring_dedup": OP6,
     "op8_decontamination": OP8,
     "op10_ngram_join": OP10,
