@@ -122,26 +122,26 @@ def _splits(table: pa.Table, keys: list[str]) -> np.ndarray:
 FILTER_BITS = 23
 
 
-def _filter_places(columns) -> list:
-    return [F.shiftrightunsigned(c, 64 - FILTER_BITS) for c in columns]
-
-
 def key_filter(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter over (__a, __b): 2**23 bits, a megabyte whatever the number of keys.
+    """A Bloom filter over two columns of 64-bit hashes: 2**23 bits, however many keys.
 
     It spares a shuffle most of the rows that a join would drop; the join itself
     still follows, so a filter that many keys have filled only saves less.
     """
-    places = keys.select(F.explode(F.array(*_filter_places([F.col(k) for k in KEY]))).alias("at"))
-    words = places.groupBy((F.col("at").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) / 32).cast("int").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits")
-    )
+    places = keys.select(F.explode(F.array(*[F.shiftrightunsigned(c, 64 - FILTER_BITS) for c in keys.columns])).alias("at"))
+    words = places.groupBy(F.expr("cast(at div 32 as int)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits"))
     bits = np.zeros((1 << FILTER_BITS) // 32, np.uint32)
     rows = words.toArrow()
     bits[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint32)
     return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
 
 
-def passes_filter(batch: pa.RecordBatch, bits: np.ndarray) -> np.ndarray:
-    places = [batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - FILTER_BITS) for k in KEY]
-    return bits[places[0]] & bits[places[1]]
+def likely_rows(df: DataFrame, keys: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """Rows of ``df`` whose two key columns may be among the (two-column) ``keys``."""
+    held = df.sparkSession.sparkContext.broadcast(key_filter(keys))
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        places = [batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - FILTER_BITS) for k in names]
+        return batch.filter(pa.array(held.value[places[0]] & held.value[places[1]]))
+
+    return arrow_pass(df, step, df.schema)

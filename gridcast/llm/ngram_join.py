@@ -8,9 +8,9 @@ of their prefixes; group pairs pass the length and positional bounds, are
 expanded to their members and verified on the whole sets.
 
 The result are components, so a pair inside a component needs no proof of its own.
-Groups of a shingle are therefore first verified in units of bounded size, all
-pairs of a unit at once; then one class of each component that a shingle still
-has; what then remains in different components is verified pair by pair.
+Of the groups of a shingle, only neighbours by size are verified first, and again
+neighbours among the components that are left; what then remains in different
+components is verified pair by pair.
 """
 
 from __future__ import annotations
@@ -23,11 +23,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridcast.llm import words as W
-from gridcast.llm.frames import KEY, arrow_pass, components, first_of_each, key_filter, keyed, passes_filter, run_pass
+from gridcast.llm.frames import KEY, arrow_pass, components, first_of_each, keyed, likely_rows
 from gridcast.plans.storage import materialize
 
 ORDER_BITS = 18
-UNIT_COST, LEAST_COST = 1 << 21, 1 << 15
 
 
 class Order:
@@ -152,97 +151,28 @@ def _prefix_rows(size: int, percent: int, order):
     return step
 
 
-def _set_rows(size: int, order):
-    """Sets of the rows, one for each class in a batch."""
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("s0", "s1")]
-        lone = first_of_each(W.mix(keys[0].view(np.uint64) ^ W.mix(keys[1].view(np.uint64))))[1]
-        batch = batch.filter(pa.array(lone))
-        sets = []
-        for _, texts in W.slices(batch.column("__text")):
-            splits, grams = shingle_sets(texts, size, order.value)
-            sets += [grams[a:b].tobytes() for a, b in zip(splits[:-1], splits[1:])]
-        return pa.RecordBatch.from_arrays([batch.column("s0"), batch.column("s1"), pa.array(sets, pa.binary())], names=["s0", "s1", "grams"])
-
-    return step
-
-
-def _filtered(bits):
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array(passes_filter(batch, bits.value)))
-
-    return step
-
-
-def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, by products of blocks of the incidence matrix."""
-    every, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    by = np.argsort(column, kind="stable")
-    column, row = column[by], row[by]
-    total = np.zeros((len(sets), len(sets)))
-    for first in range(0, len(every), 1 << 14):
-        a, b = np.searchsorted(column, [first, first + (1 << 14)])
-        block = np.zeros((len(sets), min(1 << 14, len(every) - first)), np.float32)
-        block[row[a:b], column[a:b] - first] = 1
-        total += block @ block.T
-    return total
-
-
-def _unit_links(percent: int):
-    """Links of all pairs of a unit, as a spanning forest."""
-
-    def step(table: pa.Table, splits: np.ndarray) -> pa.RecordBatch | None:
-        names = [table.column(k).to_numpy() for k in ("s0", "s1")]
-        blobs = table.column("grams")
-        links = []
-        for a, b in zip(splits[:-1], splits[1:]):
-            if b - a < 2:
-                continue
-            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in blobs.slice(a, b - a)]
-            both = _overlaps(sets)
-            n = np.array([len(s) for s in sets])
-            linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
-            for i, j in _forest(linked):
-                links.append((a + i, a + j))
-        return _link_batch(names, links)
-
-    return step
+def _one_of_each(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """One text for each class in a batch."""
+    keys = [batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in ("s0", "s1")]
+    lone = first_of_each(W.mix(keys[0] ^ W.mix(keys[1])))[1]
+    return batch.filter(pa.array(lone)).select(["s0", "s1", "text"])
 
 
-def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join what the symmetric relation joins."""
-    seen, edges = np.zeros(len(linked), bool), []
-    for start in range(len(linked)):
-        if seen[start]:
-            continue
-        seen[start], todo = True, [start]
-        while todo:
-            i = todo.pop()
-            for j in np.flatnonzero(linked[i] & ~seen):
-                seen[j] = True
-                edges.append((i, int(j)))
-                todo.append(int(j))
-    return edges
+def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for _, part in W.slices(texts):
+        splits, grams = shingle_sets(part, size)
+        out += [grams[a:b] for a, b in zip(splits[:-1], splits[1:])]
+    return out
 
 
 LINK = "u struct<s0: long, s1: long>, v struct<s0: long, s1: long>"
 
 
-def _link_batch(names: list[np.ndarray], links: list[tuple[int, int]]) -> pa.RecordBatch | None:
-    if not links:
-        return None
-    ends = np.array(links).T
-    cols = [pa.StructArray.from_arrays([pa.array(x[e]) for x in names], names=["s0", "s1"]) for e in ends]
-    return pa.RecordBatch.from_arrays(cols, names=["u", "v"])
-
-
-def _pair_links(percent: int):
+def _pair_links(size: int, percent: int):
     def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         good = np.zeros(batch.num_rows, bool)
-        for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
-            a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+        for i, (a, b) in enumerate(zip(_sets(batch.column("x"), size), _sets(batch.column("y"), size))):
             both = len(np.intersect1d(a, b, assume_unique=True))
             good[i] = 100 * both >= percent * (len(a) + len(b) - both)
         return batch.filter(pa.array(good)).select(["u", "v"])
@@ -250,28 +180,31 @@ def _pair_links(percent: int):
     return step
 
 
-def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
-    return (100 * F.least(n, m)) >= (percent * F.greatest(n, m))
+def _may_link(n: Column, pos: Column, m: Column, at: Column, percent: int) -> Column:
+    """Length and positional bounds of two sets that share the token at ``pos`` and ``at``."""
+    most = F.least(pos, at) + 1 + F.least(n - pos - 1, m - at - 1)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
 
-def _in_units(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Cut each group, in order of size, into units of bounded cost; neighbours share a row."""
-    w = Window.partitionBy(*by).orderBy("n", "s0", "s1")
-    cost = F.greatest(F.col("n"), F.lit(LEAST_COST)).cast("long")
-    at = F.floor((F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0)) - cost) / F.lit(UNIT_COST)).cast("long")
-    rows = rows.withColumn("unit", at).withColumn("before", F.lag("unit").over(w)).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    places = F.when(F.col("before") < F.col("unit"), F.array("before", "unit")).otherwise(F.array("unit"))
-    named = rows.where("size > 1").withColumn("unit", F.explode(places))
-    return named.select(F.xxhash64(*by, F.col("unit")).alias("k0"), F.xxhash64(F.col("unit"), *by).alias("k1"), "s0", "s1").distinct()
+def _verify(pairs: DataFrame, places: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the (stored, distinct) pairs (u, v) of classes that are links.
 
-
-def _verify_units(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    with_sets = units.join(sets, ["s0", "s1"])
-    return run_pass(with_sets, ["k0", "k1"], _unit_links(percent), LINK)
+    ``places`` has a document of each class; only texts of classes in pairs are read on.
+    """
+    wanted = places.join(pairs.select(F.col("u").alias("s")).unionByName(pairs.select(F.col("v").alias("s"))).distinct(), "s")
+    wanted = materialize(wanted)
+    some = likely_rows(rows.select("__text", *KEY), wanted.select(*KEY), KEY)
+    found = some.join(wanted, list(KEY)).select("s.*", F.col("__text").alias("text"))
+    texts = materialize(arrow_pass(found, _one_of_each, "s0 long, s1 long, text string"))
+    x = texts.select(F.struct("s0", "s1").alias("u"), F.col("text").alias("x"))
+    y = texts.select(F.struct("s0", "s1").alias("v"), F.col("text").alias("y"))
+    return arrow_pass(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y"), _pair_links(size, percent), LINK)
 
 
-def _with_roots(classes: DataFrame, roots: DataFrame) -> DataFrame:
+def _with_roots(classes: DataFrame, roots: DataFrame | None) -> DataFrame:
     name = F.struct("s0", "s1")
+    if roots is None:
+        return classes.withColumn("root", name)
     return classes.withColumn("node", name).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
 
 
@@ -301,8 +234,7 @@ def near_duplicates(
             *[F.min(c).alias(c) for c in ("n", "g0", "g1")],
         )
     )
-    links, sets = _links(rows, classes, order, size, percent)
-    roots = components(links)
+    roots = components(_links(rows, classes, order, size, percent))
     named = _with_roots(classes.select("s0", "s1", "doc"), roots)
     least = named.groupBy("root").agg(F.min("doc").alias("first"))
     of_class = _with_roots(classes.select("s0", "s1"), roots).join(least, "root").select("s0", "s1", "first")
@@ -314,9 +246,8 @@ def near_duplicates(
     return filled.unionByName(blank).withColumnRenamed("__id", id_col)
 
 
-def _links(rows: DataFrame, classes: DataFrame, order, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _links(rows: DataFrame, classes: DataFrame, order, size: int, percent: int) -> DataFrame:
     """Links that join the classes of each component."""
-    spark = rows.sparkSession
     group = ["g0", "g1"]
     tokens = arrow_pass(rows.select("__text"), _prefix_rows(size, percent, order), "token long, g0 long, g1 long, n int, pos int")
     w = Window.partitionBy("token")
@@ -325,34 +256,41 @@ def _links(rows: DataFrame, classes: DataFrame, order, size: int, percent: int)
     # groups that hold several classes, or share a token with another group
     crowded = classes.groupBy(*group).count().where("count > 1").select(*group)
     wanted = shared.select(*group).unionByName(crowded).distinct()
-    members = materialize(classes.join(wanted, group, "left_semi"))
-    # whole sets of these classes, from one document each
-    places = members.select("doc.__a", "doc.__b", "s0", "s1")
-    bits = spark.sparkContext.broadcast(key_filter(places))
-    likely = arrow_pass(rows.select("__text", *KEY), _filtered(bits), "__text string, __a long, __b long")
-    sets = materialize(arrow_pass(likely.join(places, list(KEY)), _set_rows(size, order), "s0 long, s1 long, grams binary"))
-    # 1. all pairs of a group, and of the first shared token of each group, in units
-    first = shared.groupBy(*group).agg(F.min(F.struct("pos", "token")).alias("f")).select(*group, F.col("f.token").alias("token"))
-    lone = members.groupBy(*group).agg(F.min(F.struct("s0", "s1")).alias("s"), F.min("n").alias("n")).select(*group, "s.*", "n")
-    inside = _in_units(members, group)
-    across = _in_units(lone.join(first, group), ["token"])
-    links = materialize(_verify_units(inside.unionByName(across), sets, percent))
-    roots = components(links)
-    # 2. one class of each component that a token still has
-    held = materialize(_with_roots(members.select("s0", "s1", "n", *group), roots))
-    span = held.groupBy(*group).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("s0", "s1", "n")).alias("s"))
-    mixed = _mixed_tokens(shared, span)
-    one = mixed.groupBy("token", "low").agg(F.min_by("s", F.xxhash64("token", "g0", "g1")).alias("s")).select("token", "s.*")
-    more = materialize(_verify_units(_in_units(one, ["token"]), sets, percent))
-    links = materialize(links.unionByName(more))
-    roots = components(links)
-    # 3. every pair that the bounds allow and that is still apart
-    held = materialize(_with_roots(members.select("s0", "s1", "n", *group), roots))
+    members = materialize(classes.join(wanted, group, "left_semi").withColumn("s", F.struct("s0", "s1")))
+    places = members.select("s", "doc.__a", "doc.__b")
+    links = None
+    # twice: neighbours among the components that a group or a token still has
+    for seed in (1, 2):
+        held = materialize(_with_roots(members.select("s0", "s1", "n", *group), components(links) if links else None))
+        chain = materialize(_neighbours(held, shared, percent, seed))
+        found = materialize(_verify(chain, places, rows, size, percent))
+        links = found if links is None else links.unionByName(found)
+    # every pair that the bounds allow and that is still apart
+    held = materialize(_with_roots(members.select("s0", "s1", "n", *group), components(links)))
     rest = materialize(_pairs_apart(shared, held, percent))
-    x = sets.select(F.struct("s0", "s1").alias("u"), F.col("grams").alias("x"))
-    y = sets.select(F.struct("s0", "s1").alias("v"), F.col("grams").alias("y"))
-    last = arrow_pass(rest.join(x, "u").join(y, "v").select("u", "v", "x", "y"), _pair_links(percent), LINK)
-    return materialize(links.unionByName(last)), sets
+    return materialize(links.unionByName(_verify(rest, places, rows, size, percent)))
+
+
+def _spans(held: DataFrame) -> DataFrame:
+    """By group: the smallest and largest root of its classes, and one class."""
+    return held.groupBy("g0", "g1").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("s0", "s1")).alias("s")
+    )
+
+
+def _neighbours(held: DataFrame, shared: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Pairs of neighbours, by size, of one class for each component of a token or a group."""
+    mixed = _mixed_tokens(shared, _spans(held))
+    pick = F.xxhash64("token", "g0", "g1", F.lit(seed))
+    one = mixed.groupBy("token", "low").agg(F.min_by(F.struct("n", "s", "pos"), pick).alias("r"))
+    last = F.lag("r").over(Window.partitionBy("token").orderBy("r.n", F.xxhash64("r.s", F.lit(seed)), "r.s"))
+    pairs = one.withColumn("l", last).where(_may_link(F.col("r.n"), F.col("r.pos"), F.col("l.n"), F.col("l.pos"), percent))
+    inside = Window.partitionBy("g0", "g1").orderBy(F.xxhash64("s0", "s1", F.lit(seed)), "s0", "s1")
+    name = F.struct("s0", "s1")
+    own = held.select(name.alias("r"), F.lag(name).over(inside).alias("l"), "root", F.lag("root").over(inside).alias("other"))
+    own = own.where("root <> other").select("r", "l")
+    ends = F.least("r", "l").alias("u"), F.greatest("r", "l").alias("v")
+    return pairs.select(F.col("r.s").alias("r"), F.col("l.s").alias("l")).unionByName(own).select(*ends).distinct()
 
 
 def _mixed_tokens(shared: DataFrame, span: DataFrame) -> DataFrame:
@@ -362,6 +300,17 @@ def _mixed_tokens(shared: DataFrame, span: DataFrame) -> DataFrame:
     return rows.join(ends, "token")
 
 
+def _enough_shared(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs of groups whose common prefix tokens, and all that comes after the last, suffice."""
+    left = shared.select(F.col("g0").alias("l_g0"), F.col("g1").alias("l_g1"), "token", F.col("n").alias("l_n"), F.col("pos").alias("l_pos"))
+    both = pairs.join(left, ["l_g0", "l_g1"]).join(shared, ["g0", "g1", "token"])
+    seen = both.groupBy("l_g0", "l_g1", "g0", "g1").agg(
+        F.count(F.lit(1)).alias("c"), F.max("l_pos").alias("i"), F.max("pos").alias("j"), F.min("l_n").alias("l_n"), F.min("n").alias("n")
+    )
+    most = F.col("c") + F.least(F.col("l_n") - F.col("i"), F.col("n") - F.col("j")) - 1
+    return seen.where((100 + percent) * most >= percent * (F.col("l_n") + F.col("n"))).select("l_g0", "l_g1", "g0", "g1")
+
+
 def _pairs_apart(shared: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes in different components that share a group or a prefix token.
 
@@ -370,8 +319,8 @@ def _pairs_apart(shared: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     the few that are still apart.
     """
     group = ["g0", "g1"]
-    span = held.groupBy(*group).agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed = materialize(_mixed_tokens(shared, span))
+    span = _spans(held)
+    mixed = materialize(_mixed_tokens(shared, span).drop("s"))
     main = (
         mixed.where("low = high").groupBy("token", "low").agg(F.count(F.lit(1)).alias("m"))
         .groupBy("token").agg(F.max_by("low", F.struct("m", "low")).alias("main"))
@@ -379,15 +328,12 @@ def _pairs_apart(shared: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     marked = mixed.join(main, "token", "left").withColumn("minor", F.coalesce(~((F.col("low") == F.col("main")) & (F.col("high") == F.col("main"))), F.lit(True)))
     left = marked.where("minor").select("token", *[F.col(c).alias(f"l_{c}") for c in ("g0", "g1", "n", "pos", "low", "high")])
     pairs = left.join(marked, "token").where(
-        _sizes_fit(F.col("l_n"), F.col("n"), percent)
+        _may_link(F.col("l_n"), F.col("l_pos"), F.col("n"), F.col("pos"), percent)
         & (~F.col("minor") | (F.struct("l_g0", "l_g1") < F.struct("g0", "g1")))
         & ~((F.col("l_low") == F.col("l_high")) & (F.col("low") == F.col("high")) & (F.col("l_low") == F.col("low")))
         & ((F.col("l_g0") != F.col("g0")) | (F.col("l_g1") != F.col("g1")))
-        & (
-            (100 + percent) * (F.least("l_pos", "pos") + 1 + F.least(F.col("l_n") - F.col("l_pos") - 1, F.col("n") - F.col("pos") - 1))
-            >= percent * (F.col("l_n") + F.col("n"))
-        )
     ).select("l_g0", "l_g1", *group).distinct()
+    pairs = _enough_shared(materialize(pairs), shared, percent)
     node = F.struct("s0", "s1")
     u = held.select(F.col("g0").alias("l_g0"), F.col("g1").alias("l_g1"), node.alias("u"), F.col("root").alias("u_root"))
     v = held.select(*group, node.alias("v"), F.col("root").alias("v_root"))
