@@ -10,7 +10,8 @@ expanded to their members and verified on the whole sets.
 The result are components, so a pair inside a component needs no proof of its own.
 Of the groups of a shingle, only neighbours by size are verified first, and again
 neighbours among the components that are left; what then remains in different
-components is verified pair by pair.
+components is verified pair by pair, and where a shingle has many groups, in blocks
+of classes that are compared inside a task.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridcast.llm import words as W
-from gridcast.llm.frames import KEY, arrow_pass, components, first_of_each, keyed, likely_rows
+from gridcast.llm.frames import KEY, arrow_pass, components, first_of_each, keyed, likely_rows, run_pass
 from gridcast.plans.storage import materialize
 
 ORDER_BITS = 18
+#: A token of more groups is dealt with in blocks of classes, not by pairs.
+CROWD, BLOCK = 64, 512
 
 
 class Order:
@@ -169,6 +172,62 @@ def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
 LINK = "u struct<s0: long, s1: long>, v struct<s0: long, s1: long>"
 
 
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, by products of blocks of the incidence matrix."""
+    every, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    again = seen > 1  # what only one set holds adds to no intersection
+    row, column = row[again[column]], (np.cumsum(again) - 1)[column[again[column]]]
+    by = np.argsort(column, kind="stable")
+    column, row = column[by], row[by]
+    total, width = np.zeros((len(sets), len(sets))), 1 << 12
+    for first in range(0, int(again.sum()), width):
+        a, b = np.searchsorted(column, [first, first + width])
+        block = np.zeros((len(sets), width), np.float32)
+        block[row[a:b], column[a:b] - first] = 1
+        total += block @ block.T
+    return total
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join what the symmetric relation joins."""
+    seen, edges = np.zeros(len(linked), bool), []
+    for start in range(len(linked)):
+        if seen[start]:
+            continue
+        seen[start], todo = True, [start]
+        while todo:
+            i = todo.pop()
+            for j in np.flatnonzero(linked[i] & ~seen):
+                seen[j] = True
+                edges.append((i, int(j)))
+                todo.append(int(j))
+    return edges
+
+
+def _unit_links(size: int, percent: int):
+    """Links of all pairs of a unit (two blocks, or one with itself), as a spanning forest."""
+
+    def step(table: pa.Table, splits: np.ndarray) -> pa.RecordBatch | None:
+        names = [table.column(k).to_numpy() for k in ("s0", "s1")]
+        links = []
+        for a, b in zip(splits[:-1].tolist(), splits[1:].tolist()):
+            if b - a < 2:
+                continue
+            sets = _sets(table.column("text").slice(a, b - a), size)
+            both = _overlaps(sets)
+            n = np.array([len(s) for s in sets])
+            linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+            links += [(a + i, a + j) for i, j in _forest(linked)]
+        if not links:
+            return None
+        ends = np.array(links).T
+        cols = [pa.StructArray.from_arrays([pa.array(x[e]) for x in names], names=["s0", "s1"]) for e in ends]
+        return pa.RecordBatch.from_arrays(cols, names=["u", "v"])
+
+    return step
+
+
 def _pair_links(size: int, percent: int):
     def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         good = np.zeros(batch.num_rows, bool)
@@ -186,21 +245,36 @@ def _may_link(n: Column, pos: Column, m: Column, at: Column, percent: int) -> Co
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
 
-def _verify(pairs: DataFrame, places: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the (stored, distinct) pairs (u, v) of classes that are links.
-
-    ``places`` has a document of each class; only texts of classes in pairs are read on.
-    """
-    wanted = places.join(pairs.select(F.col("u").alias("s")).unionByName(pairs.select(F.col("v").alias("s"))).distinct(), "s")
-    wanted = materialize(wanted)
+def _texts(names: DataFrame, places: DataFrame, rows: DataFrame) -> DataFrame:
+    """(s0, s1, text) for the classes ``names`` (column s); ``places`` has a document of each class."""
+    wanted = materialize(places.join(names.distinct(), "s"))
     some = likely_rows(rows.select("__text", *KEY), wanted.select(*KEY), KEY)
     found = some.join(wanted, list(KEY)).select("s.*", F.col("__text").alias("text"))
-    texts = materialize(arrow_pass(found, _one_of_each, "s0 long, s1 long, text string"))
+    return materialize(arrow_pass(found, _one_of_each, "s0 long, s1 long, text string"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("s")).unionByName(pairs.select(F.col("v").alias("s")))
+
+
+def _verify_pairs(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of the distinct pairs (u, v) of classes that are links."""
     x = texts.select(F.struct("s0", "s1").alias("u"), F.col("text").alias("x"))
     y = texts.select(F.struct("s0", "s1").alias("v"), F.col("text").alias("y"))
     return arrow_pass(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y"), _pair_links(size, percent), LINK)
 
 
+def _verify_crowds(crowds: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links among all classes (s) of each token, block by block."""
+    sizes = crowds.groupBy("token").agg(F.expr(f"(count(1) + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
+    rows = crowds.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("s", "token"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.where("block <> other OR blocks = 1")  # a unit of two blocks compares each with itself too
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    units = rows.select("s.*", F.xxhash64("token", low, high).alias("k0"), F.xxhash64(high, low, "token").alias("k1"))
+    return run_pass(units.join(texts, ["s0", "s1"]), ["k0", "k1"], _unit_links(size, percent), LINK)
+
+
 def _with_roots(classes: DataFrame, roots: DataFrame | None) -> DataFrame:
     name = F.struct("s0", "s1")
     if roots is None:
@@ -263,12 +337,18 @@ def _links(rows: DataFrame, classes: DataFrame, order, size: int, percent: int)
     for seed in (1, 2):
         held = materialize(_with_roots(members.select("s0", "s1", "n", *group), components(links) if links else None))
         chain = materialize(_neighbours(held, shared, percent, seed))
-        found = materialize(_verify(chain, places, rows, size, percent))
+        found = materialize(_verify_pairs(chain, _texts(_ends(chain), places, rows), size, percent))
         links = found if links is None else links.unionByName(found)
     # every pair that the bounds allow and that is still apart
     held = materialize(_with_roots(members.select("s0", "s1", "n", *group), components(links)))
-    rest = materialize(_pairs_apart(shared, held, percent))
-    return materialize(links.unionByName(_verify(rest, places, rows, size, percent)))
+    mixed = materialize(_mixed_tokens(shared, _spans(held)).drop("s"))
+    crowded = mixed.groupBy("token").count().where(F.col("count") > CROWD).select("token")
+    crowds = mixed.join(crowded, "token").join(held, group).select("token", F.struct("s0", "s1").alias("s")).distinct()
+    crowds = materialize(crowds)
+    rest = materialize(_pairs_apart(mixed.join(crowded, "token", "left_anti"), shared, held, percent))
+    texts = _texts(_ends(rest).unionByName(crowds.select("s")), places, rows)
+    links = links.unionByName(_verify_pairs(rest, texts, size, percent))
+    return materialize(links.unionByName(_verify_crowds(crowds, texts, size, percent)))
 
 
 def _spans(held: DataFrame) -> DataFrame:
@@ -311,16 +391,14 @@ def _enough_shared(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFra
     return seen.where((100 + percent) * most >= percent * (F.col("l_n") + F.col("n"))).select("l_g0", "l_g1", "g0", "g1")
 
 
-def _pairs_apart(shared: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in different components that share a group or a prefix token.
+def _pairs_apart(mixed: DataFrame, shared: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes in different components that share a group or one of the tokens.
 
     Of each token, the component with most groups is compared with the others, not
-    with itself; so a shingle of many near copies costs their number times that of
-    the few that are still apart.
+    with itself.
     """
     group = ["g0", "g1"]
     span = _spans(held)
-    mixed = materialize(_mixed_tokens(shared, span).drop("s"))
     main = (
         mixed.where("low = high").groupBy("token", "low").agg(F.count(F.lit(1)).alias("m"))
         .groupBy("token").agg(F.max_by("low", F.struct("m", "low")).alias("main"))

@@ -26,6 +26,10 @@ from gridcast.llm.frames import arrow_pass
 from gridcast.plans.storage import materialize
 
 LINE_BREAK = 10
+#: Logits beyond this say no more: the tails would otherwise decide the calibration.
+SURE = 8.0
+#: Bytes of the word beginnings that count as terms, beside whole words.
+BEGINNINGS = (4, 5)
 MAX_SIZE_CLASS = 40
 
 
@@ -35,15 +39,16 @@ class Training:
 
     At most ``labelled`` labelled rows and ``pool`` rows without a label, those with
     the smallest hash of the id, of at most ``sample_chars`` characters each; the
-    ``vocabulary`` words that tell the classes apart best, each in at least
-    ``least_rows`` sampled documents.
+    ``vocabulary`` terms that tell the classes apart best, each in at least
+    ``least_rows`` sampled documents and with a chi-square that about one of all
+    candidate terms has by chance.
     """
 
-    labelled: int = 8000
+    labelled: int = 16000
     pool: int = 4000
     sample_chars: int = 200_000
     vocabulary: int = 2048
-    least_rows: int = 8
+    least_rows: int = 5
     categories: int = 64
     rounds: int = 3
     sure: float = 0.97
@@ -110,16 +115,32 @@ def _same_lines(ws: W.Words) -> np.ndarray:
     return np.bincount(row[by], again, len(ws.counts)) / np.maximum(lines, 1)
 
 
+def terms(ws: W.Words) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(row, hash) of the words and of the beginnings of longer words."""
+    up, down = W.BYTE_POWER[0].to(len(ws.data) + 1)
+    total = np.zeros(len(ws.data) + 1, np.uint64)
+    np.cumsum(ws.splitter.values(0)[ws.data] * up[:-1], out=total[1:])
+    rows, out = ws.rows(), []
+    for k in (0, *BEGINNINGS):
+        long = slice(None) if not k else ws.end - ws.start > k
+        start = ws.start[long]
+        end = ws.end[long] if not k else start + k
+        out.append((rows[long], W.mix((total[end] - total[start]) * down[start] + np.uint64(k))))
+    return out
+
+
 def present(texts: pa.Array, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each vocabulary word that a row of a slice holds."""
+    """(row, column) of each term of the vocabulary that a row of a slice holds."""
     ws = W.split(texts, W.PLAIN)
-    h = ws.hashes()
-    if not len(vocabulary) or not len(h):
+    if not len(vocabulary) or not len(ws.start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-    held = vocabulary[at] == h
-    pairs = np.unique(ws.rows()[held] * len(vocabulary) + at[held])
-    return pairs // len(vocabulary), pairs % len(vocabulary)
+    pairs = []
+    for row, h in terms(ws):
+        at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+        held = vocabulary[at] == h
+        pairs.append(row[held] * len(vocabulary) + at[held])
+    every = np.unique(np.concatenate(pairs))
+    return every // len(vocabulary), every % len(vocabulary)
 
 
 def _cells(batch_columns: list[pa.Array], categories: list[list[str]], sizes: np.ndarray) -> np.ndarray:
@@ -142,12 +163,13 @@ class Logistic:
     bias: float
     mean: np.ndarray
     scale: np.ndarray
-    a: float = 1.0  # calibration: a * logit + b
+    a: float = 1.0  # calibration: a * (clipped) logit + b
     b: float = 0.0
 
     def logits(self, n: int, row: np.ndarray, col: np.ndarray, dense: np.ndarray) -> np.ndarray:
         z = np.bincount(row, self.weights[col], n) if len(row) else np.zeros(n)
-        return self.a * (z + ((dense - self.mean) / self.scale) @ self.dense + self.bias) + self.b
+        raw = z + ((dense - self.mean) / self.scale) @ self.dense + self.bias
+        return self.a * np.clip(raw, -SURE, SURE) + self.b
 
 
 @dataclass
@@ -170,23 +192,66 @@ class View:
         return model.logits(self.n, self.row, self.col, self.dense)
 
 
-def fit_logistic(view: View, y: np.ndarray, penalty: float = 1e-3, steps: int = 300) -> Logistic:
-    """Full-batch Adam; deterministic."""
+def _log_odds(view: View, y: np.ndarray) -> np.ndarray:
+    """Smoothed naive-Bayes weight of each 0/1 column."""
+    up, down = np.bincount(view.col, y[view.row], view.width), np.bincount(view.col, 1 - y[view.row], view.width)
+    return np.log((up + 0.5) / (y.sum() + 1)) - np.log((down + 0.5) / (len(y) - y.sum() + 1))
+
+
+def fit_logistic(view: View, y: np.ndarray, spread: float = 3.0, steps: int = 30) -> Logistic:
+    """Newton steps (by conjugate gradients) from naive-Bayes weights; deterministic.
+
+    A Gaussian prior of that ``spread`` around them (around 0 for dense columns)
+    lets rare columns keep their say.
+    """
     mean, scale = view.dense.mean(0), view.dense.std(0) + 1e-6
-    dense = (view.dense - mean) / scale
-    theta = np.zeros(view.width + dense.shape[1] + 1)
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    k = view.width
-    for step in range(1, steps + 1):
-        z = np.bincount(view.row, theta[view.col], view.n) + dense @ theta[k:-1] + theta[-1]
-        residual = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / view.n
-        g = np.concatenate([np.bincount(view.col, residual[view.row], k), dense.T @ residual, [residual.sum()]])
-        g[:-1] += penalty * theta[:-1] / 10
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        theta -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    dense = np.column_stack([(view.dense - mean) / scale, np.ones(view.n)])
+    k, penalty = view.width, np.full(view.width + dense.shape[1], spread**-2)
+    penalty[-1] = 1e-6  # the bias is free
+    prior = np.concatenate([_log_odds(view, y), np.zeros(dense.shape[1])])
+
+    def times(v: np.ndarray) -> np.ndarray:
+        return np.bincount(view.row, v[view.col], view.n) + dense @ v[k:]
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(view.col, r[view.row], k), dense.T @ r])
+
+    def loss(v: np.ndarray, z: np.ndarray) -> float:
+        return float(np.logaddexp(0, np.where(y > 0, -z, z)).sum() + 0.5 * (penalty * (v - prior) ** 2).sum())
+
+    theta = prior.copy()
+    z = times(theta)
+    for _ in range(steps):
+        p = _sigmoid(z)
+        gradient = back(p - y) + penalty * (theta - prior)
+        weight = p * (1 - p) + 1e-9
+        step = _conjugate(lambda v: back(weight * times(v)) + penalty * v, gradient)
+        rate, now = 1.0, loss(theta, z)
+        while rate > 1e-4 and loss(theta - rate * step, times(theta - rate * step)) > now:
+            rate /= 2
+        theta = theta - rate * step
+        z = times(theta)
+        if now - loss(theta, z) < 1e-5 * max(now, 1.0):
+            break
     return Logistic(theta[:k], theta[k:-1], float(theta[-1]), mean, scale)
 
 
+def _conjugate(product, right: np.ndarray, steps: int = 50) -> np.ndarray:
+    """Solve a positive definite system given by its product with a vector."""
+    x, r = np.zeros_like(right), right.copy()
+    d, size = r.copy(), r @ r
+    first = size
+    for _ in range(steps):
+        if size <= 1e-8 * first or size == 0:
+            break
+        hd = product(d)
+        rate = size / (d @ hd)
+        x, r = x + rate * d, r - rate * hd
+        size, last = r @ r, size
+        d = r + size / last * d
+    return x
+
+
 def calibrate(model: Logistic, z: np.ndarray, y: np.ndarray) -> None:
     """Platt scaling on held-out rows, drawn to the prior by smoothed targets and a small penalty."""
     up, down = y.sum(), len(y) - y.sum()
@@ -259,7 +324,7 @@ class Scorer:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, settings: Training, meta: list[str]) -> DataFrame:
-    """Labelled rows and pool with hashes of their word sets; near copies of one label once."""
+    """Labelled rows and pool; of near copies with one label (equal min-hashes of shingles), one."""
     short = F.length("text") <= settings.sample_chars
     near_hash = F.xxhash64("id")
     some = labels.where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.min("y").alias("y"))
@@ -273,10 +338,12 @@ def _sample(docs: DataFrame, labels: DataFrame, settings: Training, meta: list[s
         for first, texts in W.slices(batch.column("text")):
             ws = W.split(texts, W.PLAIN)
             h = ws.hashes()
+            ahead = np.minimum(np.arange(len(h)) + 5, np.repeat(ws.splits[1:], ws.counts))
+            grams = ws.spans(h, np.arange(len(h)), ahead)
             some = np.flatnonzero(ws.counts)
             for k in range(3):
                 if len(some):
-                    signs[k, first + some] = np.minimum.reduceat(W.mix(h + np.uint64(k + 1)), ws.splits[:-1][some])
+                    signs[k, first + some] = np.minimum.reduceat(W.mix(grams + np.uint64(k + 1)), ws.splits[:-1][some])
         cols = [*(batch.column(c) for c in batch.schema.names), *(pa.array(s.view(np.int64)) for s in signs)]
         return pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "m0", "m1", "m2"])
 
@@ -291,15 +358,19 @@ def _sample(docs: DataFrame, labels: DataFrame, settings: Training, meta: list[s
 
 
 def _vocabulary(sample: DataFrame, settings: Training) -> np.ndarray:
-    """Hashes of the words whose presence depends most on the label (chi-square)."""
+    """Hashes of the terms whose presence depends most on the label (chi-square)."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, rows = [], []
         for first, texts in W.slices(batch.column("text")):
             ws = W.split(texts, W.PLAIN)
-            pairs = np.unique(np.stack([ws.rows().astype(np.uint64), ws.hashes()]), axis=1) if len(ws.start) else np.zeros((2, 0), np.uint64)
-            rows.append(pairs[0].astype(np.int64) + first)
-            words.append(pairs[1])
+            row, h = (np.concatenate(x) for x in zip(*terms(ws)))
+            by = np.lexsort((h, row))
+            row, h = row[by], h[by]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            rows.append(row[new] + first)
+            words.append(h[new])
         row = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         word = np.concatenate(words) if words else np.zeros(0, np.uint64)
         return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), batch.column("y").take(pa.array(row))], names=["word", "y"])
@@ -310,7 +381,10 @@ def _vocabulary(sample: DataFrame, settings: Training) -> np.ndarray:
     seen = arrow_pass(labelled, step, "word long, y int").groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     chi = n * (a * (down - b) - b * (up - a)) ** 2 / ((a + b) * (n - a - b + 1e-9) * float(up) * float(down) + 1e-9)
-    top = seen.where(a + b >= settings.least_rows).orderBy(chi.desc(), "word").limit(settings.vocabulary).select("word").toArrow()
+    candidates = materialize(seen.where(a + b >= settings.least_rows).select("word", chi.alias("chi")))
+    many = max(2 * np.log(candidates.count() + 2), 2.0)
+    telling = candidates.where(F.col("chi") >= float(many - np.log(many)))
+    top = telling.orderBy(F.desc("chi"), "word").limit(settings.vocabulary).select("word").toArrow()
     return np.sort(top.column("word").to_numpy().view(np.uint64))
 
 
