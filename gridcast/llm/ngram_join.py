@@ -5,7 +5,8 @@ sets that reach the threshold share a shingle among the first ``n - ceil(t n) +
 of each: its prefix. Documents with equal sets are one class. Classes with the
 same prefix and size are one group, and only groups are indexed by the shingles
 of their prefixes; group pairs pass the length and positional bounds, are
-expanded to their members and verified on the whole sets.
+expanded to their members, pass a bound by histograms of their shingles and are
+verified on the whole sets.
 
 The result are components, so a pair inside a component needs no proof of its own.
 Of the groups of a shingle, only neighbours by size are verified first, and again
@@ -28,6 +29,8 @@ from gridcast.llm.frames import KEY, arrow_pass, components, first_of_each, keye
 from gridcast.plans.storage import materialize
 
 ORDER_BITS = 18
+#: Bins of the histogram of a set; a bin that is full in both sets of a pair proves nothing.
+BINS, FULL = 256, 255
 #: A token of more groups is dealt with in blocks of classes, not by pairs.
 CROWD, BLOCK = 64, 512
 
@@ -154,6 +157,35 @@ def _prefix_rows(size: int, percent: int, order):
     return step
 
 
+def _histograms(size: int):
+    """How many shingles of a set fall into each bin, one byte a bin."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        out = []
+        for _, texts in W.slices(batch.column("__text")):
+            splits, grams = shingle_sets(texts, size)
+            row = np.repeat(np.arange(len(texts)), np.diff(splits))
+            bins = (W.mix(grams) & np.uint64(BINS - 1)).astype(np.int64)
+            counts = np.bincount(row * BINS + bins, minlength=len(texts) * BINS).reshape(-1, BINS)
+            out += [c.tobytes() for c in np.minimum(counts, FULL).astype(np.uint8)]
+        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEY), pa.array(out, pa.binary())], names=[*KEY, "bins"])
+
+    return step
+
+
+def _bins_allow(percent: int):
+    """Pairs whose sets may overlap enough: in no bin by more than the smaller count."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("x", "y"))
+        most = np.minimum(x, y)
+        both = np.array(batch.column("n").to_numpy()) + batch.column("m").to_numpy()
+        good = (100 + percent) * most.sum(1, dtype=np.int64) >= percent * both
+        return batch.filter(pa.array(good | (most == FULL).any(1))).select(["u", "v"])
+
+    return step
+
+
 def _one_of_each(batch: pa.RecordBatch) -> pa.RecordBatch:
     """One text for each class in a batch."""
     keys = [batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in ("s0", "s1")]
@@ -245,6 +277,21 @@ def _may_link(n: Column, pos: Column, m: Column, at: Column, percent: int) -> Co
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
 
+def _class_bins(members: DataFrame, places: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """(s, n, bins) for the classes of ``members``."""
+    some = likely_rows(rows.select("__text", *KEY), places.select(*KEY), KEY)
+    found = arrow_pass(some, _histograms(size), "__a long, __b long, bins binary").distinct()
+    return materialize(found.join(places, list(KEY)).select("s", "bins").join(members.select("s", "n"), "s"))
+
+
+def _plausible(pairs: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of classes that the histograms allow."""
+    x = bins.select(F.col("s").alias("u"), "n", F.col("bins").alias("x"))
+    y = bins.select(F.col("s").alias("v"), F.col("n").alias("m"), F.col("bins").alias("y"))
+    both = pairs.join(x, "u").join(y, "v").select("u", "v", "n", "m", "x", "y")
+    return materialize(arrow_pass(both, _bins_allow(percent), LINK))
+
+
 def _texts(names: DataFrame, places: DataFrame, rows: DataFrame) -> DataFrame:
     """(s0, s1, text) for the classes ``names`` (column s); ``places`` has a document of each class."""
     wanted = materialize(places.join(names.distinct(), "s"))
@@ -332,11 +379,12 @@ def _links(rows: DataFrame, classes: DataFrame, order, size: int, percent: int)
     wanted = shared.select(*group).unionByName(crowded).distinct()
     members = materialize(classes.join(wanted, group, "left_semi").withColumn("s", F.struct("s0", "s1")))
     places = members.select("s", "doc.__a", "doc.__b")
+    bins = _class_bins(members, places, rows, size)
     links = None
     # twice: neighbours among the components that a group or a token still has
     for seed in (1, 2):
         held = materialize(_with_roots(members.select("s0", "s1", "n", *group), components(links) if links else None))
-        chain = materialize(_neighbours(held, shared, percent, seed))
+        chain = _plausible(_neighbours(held, shared, percent, seed), bins, percent)
         found = materialize(_verify_pairs(chain, _texts(_ends(chain), places, rows), size, percent))
         links = found if links is None else links.unionByName(found)
     # every pair that the bounds allow and that is still apart
@@ -345,7 +393,7 @@ def _links(rows: DataFrame, classes: DataFrame, order, size: int, percent: int)
     crowded = mixed.groupBy("token").count().where(F.col("count") > CROWD).select("token")
     crowds = mixed.join(crowded, "token").join(held, group).select("token", F.struct("s0", "s1").alias("s")).distinct()
     crowds = materialize(crowds)
-    rest = materialize(_pairs_apart(mixed.join(crowded, "token", "left_anti"), shared, held, percent))
+    rest = _plausible(_pairs_apart(mixed.join(crowded, "token", "left_anti"), shared, held, percent), bins, percent)
     texts = _texts(_ends(rest).unionByName(crowds.select("s")), places, rows)
     links = links.unionByName(_verify_pairs(rest, texts, size, percent))
     return materialize(links.unionByName(_verify_crowds(crowds, texts, size, percent)))

@@ -23,12 +23,16 @@ def _spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect(_table(spark, sf_dir, "documents").select("doc_id", "text"), masked=False)
     spans = F.col("pii_spans")
     return found.select(
         "doc_id",
-        *[F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS],
+        *[_count(spans, k).alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(_spans_text(F.filter(spans, lambda s: s["kind"].isin(*BASE_KINDS))), 256).alias("base_sha256"),
         _spans_text(spans).alias("spans"),
     )
