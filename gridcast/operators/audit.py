@@ -90,11 +90,12 @@ def expected_change(
 
 
 def coefficient_columns(thermal: Mapping[str, Thermal]) -> dict[str, Column]:
-    """Coefficients of a row's target as literals; one entry per target."""
+    """Coefficients of a row's target as literals; a target without any is an error."""
+    unknown = F.raise_error(F.concat(F.lit("no coefficients for target: "), F.coalesce("target", F.lit("NULL"))))
     out = {}
     for field in ("C", "h", "beta", "gamma"):
         pairs = [x for t, c in thermal.items() for x in (F.lit(t), F.lit(float(getattr(c, field))))]
-        out[field] = F.try_element_at(F.create_map(*pairs), F.col("target"))
+        out[field] = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("target")), unknown.cast("double"))
     return out
 
 

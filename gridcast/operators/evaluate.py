@@ -197,13 +197,14 @@ def horizon_metrics(
     """(horizon, mae, rmse, drift) over the steps before each horizon.
 
     Rows are (scenario, target, step, y_true, y_pred). Drift is the distance of
-    the prediction from the truth at step 0. Horizons beyond the data are left
-    out. One pass: every horizon is a conditional aggregate.
+    the prediction from the truth at step 0; a scenario without that truth counts
+    for the errors and not for the drift. Horizons beyond the data are left out.
+    One pass: every horizon is a conditional aggregate.
     """
     start = rollout.where(F.col("step") == 0).select(
         *scenario, "target", F.col("y_true").alias("__start")
     )
-    rows = salted_join(rollout, start, [*scenario, "target"], ["step"])
+    rows = salted_join(rollout, start, [*scenario, "target"], ["step"], "left")
     e = F.col("y_pred") - F.col("y_true")
     drift = F.abs(F.col("y_pred") - F.col("__start"))
     aggs = [F.max("step").alias("__last")]

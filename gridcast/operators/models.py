@@ -6,6 +6,8 @@ import hashlib
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gridcast.operators.evaluate import to_long
 from gridcast.operators.stats import scaler_inverse
-from gridcast.plans.dataset import KAhead, check_feature_list
+from gridcast.plans.dataset import KAhead, compare_names
 from gridcast.plans.storage import materialize
 from gridcast.sources.sinks import read_if_present
 
@@ -80,22 +82,27 @@ def fit_forest(
 
 def check_compatible(forest: Forest, features: Sequence[str], targets: Sequence[str]) -> None:
     """Ordered feature and target lists must equal those the forest was fitted on."""
-    diff = check_feature_list(features, forest.features)
+    diff = compare_names(features, forest.features)
     if diff:
-        raise ValueError("features do not match: " + "; ".join(diff))
+        raise ValueError(f"features do not match: {diff}")
     if list(targets) != list(forest.targets):
         raise ValueError(f"targets do not match: {list(targets)} != {list(forest.targets)}")
 
 
 def predict(forest: Forest, rows: DataFrame) -> DataFrame:
-    """Add ``p_{target}`` in the scale of the labels; extra columns pass through."""
+    """Add ``p_{target}`` in the scale of the labels; extra columns pass through.
+
+    Every row is kept: one with a missing feature gets a NULL prediction.
+    """
     missing = [c for c in forest.features if c not in rows.columns]
     if missing:
         raise ValueError(f"missing feature columns: {missing}")
-    out = VectorAssembler(inputCols=forest.features, outputCol=_X, handleInvalid="skip").transform(rows)
+    out = VectorAssembler(inputCols=forest.features, outputCol=_X, handleInvalid="keep").transform(rows)
     for model in forest.models.values():
         out = model.transform(out)
-    return out.drop(_X)
+    whole = reduce(and_, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in forest.features], F.lit(True))
+    scores = {f"p_{t}": F.when(whole, F.col(f"p_{t}")) for t in forest.models}
+    return out.withColumns(scores).drop(_X)
 
 
 def score_dataset(forest: Forest, ds: KAhead, keep: Sequence[str]) -> DataFrame:
@@ -175,7 +182,7 @@ def with_optional_model(rows: DataFrame, forest: Forest | None) -> DataFrame:
 
 
 def sample_check(forest: Forest, rows: DataFrame, n: int = 8) -> None:
-    """Score a few rows: every target must get a number for each of them."""
+    """Score a few rows: every target must get a number for each of them, also for rows with missing features."""
     cols = [f"p_{t}" for t in forest.targets]
     for r in predict(forest, rows.limit(n)).select(*cols).collect():
         if any(r[c] is None for c in cols):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from itertools import zip_longest
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,22 +49,34 @@ class KAhead:
         )
 
 
-def check_feature_list(actual: Sequence[str], expected: Sequence[str]) -> list[str]:
-    """What differs between two ordered name lists; empty when equal."""
-    actual, expected = list(actual), list(expected)
-    if actual == expected:
-        return []
-    out = []
-    if len(actual) != len(expected):
-        out.append(f"Column count mismatch: actual={len(actual)}, expected={len(expected)}")
-    missing, extra = set(expected) - set(actual), set(actual) - set(expected)
-    if missing:
-        out.append(f"Missing columns: {sorted(missing)}")
-    if extra:
-        out.append(f"Extra columns: {sorted(extra)}")
-    if not missing and not extra:
-        out.append("Column order mismatch")
-    return out
+@dataclass(frozen=True)
+class NameDiff:
+    """How one ordered list of names departs from another; false if it does not."""
+
+    first: int | None  # first place that holds another name
+    absent: tuple[str, ...]
+    surplus: tuple[str, ...]
+    repeated: tuple[str, ...]
+
+    def __bool__(self) -> bool:
+        return self.first is not None
+
+    def __str__(self) -> str:
+        parts = [("absent", self.absent), ("surplus", self.surplus), ("repeated", self.repeated)]
+        told = [f"{what}: {', '.join(names)}" for what, names in parts if names]
+        return f"from place {self.first} on" + "".join(f"; {t}" for t in told)
+
+
+def compare_names(have: Sequence[str], want: Sequence[str]) -> NameDiff:
+    """Compare two lists of names in order."""
+    first = next((i for i, (a, b) in enumerate(zip_longest(have, want)) if a != b), None)
+    count = Counter(have)
+    return NameDiff(
+        first,
+        tuple(n for n in dict.fromkeys(want) if n not in count),
+        tuple(n for n in count if n not in set(want)),
+        tuple(n for n, c in count.items() if c > 1),
+    )
 
 
 def prepare_k_ahead(
@@ -106,8 +120,8 @@ def prepare_k_ahead(
         *[F.stddev_pop(y).alias(f"{y}__s") for y in labels],
     ).first()
     keep = [c for c in names if fitted[c] is not None and fitted[c] >= low_variance]
-    if expected is not None and (diff := check_feature_list(keep, expected)):
-        raise ValueError("feature columns do not match: " + "; ".join(diff))
+    if expected is not None and (diff := compare_names(keep, expected)):
+        raise ValueError(f"feature columns do not match: {diff}")
 
     scaler: dict[str, tuple[float, float]] = {}
     if normalize:

@@ -37,11 +37,6 @@ def probe_feed(lines: DataFrame, spec: SeriesSpec, channels: Sequence[str], mode
     return ffill(wide, spec.replace(gap_free=True), channels, 1)
 
 
-def discover_channels(rows: DataFrame) -> list[str]:
-    """The channel names of a feed, one per sensor."""
-    return [r["channel"] for r in rows.select("channel").distinct().orderBy("channel").collect()]
-
-
 def merge_feeds(
     cooler: DataFrame, probes: DataFrame, spec: SeriesSpec
 ) -> tuple[DataFrame, list[str], list[str]]:

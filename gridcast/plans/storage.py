@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-@lru_cache(maxsize=1)
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="gridcast-")
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temp folder only in local mode."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return _local_dir()
+    """The folder in ``spark.checkpoint.dir``, or, where that is unset, in ``gridcast.scratch.dir``."""
+    for name in ("spark.checkpoint.dir", "gridcast.scratch.dir"):
+        if configured := spark.conf.get(name, None):
+            return configured
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -19,9 +19,24 @@ def read_log(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
 
 
+#: Number spellings that JSON does not know, in value position, and what they become.
+_NUMBERS = (
+    (r"(:\s*)\+(?=[0-9.])", "$1"),
+    (r"(?<=:\s{0,9}[-+]?[0-9._eE]{0,60}[0-9])_(?=[0-9])", ""),
+    (r"(:\s*-?)\.(?=[0-9])", "${1}0."),
+    (r"(:\s*-?[0-9]+)\.(?=\s*[,}\]eE])", "$1.0"),
+    (r",(?=\s*[\]}])", ""),
+)
+_ODD_NUMBER = r":\s*[-+]?\.|:\s*\+|[0-9]\.\s*[,}\]eE]|:\s*[-+]?[0-9.eE]+_|,\s*[\]}]"
+
+
 def _literal(line: Column) -> Column:
-    """``None``, ``True``, ``False`` in value position as JSON spells them."""
+    """Literals in value position as JSON spells them: ``None``, ``True``, ``False``,
+    ``+2.0``, ``.5``, ``5.``, ``1_000``; and no comma before a closing bracket."""
     out = line
+    for pattern, plain in _NUMBERS:
+        out = F.regexp_replace(out, pattern, plain.replace("${1}0", "$10"))
+    out = F.when(F.regexp_like(line, F.lit(_ODD_NUMBER)), out).otherwise(line)
     for python, json in (("None", "null"), ("True", "true"), ("False", "false")):
         plain = F.regexp_replace(out, rf":\s*{python}\s*(?=[,}}])", f": {json}")
         out = F.when(line.contains(python), plain).otherwise(out)

@@ -18,21 +18,21 @@ def write_merged(
 ) -> None:
     """The table under ``path/parquet`` and ``path/csv``.
 
+    The plan of ``df`` runs once: a second format is written from the Parquet table.
     With partition columns the rows are first brought together by them; the
     rebalance splits a partition that holds far more than the others.
     """
     rows = df.hint("rebalance", *partition_by) if partition_by else df
-    for fmt in formats:
-        writer = rows.write.mode("overwrite").partitionBy(*partition_by)
-        if fmt == "csv":
-            writer.option("header", True).csv(f"{path}/csv")
-        else:
-            writer.parquet(f"{path}/parquet")
+    if "parquet" in formats:
+        rows.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/parquet")
+        rows = df.sparkSession.read.schema(df.schema).parquet(f"{path}/parquet").select(*df.columns)
+    if "csv" in formats:
+        rows.write.mode("overwrite").partitionBy(*partition_by).option("header", True).csv(f"{path}/csv")
 
 
 def write_stats(stats: DataFrame, path: str) -> None:
-    """A small table (bounds, scaler, split, spec) as JSON lines."""
-    stats.coalesce(1).write.mode("overwrite").json(path)
+    """Fitted statistics (bounds, scaler, split, spec) as JSON lines, in parallel: one row per entity may be many."""
+    stats.write.mode("overwrite").json(path)
 
 
 def read_stats(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -40,8 +40,8 @@ def read_stats(spark: SparkSession, path: str, schema: T.StructType | str) -> Da
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """A metric table as one CSV file with a header."""
-    metrics.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """A metric table (a few rows) as one CSV file with a header; what computes it stays parallel."""
+    metrics.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def dataset_spec(
@@ -85,8 +85,8 @@ def cached_predictions(
 ) -> DataFrame:
     """Predictions of ``score(rows)``, computed once per split, model and content.
 
-    The key is taken from the rows themselves: two inputs of equal length do not
-    share an entry. A note written after the table marks it as complete.
+    The key is taken from ``columns`` of the rows: entity, time and all features, so
+    that neither equal lengths nor equal values at other times share an entry. A note written after the table marks it as complete.
     """
     spark = rows.sparkSession
     place = f"{path}/split={split}/model={model_key}/rows={content_key(rows, columns)}"

@@ -211,7 +211,7 @@ def steps(spark, sf):
   z AS (SELECT scenario_id, y_true AS start FROM r WHERE step = 0),
   h AS (SELECT unnest([10, 30, 60, 90]) AS horizon)
   SELECT horizon, {rs('avg(abs(y_pred - y_true))')} AS mae, {rs('sqrt(avg((y_pred - y_true) ** 2))')} AS rmse, {rs('avg(abs(y_pred - start))')} AS drift
-  FROM r JOIN z ON r.scenario_id = z.scenario_id JOIN h ON step < horizon
+  FROM r LEFT JOIN z ON r.scenario_id = z.scenario_id JOIN h ON step < horizon
   WHERE horizon <= (SELECT max(step) + 1 FROM r) GROUP BY horizon""")
 def horizon_metrics(spark, sf):
     rows = steps(spark, sf).withColumn("target", F.lit("t_low")).withColumn("y_true", F.col("t_low"))
@@ -223,7 +223,7 @@ def horizon_metrics(spark, sf):
     FROM racks a, o JOIN racks f ON f.rack = a.rack AND f.b = a.b + o.step + 1 WHERE f.t_low IS NOT NULL AND a.t_low IS NOT NULL),
   z AS (SELECT rack, t, y_true AS start FROM r WHERE step = 0), h AS (SELECT unnest([10, 20, 30]) AS horizon)
   SELECT horizon, {rs('avg(abs(y_pred - y_true))')} AS mae, {rs('sqrt(avg((y_pred - y_true) ** 2))')} AS rmse, {rs('avg(abs(y_pred - start))')} AS drift
-  FROM r JOIN z ON r.rack = z.rack AND r.t = z.t JOIN h ON step < horizon GROUP BY horizon""")
+  FROM r LEFT JOIN z ON r.rack = z.rack AND r.t = z.t JOIN h ON step < horizon GROUP BY horizon""")
 def horizon_pooled(spark, sf):
     # every row starts a rollout; the truth is what came after it
     racks = v.racks(spark, sf)
@@ -373,12 +373,13 @@ def rc_rollout(spark, sf):
 
 
 CUM_SQL = f"""{RACKS}, {STEPS_SQL}, c AS (SELECT scenario_id, step,
-    1.5 + sum((fan - 25) / 10) OVER (PARTITION BY scenario_id ORDER BY step) AS z FROM steps WHERE fan IS NOT NULL)"""
+    1.5 + sum(coalesce((fan - 25) / 10, 0)) OVER (PARTITION BY scenario_id ORDER BY step) AS z FROM steps)"""
 
 
 def cumulative(spark, sf):
-    rows = steps(spark, sf).where("fan IS NOT NULL").select(
-        "scenario_id", F.lit("t_low").alias("target"), "step", ((F.col("fan") - 25) / 10).alias("delta"))
+    # every step is kept: one without a reading changes nothing
+    delta = F.coalesce((F.col("fan") - 25) / 10, F.lit(0.0))
+    rows = steps(spark, sf).select("scenario_id", F.lit("t_low").alias("target"), "step", delta.alias("delta"))
     start = rows.select("scenario_id", "target").distinct().withColumn("t0", F.lit(1.5))
     return rollout.cumulative_rollout(rows, start, scaler={"t_low": (38.0, 2.0)}, chunk_rows=16)
 

@@ -285,6 +285,7 @@ def prediction_cache(spark, sf):
     def refuse(_):
         raise AssertionError("the cache was missed")
 
-    sinks.cached_predictions(rows, path, "all", "mean3", v.TARGETS, score)
-    out = sinks.cached_predictions(rows, path, "all", "mean3", v.TARGETS, refuse)
+    key = ["rack", "ts", *v.EXOG, *v.TARGETS]
+    sinks.cached_predictions(rows, path, "all", "mean3", key, score)
+    out = sinks.cached_predictions(rows, path, "all", "mean3", key, refuse)
     return rounded(out, ["y_true", "y_pred"], "rack", secs().alias("t"), "target")

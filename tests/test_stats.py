@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridcast import SeriesSpec
 from gridcast.operators import stats
-from gridcast.plans.dataset import check_feature_list, prepare_k_ahead
+from gridcast.plans.dataset import compare_names, prepare_k_ahead
 from tests.data import series, skewed, values
 
 
@@ -88,9 +88,12 @@ def test_split_of_697_rows(spark):
 
 
 def test_feature_list_check(spark):
-    assert check_feature_list(["a", "b"], ["a", "b"]) == []
-    assert "order" in check_feature_list(["b", "a"], ["a", "b"])[0]
-    assert len(check_feature_list(["a", "c", "d"], ["a", "b"])) == 3
+    assert not compare_names(["a", "b"], ["a", "b"])
+    swapped = compare_names(["b", "a"], ["a", "b"])
+    assert swapped and swapped.first == 0 and swapped.absent == swapped.surplus == ()
+    other = compare_names(["a", "c", "d", "c"], ["a", "b"])
+    assert (other.first, other.absent, other.surplus, other.repeated) == (1, ("b",), ("c", "d"), ("c",))
+    assert compare_names(["a"], ["a", "b"]).first == 1 and "absent: b" in str(compare_names(["a"], ["a", "b"]))
     df = series(spark, [((i * 7919) % 1009) / 10 for i in range(60)])
     with pytest.raises(ValueError):
         prepare_k_ahead(df, SPEC, ["v"], ["v"], k=1, expected=["v"])
