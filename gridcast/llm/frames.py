@@ -27,6 +27,14 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(ident.alias("__id"), text.alias("__text"), *row_key(ident, text))
 
 
+def hash_share(hashes: Column, wanted: int, of: int) -> Column:
+    """True for about ``wanted`` of ``of`` rows (all, if there are fewer), by their hashes alone.
+
+    Unlike a top-k, no task gathers candidates of all others.
+    """
+    return F.pmod(hashes, F.lit(1 << 31)) < int((1 << 31) * min(1.0, wanted / max(of, 1)))
+
+
 def arrow_pass(
     df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType
 ) -> DataFrame:

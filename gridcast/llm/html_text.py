@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridcast.llm import boosting
-from gridcast.llm.frames import arrow_pass
+from gridcast.llm.frames import arrow_pass, hash_share
 from gridcast.llm.html_dom import decode, features, read, text_of
 from gridcast.plans.storage import materialize
 
-#: Texts that training pages are made of: the rows with the smallest hash of the text.
+#: Texts that training pages are made of: a share of the rows by the hash of the text.
 SAMPLE_TEXTS = 600
 SAMPLE_CHARS = 6000
 
@@ -162,11 +162,12 @@ def _training_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def training_pages(docs: DataFrame, text_col: str = "text", texts: int = SAMPLE_TEXTS) -> DataFrame:
-    """(x, y): elements of made pages, of at most ``texts`` texts of the corpus."""
+    """(x, y): elements of made pages, of about ``texts`` different texts of the corpus."""
     text = F.substring(F.col(f"`{text_col}`").cast("string"), 1, SAMPLE_CHARS).alias("text")
-    chosen = docs.select(text).where("length(text) >= 40").select("text", F.xxhash64("text").alias("seed")).orderBy("seed").limit(texts)
+    some = docs.select(text).where("length(text) >= 40").withColumn("seed", F.xxhash64("text"))
+    chosen = some.where(hash_share(F.col("seed"), texts, docs.count())).groupBy("seed").agg(F.min("text").alias("text"))
     schema = T.StructType().add("x", T.ArrayType(T.DoubleType())).add("y", "integer")
-    return arrow_pass(materialize(chosen).coalesce(1).orderBy("seed"), _training_rows, schema)
+    return arrow_pass(materialize(chosen).repartition(1).sortWithinPartitions("seed"), _training_rows, schema)
 
 
 def fit(docs: DataFrame, text_col: str = "text", texts: int = SAMPLE_TEXTS) -> boosting.Trees:

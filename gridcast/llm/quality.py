@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridcast.llm import words as W
-from gridcast.llm.frames import arrow_pass
+from gridcast.llm.frames import arrow_pass, hash_share
 from gridcast.plans.storage import materialize
 
 LINE_BREAK = 10
@@ -37,8 +37,8 @@ MAX_SIZE_CLASS = 40
 class Training:
     """Bounds and settings of the fit.
 
-    At most ``labelled`` labelled rows and ``pool`` rows without a label, those with
-    the smallest hash of the id, of at most ``sample_chars`` characters each; the
+    About ``labelled`` labelled ids and ``pool`` others, chosen by the hash of the id,
+    of at most ``sample_chars`` characters each; the
     ``vocabulary`` terms that tell the classes apart best, each in at least
     ``least_rows`` sampled documents and with a chi-square that about one of all
     candidate terms has by chance.
@@ -326,12 +326,14 @@ class Scorer:
 def _sample(docs: DataFrame, labels: DataFrame, settings: Training, meta: list[str]) -> DataFrame:
     """Labelled rows and pool; of near copies with one label (equal min-hashes of shingles), one."""
     short = F.length("text") <= settings.sample_chars
-    near_hash = F.xxhash64("id")
-    some = labels.where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.min("y").alias("y"))
-    chosen = some.orderBy(near_hash, "id").limit(settings.labelled)
-    pool = docs.where(short & F.col("id").isNotNull()).select("id").join(some, "id", "left_anti").orderBy(near_hash, "id").limit(settings.pool)
+    key = F.xxhash64("id")
+    some = materialize(labels.where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.min("y").alias("y")))
+    known = some.count()
+    chosen = some.where(hash_share(key, settings.labelled, known))
+    others = docs.where(hash_share(key, settings.pool, docs.count() - known)).where(short & F.col("id").isNotNull())
+    pool = others.select("id").distinct().join(some, "id", "left_anti")
     ids = materialize(chosen.unionByName(pool.withColumn("y", F.lit(-1))))
-    rows = docs.where(short).join(F.broadcast(ids), "id")  # at most labelled + pool rows
+    rows = docs.where(short).join(F.broadcast(ids), "id")  # about labelled + pool ids
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         signs = np.zeros((3, batch.num_rows), np.uint64)
