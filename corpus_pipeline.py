@@ -32,9 +32,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id; of repeated rows, one.
 
-    Documents without words link with nothing and stay.
+    Copies share 0.8 of their runs of five words. Documents without words link with
+    nothing and stay.
     """
-    linked = near_duplicates(docs)
+    linked = near_duplicates(docs, size=5, percent=80)
     first = linked.where("is_first").select(*KEY, (F.col("n_shingles") == 0).alias("blank")).distinct()
     rows = docs.select(*COLUMNS, *row_key(F.col("doc_id"), F.col("text"))).join(first, list(KEY))
     w = Window.partitionBy(*KEY).orderBy("lang", "source", "n_chars")

@@ -37,6 +37,17 @@ def test_near_duplicate_awkward(spark):
     assert sum(not (r["text"] or "").strip() for r in got) == sum(not s for s in sets)
 
 
+def test_near_duplicate_between(spark):
+    """Copies with a fifth of the text appended: 0.8 of their runs of five words are shared, not 0.85 of those of four."""
+    texts = [data.prose(200, 1), data.prose(200, 1) + " " + data.prose(45, 2), data.prose(200, 3), data.prose(200, 3) + " " + data.prose(60, 4)]
+    texts += [data.prose(200, 5), data.prose(200, 5) + " " + data.prose(20, 6)]
+    sets = [data.shingles(t, 5) for t in texts]
+    roots = data.joined(len(texts), data.jaccard_links(sets, 80))
+    assert roots == [0, 0, 2, 3, 4, 4]
+    got = cp.near_duplicate(spark, spark.createDataFrame(data.rows(texts), data.SCHEMA), SF)
+    assert ids(got) == [i + 1 for i in range(len(texts)) if roots[i] == i]
+
+
 def test_decontamination(spark, given_docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
     windows = set()
