@@ -52,16 +52,16 @@ def _anchors(window: int, reach: int, choose: Choice):
         parts = []
         for first_row, texts in W.slices(batch.column("__text")):
             ws = W.split(texts, W.EXACT)
-            h = ws.hashes()
+            h, other = ws.hashes(), ws.hashes(1)
             place = choose(ws, h)
             row = np.searchsorted(ws.splits, place, "right") - 1
             pos = place - ws.splits[row]
             anchor = ws.spans(h, place, place + window - reach)
             left = np.minimum(pos, reach)
             right = np.minimum(ws.counts[row] - pos, window)
-            around = ws.spans(h, place - left, place + right)
+            around = ws.spans(other, place - left, place + right, 1)
             around = W.mix(around + (left * (window + 1) + right).astype(np.uint64))
-            parts.append((anchor, around.view(np.int64).astype(np.int32), row + first_row, pos))
+            parts.append((anchor, around.view(np.int64), row + first_row, pos))
         if not parts:
             return None
         anchor, around, row, pos = (np.concatenate(x) for x in zip(*parts))
@@ -185,7 +185,7 @@ RUNS = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
 def cut_repeats(docs: DataFrame, id_col: str, text_col: str, window: int, reach: int, choose: Choice) -> DataFrame:
     """(id, n_words, n_removed, kept_text, runs): each text without the words of repeated windows."""
     rows = keyed(docs, id_col, text_col)
-    anchors = arrow_pass(rows.select("__text", *KEY), _anchors(window, reach, choose), "k0 long, k1 int, __a long, __b long, at int")
+    anchors = arrow_pass(rows.select("__text", *KEY), _anchors(window, reach, choose), "k0 long, k1 long, __a long, __b long, at int")
     judged = materialize(_judged(anchors))
     # both joins below read the same exchange of the texts by key
     near = rows.join(judged.where(F.exists("codes", lambda c: c % 2 == 1)), list(KEY))

@@ -57,6 +57,24 @@ def test_cut(awkward, window, operator):
         assert r["n_removed"] == sum(x["end"] - x["start"] for x in r["runs"])
 
 
+@pytest.mark.parametrize(
+    "window, operator, ids, far, n",
+    [(35, remove_repeats, (810, 54639), 45, 70), (50, remove_passages, (99041, 147643), 60, 90)],
+)
+def test_contexts_alike(spark, window, operator, ids, far, n):
+    """Two contexts of one anchor that agree in the last 32 bits of the hash of seed 0 but not in their words."""
+    texts = []
+    for i in ids:
+        words = [f"w{k}" for k in range(n)]
+        words[10], words[far] = f"x{i}", f"y{i}"
+        texts.append(" ".join(words))
+    rows = data.rows(texts)
+    got = operator(spark.createDataFrame(rows, data.SCHEMA)).select("doc_id", "n_words", "n_removed", "kept_text").collect()
+    want = expected_cut(rows, window)
+    assert [r[2] for r in want] == [0, 0]
+    assert sorted((tuple(r) for r in got), key=key) == want
+
+
 def test_cut_empty(spark):
     none = spark.createDataFrame([], data.SCHEMA)
     assert remove_repeats(none).count() == 0
