@@ -17,8 +17,13 @@ TOKEN = re.compile(r"[a-z]+")
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 #: Elements that hold no readable text, whatever a model says.
-HIDDEN = frozenset("head script style noscript template iframe svg math object canvas audio video select datalist title textarea button".split())
+HIDDEN = frozenset("head script style noscript template iframe svg canvas audio video select datalist title textarea".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
+#: What a head can hold; in pages without its end tag, which is optional, anything else ends it.
+IN_HEAD = frozenset("head html base basefont bgsound link meta title noscript noframes style script template".split())
+#: A start tag of these that ends with a slash has no content, nor has any inside the first two.
+FOREIGN = ("svg", "math")
+EMPTY = (HIDDEN - RAW - {"head"}) | set(FOREIGN)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -55,21 +60,32 @@ def _attributes(raw: str) -> tuple[tuple[str, ...], int]:
     for name, value in ATTRIBUTE.findall(raw):
         value = value.strip("\"'")
         if name.lower() == "data-label":
-            label = int(value)
+            label = int(value) if value in ("0", "1") else -1  # real pages use the name too
         else:
             tokens += TOKEN.findall(HUMP.sub(" ", value).lower())
     return tuple(tokens), label
 
 
 class _Builder:
-    def __init__(self) -> None:
+    def __init__(self, implied: bool) -> None:
+        self.implied = implied  # whether content ends a head
+        self.unended = False  # whether a head has no end tag
         self.page = Page()
         self.open: list[tuple[str, int]] = [("#page", 0)]  # (name, innermost block element)
         self.text: list[str] = []
         self.in_link = 0
         self.hidden = 0
 
+    def end_head(self) -> None:
+        if self.implied and self.open[-1][0] == "head":
+            self.close("head")
+
+    def is_empty(self, name: str, raw: str) -> bool:
+        return raw.endswith("/") and (name in EMPTY or any(n in FOREIGN for n, _ in self.open))
+
     def add_text(self, text: str) -> None:
+        if self.hidden and text.strip():
+            self.end_head()
         if self.hidden or not text:
             return
         self.text.append(text)
@@ -84,6 +100,14 @@ class _Builder:
             self.text.clear()
 
     def start(self, name: str, raw: str) -> None:
+        if name == "body" and any(n == "head" for n, _ in self.open):
+            self.unended = True
+            if self.implied:
+                self.close("head")
+        if name not in IN_HEAD:
+            self.end_head()
+        if self.is_empty(name, raw):
+            return
         if name in BLOCK:
             self.end_run()
             if any(n == "p" for n, _ in self.open):
@@ -127,6 +151,7 @@ class _Builder:
         while True:
             last, _ = self.open.pop()
             self.hidden -= last in HIDDEN
+            self.unended |= last == "head" != name
             self.in_link -= last == "a"
             if last == name:
                 return
@@ -134,7 +159,12 @@ class _Builder:
 
 def read(html: str) -> Page:
     """Elements and text runs of a page; broken markup is read as far as it goes."""
-    builder, at = _Builder(), 0
+    builder = _build(html, False)
+    return _build(html, True).page if builder.unended else builder.page
+
+
+def _build(html: str, implied: bool) -> _Builder:
+    builder, at = _Builder(implied), 0
     found = TAG.search(html)
     while found:
         builder.add_text(html[at : found.start()])
@@ -143,8 +173,9 @@ def read(html: str) -> Page:
         if name and (found[1] or found[4]):
             builder.close(name)
         elif name:
-            builder.start(name, found[3] or found[6] or "")
-            if name in RAW:  # its text is not markup
+            raw = found[3] or found[6] or ""
+            builder.start(name, raw)
+            if name in RAW and not builder.is_empty(name, raw):  # its text is not markup
                 end = re.compile(f"(?i)</{name}\\b").search(html, at)
                 if not end:
                     at = len(html)
@@ -155,7 +186,8 @@ def read(html: str) -> Page:
         found = TAG.search(html, at)
     builder.add_text(html[at:])
     builder.end_run()
-    return builder.page
+    builder.unended |= any(n == "head" for n, _ in builder.open)
+    return builder
 
 
 GOOD = frozenset("article content post entry main body text story page blog news document prose".split())

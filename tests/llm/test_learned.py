@@ -46,6 +46,24 @@ def test_reader(page, runs):
     assert [r for _, r in read(page).runs] == runs
 
 
+@pytest.mark.parametrize(
+    "page, runs",
+    [
+        ("<table><tr><td data-label='Price'>5</td><td data-label=7>6</td></table>", ["5", "6"]),
+        ("<head><meta charset=utf-8><title>t</title><body><p>x</p></body>", ["x"]),
+        ("<html><head><title>t</title><style>p{}</style><p>x<p>y", ["x", "y"]),
+        ("<head><link rel=icon href=/i> \n text<b>!</b>", ["text!"]),
+        ("<p>a<svg viewBox='0 0 1 1'/>b</p><div>c<canvas/>d</div>", ["ab", "cd"]),
+        ("<p>a<svg><title/><path d='M0'/><text>no</text></svg>b</p>", ["ab"]),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>", ["so x=1 holds"]),
+        ("<p>a <object data=f>see f</object> <button>go</button></p>", ["a see f go"]),
+    ],
+)
+def test_reader_of_real_pages(page, runs):
+    got = read(page)
+    assert [r for _, r in got.runs] == runs and set(got.label) == {-1}
+
+
 def test_decoding_is_consistent_and_best():
     rng = np.random.default_rng(3)
     page = read("<div><ul><li>a</li><li>b</li></ul><p>c</p></div><div><p>d</p></div>")
