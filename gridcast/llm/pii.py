@@ -27,9 +27,31 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of an IBAN by country; without an entry, any length may hold.
+_COUNTRIES = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+IBAN_LENGTH = {c: n for n, some in _COUNTRIES.items() for c in some.split()}
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 ACCESS_KEY = re.compile(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")
-SECRET = re.compile(r"(?i)(?<![a-z0-9_])(?:password|passwd|secret|token|api_?key)[\x20]?[=:][\x20]?[\"']?[^\s\"']{6,200}")
+SECRET = re.compile(r"(?i)(?<![a-z0-9_])(?:password|passwd|secret|token|api_?key)[\x20]?[=:][\x20]?[\"']?[^\s\"']{6,}+")
 NOT_DIGIT = re.compile("[^0-9]+")
 
 #: Words that raise the score of a kind when they stand near a span.
@@ -79,6 +101,23 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", free)
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Longest matches that hold, each ending at a group; what follows an IBAN may look like more groups."""
+    found = IBAN.search(text)
+    while found:
+        begin, span = found.start(), found[0]
+        ends = [len(span), *(i for i in range(len(span) - 1, 0, -1) if span[i] == " ")]
+        end = next((begin + n for n in ends if _is_iban(span[:n])), None)
+        if end:
+            yield begin, end
+        found = IBAN.search(text, end or begin + 1)
+
+
+def _is_iban(span: str) -> bool:
+    n = len(span) - span.count(" ")
+    return n == IBAN_LENGTH.get(span[:2], max(n, 15)) and mod97(span)
+
+
 def _byte(part: str) -> bool:
     digits = part.lstrip("0")
     return len(digits) <= 3 and int(digits or "0") <= 255
@@ -124,7 +163,7 @@ KINDS = (
     Kind("ip", _by(IP), lambda s: all(map(_byte, s.split("."))), 0.6),
     Kind("card", _by(CARD), _is_card, 0.8),
     Kind("phone", _by(PHONE), _is_phone, 0.7),
-    Kind("iban", _by(IBAN), mod97, 0.9),
+    Kind("iban", ibans, lambda s: True, 0.9),
     Kind("ssn", _by(SSN), _is_ssn, 0.4),
     Kind("access_key", _by(ACCESS_KEY, "akia"), lambda s: True, 0.7),
     Kind("secret", _by(SECRET, "passw", "secret", "token", "api"), lambda s: any(c.isdigit() for c in s), 0.6),

@@ -49,6 +49,18 @@ def test_checks_and_context():
     assert near[3] > far[3]
 
 
+def test_ends_of_spans():
+    for value in ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "NO93 8601 1117 947"):
+        for after in ("", " BIC COBADEFFXXX", " 4711 0815", " X"):
+            text = f"to {value}{after}"
+            assert [(k, text[a:b]) for k, a, b, _ in pii.find_spans(text) if k == "iban"] == [("iban", value)]
+    both = "AB12 CDEF 1234 DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 END"
+    assert [both[a:b] for k, a, b, _ in pii.find_spans(both) if k == "iban"] == ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]
+    for n in (200, 201, 5000):
+        text = "token=" + "a1" * n + " end"
+        assert pii.mask(text, pii.find_spans(text)) == "[secret] end"
+
+
 def test_long_runs_are_linear():
     for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "@" * 300_000, "+1" + "(" * 300_000, "a@" * 150_000):
         pii.find_spans(text)
