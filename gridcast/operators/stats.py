@@ -19,6 +19,7 @@ from gridcast.plans.chunks import join_facts
 from gridcast.plans.storage import materialize
 
 _FACTS = "__facts"
+_GROUP, _COLUMN, _VALUE = "__group", "__column", "__value"
 
 
 def clip(c: Column, low: float | Column, high: float | Column) -> Column:
@@ -46,17 +47,20 @@ def quantiles(
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles: (keys, one array column per column).
 
-    Small groups go through ``percentile``. It holds every distinct value of a
-    group, so larger ones are narrowed to at most ``limit`` values first.
+    Columns are turned into rows, so the plan does not grow with their number. No
+    task holds all values of a group: they are narrowed to ``limit`` values first.
     """
-    most = df.groupBy(*keys).agg(*[F.count(c).alias(c) for c in cols]).agg(
-        *[F.max(c).alias(c) for c in cols]
-    ).first()
-    if max((v or 0) for v in most) <= limit:
-        return df.groupBy(*keys).agg(
-            *[F.percentile(c, F.array(*[F.lit(float(q)) for q in qs])).alias(c) for c in cols]
-        )
-    return _narrowed_quantiles(df.select(*keys, *cols), cols, qs, keys, limit)
+    # a struct is never NULL, so groups with a NULL key are joined too
+    cells = [
+        F.struct(F.struct(F.lit(j).alias("column"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias(_GROUP), F.col(c).cast("double").alias(_VALUE))
+        for j, c in enumerate(cols)
+    ]
+    melted = df.select(F.explode(F.array(*cells)).alias("__cell")).select("__cell.*")
+    found = _narrowed_quantiles(melted, [_VALUE], qs, [_GROUP], limit)
+    found = found.select(*[F.col(f"{_GROUP}.k{i}").alias(k) for i, k in enumerate(keys)], F.col(f"{_GROUP}.column").alias(_COLUMN), _VALUE)
+    return found.groupBy(*keys).agg(
+        *[F.first(F.when((F.col(_COLUMN) == j) & F.col(_VALUE)[0].isNotNull(), F.col(_VALUE)), ignorenulls=True).alias(c) for j, c in enumerate(cols)]
+    )
 
 
 _CELLS = 200  # steps of the sketch; a round keeps about three of them
@@ -167,7 +171,8 @@ def _narrowed_quantiles(
 
     def value(c: str, i: int) -> Column:
         low, high = statistic(slots[c, i, "f"]), statistic(slots[c, i, "c"])
-        return low + (high - low) * (at[c, i] - F.floor(at[c, i]))
+        share = at[c, i] - F.floor(at[c, i])
+        return F.when(low == high, low).otherwise((1 - share) * low + share * high)
 
     return picked.select(
         *keys, *[F.array(*[value(c, i) for i in range(len(qs))]).alias(c) for c in cols]

@@ -40,6 +40,22 @@ def test_narrowed_quantiles_per_entity_with_a_hot_one(spark):
         assert got[k] == pytest.approx(want[k], rel=1e-12)
 
 
+def test_quantiles_of_many_columns(spark):
+    """112 columns, more values than the limit; groups without a key or without values stay."""
+    rng = np.random.default_rng(3)
+    cols = [f"c{j}" for j in range(112)]
+    x = rng.normal(size=(600, 112))
+    rows = [(("a", None)[i % 2], *map(float, r[:-1]), None) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "k string, " + ", ".join(f"{c} double" for c in cols)).repartition(4).cache()
+    got = stats.quantiles(df, cols, [0.01, 0.99], limit=100).first()
+    for j, c in enumerate(cols[:-1]):
+        assert got[c] == pytest.approx(list(np.quantile(x[:, j], [0.01, 0.99])), rel=1e-9)
+    assert got["c111"] is None
+    by = {r.k: r for r in stats.quantiles(df, ["c0", "c111"], [0.5], ["k"], limit=100).collect()}
+    assert by["a"].c0 == pytest.approx([np.median(x[::2, 0])]) and by[None].c0 == pytest.approx([np.median(x[1::2, 0])])
+    assert by["a"].c111 is None and stats.quantiles(df.limit(0), ["c0"], [0.5]).first().c0 is None
+
+
 def test_clip_keeps_missing(spark):
     assert values(stats.winsorize(series(spark, [None, 5, 1]), {"v": (2, 4), "absent": (0, 1)}), "v") == [None, 4.0, 2.0]
 
