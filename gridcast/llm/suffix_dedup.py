@@ -1,11 +1,12 @@
-"""Removal of repeated passages, by a sparse suffix array.
+"""Removal of repeated passages, by hashes at minimisers.
 
-Of all suffixes of all documents, only those at minimiser positions are retained:
+Hashing replaces the sparse suffix array that this operator was to use: no suffix is
+sorted by its words and no neighbours are compared. Only anchors at minimiser
+positions are retained:
 the places whose ``gram`` words have the smallest hash among ``spread`` places in a
 row. The content alone selects them, so a passage that occurs twice has the same
-ones at the same distances. The suffixes are sorted by their leading words (by
-hash, which keeps equal ones together), neighbours are compared, and matches are
-extended to the left and to the right as far as a passage can reach (``repeats``).
+ones at the same distances. Equal anchors meet by hash, and the words around them
+that a passage can reach are compared by hash too (``repeats``).
 """
 
 from __future__ import annotations
