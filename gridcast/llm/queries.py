@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import embedding_dedup, html_text, packing, quality
+from gridcast.llm import embedding_dedup, html_text, importance, infill, packing, quality
 from gridcast.llm.decontaminate import find_contamination
 from gridcast.llm.licenses import scan_licenses
 from gridcast.llm.ngram_join import near_duplicates
@@ -90,6 +90,19 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id")
 
 
+
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    how = importance.Resampling(low=1, high=1, buckets=10_000, least_words=20, percent=10, seed=2024)
+    out = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), how)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    how = infill.Infill(seed=42, percent=50, spm_percent=80)
+    out = infill.rearrange(_table(spark, sf_dir, "documents"), how, with_text=False)
+    return out.withColumnRenamed("n_units", "n")
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -101,4 +114,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_ngram_join": op10_ngram_join,
+    "op11_resampling": op11_resampling,
+    "op12_infill": op12_infill,
 }

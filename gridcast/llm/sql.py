@@ -99,6 +99,50 @@ SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(root, vec_id) AS comp
 FROM v LEFT JOIN comp ON node = vec_id LEFT JOIN n ON x = vec_id
 """
 
+OP11 = rf"""
+WITH RECURSIVE
+d AS (SELECT doc_id, {_PLAIN} AS ws FROM documents),
+b AS (SELECT {_PLAIN} AS ws FROM benchmark),
+crc_table AS (SELECT list(list_reduce(range(8), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), i) ORDER BY i) AS t
+              FROM (SELECT unnest(range(256)) AS i)),
+gram AS (SELECT DISTINCT unnest(ws) AS g FROM d UNION SELECT DISTINCT unnest(ws) FROM b),
+bytes AS (SELECT g, list_transform(range(1, length(hex(encode(g))) + 1, 2), lambda i: ('0x' || hex(encode(g))[i:i + 1])::BIGINT) AS bs FROM gram),
+bucket AS (SELECT g, xor(list_reduce(bs, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS k
+           FROM bytes, crc_table),
+s AS (SELECT k, count(*) AS n FROM (SELECT unnest(ws) AS g FROM d) JOIN bucket USING (g) GROUP BY k),
+t AS (SELECT k, count(*) AS n FROM (SELECT unnest(ws) AS g FROM b) JOIN bucket USING (g) GROUP BY k),
+gain AS (SELECT k, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE
+                / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS v
+         FROM s FULL JOIN t USING (k)),
+sums AS (SELECT doc_id, sum(v) AS total FROM (SELECT doc_id, unnest(ws) AS g FROM d) JOIN bucket USING (g) JOIN gain USING (k) GROUP BY doc_id),
+noise AS (SELECT doc_id, len(ws) AS n, CASE WHEN len(ws) > 0 THEN floor(total::DOUBLE / len(ws))::BIGINT ELSE 0 END AS weight,
+                 ('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT AS h
+          FROM d LEFT JOIN sums USING (doc_id)),
+scored AS (SELECT doc_id, n, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM noise),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id) AS place,
+                  count(*) OVER (PARTITION BY n >= 20) AS able FROM scored)
+SELECT doc_id, n::BIGINT AS n_features, weight, score,
+       CASE WHEN n >= 20 AND place <= 10 * able // 100 THEN place END AS rank
+FROM placed
+"""
+
+OP12 = r"""
+WITH u AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h,
+                  regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS us FROM documents),
+c AS (SELECT doc_id, text, us, len(us) AS n, ('0x' || h[1:8])::BIGINT % (len(us) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(us) + 1) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                       OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+                  WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(us[1:least(a, b)], '') AS pre, array_to_string(us[least(a, b) + 1:greatest(a, b)], '') AS mid,
+             array_to_string(us[greatest(a, b) + 1:], '') AS suf FROM c)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
 
 def _phrases() -> str:
     rows = [(p, x, True) for p, x in BASE_PHRASES.items()] + [(p, x, False) for p, x in MORE_PHRASES.items()]
@@ -113,4 +157,6 @@ SQL = {
     "op6_substring_dedup": OP6,
     "op8_decontamination": OP8,
     "op10_ngram_join": OP10,
+    "op11_resampling": OP11,
+    "op12_infill": OP12,
 }
