@@ -25,13 +25,21 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     keys = [*order, F.col("__tie")]
     laid = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__tie")
     laid = materialize(laid.withColumn("__at", F.monotonically_increasing_id()))
-    part = F.shiftright("__at", PART_BITS)
-    sizes = laid.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n")).collect()
-    before, bases = 0, []
-    for row in sorted(sizes):
-        bases.append((row["__part"], before))
-        before += row["n"]
-    bases = F.broadcast(df.sparkSession.createDataFrame(bases, "__part long, __base long"))
+    starts = range_starts(laid, "__at", F.count(F.lit(1)))
     place = F.col("__base") + F.col("__at").bitwiseAND(F.lit((1 << PART_BITS) - 1))
-    out = laid.withColumn("__part", part).join(bases, "__part").withColumn(name, place)
+    out = laid.withColumn("__part", F.shiftright("__at", PART_BITS)).join(starts, "__part").withColumn(name, place)
     return out.drop("__part", "__at", "__base")
+
+
+def range_starts(laid: DataFrame, at: str, size: Column) -> DataFrame:
+    """(__part, __base): what the ranges before each one hold together.
+
+    ``at`` is the row id that Spark gave the rows of a stored frame; there is one
+    range for each partition that wrote it, so the result is small and broadcast.
+    """
+    sizes = laid.groupBy(F.shiftright(at, PART_BITS).alias("__part")).agg(size.alias("n")).collect()
+    before, starts = 0, []
+    for row in sorted(sizes):
+        starts.append((row["__part"], before))
+        before += row["n"]
+    return F.broadcast(laid.sparkSession.createDataFrame(starts, "__part long, __base long"))
