@@ -6,13 +6,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridcast.llm import embedding_dedup, html_text, importance, infill, packing, quality
+from gridcast.llm import embedding_dedup, html_text, importance, infill, packing, quality, token_files
 from gridcast.llm.decontaminate import find_contamination
 from gridcast.llm.licenses import scan_licenses
 from gridcast.llm.ngram_join import near_duplicates
 from gridcast.llm.pii import BASE_KINDS, detect
 from gridcast.llm.substring_dedup import remove_repeats
 from gridcast.llm.suffix_dedup import remove_passages
+from gridcast.plans.storage import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +104,13 @@ def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("n_units", "n")
 
 
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_files.read_documents(spark, path)
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -116,4 +124,5 @@ QUERIES = {
     "op10_ngram_join": op10_ngram_join,
     "op11_resampling": op11_resampling,
     "op12_infill": op12_infill,
+    "op13_token_files": op13_token_files,
 }
