@@ -13,82 +13,23 @@ the pieces of each length and looks up their range.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, replace
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
 
+from gridcast.llm.tokens import encoder
 from gridcast.plans.storage import materialize
 
-#: Entries of each of the two caches of a Python worker (about 100 bytes each).
-CACHE_SIZE = 400_000
 #: Rows of one (length, bucket) group when pieces are numbered.
 BUCKET_ROWS = 200_000
 #: A plan of more ranges is joined by a shuffle.
 MAX_BROADCAST = 200_000
-STRETCH = 1 << 20
-BLANK = re.compile(rb"[\x20\x09-\x0D]")
-SIMPLE = re.compile("([^\\W\\d_]+)([.,;:!?]*)")
-
-
-class Encoder(dict):
-    """Ids (as little-endian bytes) of texts, through a cache by run without ASCII white space.
-
-    For a tokenizer whose pre-tokenizer drops white space, so that no token spans it.
-    """
-
-    def __init__(self, path: str):
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self._ids(word)
-            if len(self.words) < CACHE_SIZE:
-                self.words[word] = ids
-        return ids
-
-    def __missing__(self, run: bytes) -> bytes:
-        text = run.decode()
-        found = SIMPLE.fullmatch(text)
-        # letters up to U+00FF, perhaps with a stop: one token run each, lower-cased alike everywhere
-        if found and found[1].isalpha() and max(text) < "\u0100":
-            ids = self._word(found[1].lower()) + (self._word(found[2]) if found[2] else b"")
-        else:
-            ids = self._ids(text)
-        if len(self) < CACHE_SIZE and len(run) < 64:
-            self[run] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        data = text.encode()
-        if len(data) <= STRETCH:
-            return b"".join(map(self.__getitem__, data.split()))
-        out, at = [], 0
-        while at < len(data):  # long texts in stretches, each cut at white space
-            cut = BLANK.search(data, at + STRETCH)
-            end = cut.start() if cut else len(data)
-            out.append(b"".join(map(self.__getitem__, data[at:end].split())))
-            at = end
-        return b"".join(out)
-
-
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
 
 
 def pieces(
@@ -96,32 +37,34 @@ def pieces(
 ) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]): every document's ids and ``end_id``, cut at ``length``."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    last = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
+        encode = encoder(tokenizer).encode
         for batch in batches:
-            row, part, size, crc, ids = [], [], [], [], []
-            for i, value in enumerate(batch.column("text")):
-                data = encoder.encode(value.as_py() or "") + last
-                for k, at in enumerate(range(0, len(data), 4 * length)):
-                    chunk = data[at : at + 4 * length]
-                    row.append(i)
-                    part.append(k)
-                    size.append(len(chunk) // 4)
-                    crc.append(zlib.crc32(chunk))
-                    if with_ids:
-                        ids.append(np.frombuffer(chunk, "<i4"))
-            cols = [
-                batch.column("id").take(pa.array(row, pa.int64())),
-                pa.array(part, pa.int32()),
-                pa.array([k * length for k in part], pa.int64()),
-                pa.array(size, pa.int64()),
-                pa.array(crc, pa.int64()),
-            ]
-            if with_ids:
-                cols.append(pa.array(ids, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
+            done = 0
+            for found, splits in encode(batch.column("text")):
+                ids = np.insert(found, splits[1:], np.uint32(end_id)).astype("<u4")
+                bounds = splits + np.arange(len(splits))
+                n = np.diff(bounds)
+                parts = -(-n // length)
+                row = np.repeat(np.arange(len(n)), parts)
+                part = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+                first = bounds[row] + part * length
+                size = np.minimum(length, n[row] - part * length)
+                view = memoryview(ids.view(np.uint8))
+                crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + size).tolist())]
+                cols = [
+                    batch.column("id").take(pa.array(done + row)),
+                    pa.array(part.astype(np.int32)),
+                    pa.array(part * length),
+                    pa.array(size),
+                    pa.array(crc, pa.int64()),
+                ]
+                if with_ids:  # the pieces of a slice follow each other without gaps
+                    edges = np.append(first, len(ids)).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(edges, pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
+                done += len(n)
 
     schema = T.StructType([rows.schema["id"]]).add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
     if with_ids:
@@ -161,8 +104,8 @@ def best_fit(histogram: Mapping[int, int], cap: Capacity) -> tuple[list[tuple[in
     Pieces ``from .. to - 1`` of a length, in any fixed numbering, go to consecutive
     sequences at the same offset.
     """
-    if cap.attention < cap.tokens**2 or cap.documents < 1:
-        raise ValueError("a sequence must hold a single piece of full length")
+    if histogram and (cap.documents < 1 or cap.tokens < max(histogram) or cap.attention < max(histogram) ** 2):
+        raise ValueError("a sequence must hold the longest piece alone")
     plan: list[tuple[int, int, int, int, int]] = []
     groups: list[Group] = []
     used = 0

@@ -165,21 +165,13 @@ def test_shunting_yard():
         assert licenses.evaluate(licenses.symbols(" ".join(tokens), 0)).accepted == brute_value(tokens)
 
 
-def test_encoder():
-    plain, own = Tokenizer.from_file(TOKENIZER), packing.Encoder(TOKENIZER)
-    parts = ["a", "É", "ß", "İ", "Σ", "ς", "'s", "'", "t", "  ", "\n", "\x1c", "\x85", "\xa0", " ", "1", "²", "ª", "!", "<|endoftext|>", "<|", "é", "中", "Word", "...", ","]
-    rng = random.Random(3)
-    for _ in range(4000):
-        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
-        assert np.frombuffer(own.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
-    long = data.prose(300_000, 9)
-    assert np.frombuffer(own.encode(long), "<u4").tolist() == plain.encode(long, add_special_tokens=False).ids
-
-
-@pytest.mark.parametrize("cap", [packing.Capacity(), packing.Capacity(documents=3), packing.Capacity(64, 64, 64 * 64)])
-def test_best_fit(cap):
+@pytest.mark.parametrize("cap,longest", [
+    (packing.Capacity(), 2048), (packing.Capacity(documents=3), 2048), (packing.Capacity(64, 64, 64 * 64), 64),
+    (packing.Capacity(2048, 2048, 300**2), 300), (packing.Capacity(2048, 7, 200**2, (1.0, 0.0, 1.0)), 200),
+])
+def test_best_fit(cap, longest):
     rng = np.random.default_rng(1)
-    lengths = np.minimum(rng.lognormal(3.5, 1, 5000).astype(int) + 1, cap.tokens)
+    lengths = np.minimum(rng.lognormal(3.5, 1, 5000).astype(int) + 1, longest)
     histogram = {int(n): int(c) for n, c in zip(*np.unique(lengths, return_counts=True))}
     plan, used = packing.best_fit(histogram, cap)
     content = {}
@@ -194,8 +186,12 @@ def test_best_fit(cap):
         held.sort()
         assert [o for o, _ in held] == [sum(n for _, n in held[:i]) for i in range(len(held))]
         assert sum(n for _, n in held) <= cap.tokens and len(held) <= cap.documents
-    if cap.documents >= cap.tokens:
+        assert sum(n * n for _, n in held) <= cap.attention
+    if cap.documents >= cap.tokens and cap.attention >= cap.tokens**2:
         assert used <= 1.02 * -(-lengths.sum() // cap.tokens) + 1
+    if longest == 300:  # here attention decides: no more sequences than it asks for, and more than the tokens would
+        least = -(-int((lengths**2).sum()) // cap.attention)
+        assert lengths.sum() / cap.tokens < least <= used <= 1.05 * least + 1
 
 
 def test_pack(spark):
@@ -223,3 +219,10 @@ def test_numbering_in_buckets(spark, monkeypatch):
     got = packing.pack(spark.createDataFrame(rows, data.SCHEMA), TOKENIZER, capacity=packing.Capacity(64, 64, 64 * 64)).collect()
     places = {(r["sequence_id"], r["offset"]) for r in got}
     assert len(got) == len(places) == 40
+
+
+def test_a_piece_that_no_sequence_holds():
+    for cap in (packing.Capacity(64, 64, 40**2), packing.Capacity(40), packing.Capacity(documents=0)):
+        with pytest.raises(ValueError, match="longest piece"):
+            packing.best_fit({41: 3}, cap)
+    assert packing.best_fit({}, packing.Capacity(documents=0)) == ([], 0)
