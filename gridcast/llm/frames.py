@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -35,10 +35,23 @@ def hash_share(hashes: Column, wanted: int, of: int) -> Column:
     return F.pmod(hashes, F.lit(1 << 31)) < int((1 << 31) * min(1.0, wanted / max(of, 1)))
 
 
+#: Bytes of rows that cross to Python at once, in sessions that keep Spark's own setting of 64 MB.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(df: DataFrame) -> None:
+    """Let Arrow batches be bounded by bytes: texts are of any length, and an executor holds several batches."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING, None) in ("67108864b", "64MB"):
+        conf.set(_BATCH_SETTING, BATCH_BYTES)
+
+
 def arrow_pass(
     df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType
 ) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
+    small_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,25 +81,27 @@ def components(edges: DataFrame) -> DataFrame:
     of rounds is logarithmic in the size of the largest component.
     """
     bigger, smaller = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
-    now = materialize(edges.where("u <> v").select(bigger, smaller).distinct())
-    mark = _mark(now)
+    now, mark = _stored(edges.where("u <> v").select(bigger, smaller).distinct())
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        last, mark = mark, _mark(now)
+        last = mark
+        now, mark = _stored(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         if mark == last:
             break
     star = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return star.unionByName(star.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The written edges, with their number and a checksum that the same job counts."""
+    seen = Observation()
+    mark = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("mark")
+    now = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), mark))
+    return now, (seen.get["n"], seen.get["mark"])
 
 
 def run_pass(
@@ -97,6 +112,7 @@ def run_pass(
     ``step`` gets a table of whole groups and their row splits. Groups must be small:
     callers cut them into units of bounded size, as only such a unit is held at once.
     """
+    small_batches(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None

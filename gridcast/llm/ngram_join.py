@@ -11,8 +11,12 @@ verified on the whole sets.
 The result are components, so a pair inside a component needs no proof of its own.
 Of the groups of a shingle, only neighbours by size are verified first, and again
 neighbours among the components that are left; what then remains in different
-components is verified pair by pair, and where a shingle has many groups, in blocks
-of classes that are compared inside a task.
+components is verified pair by pair, and where a shingle or a group has many classes, in
+blocks of classes that are compared inside a task.
+
+Texts are read three times: to count shingles, to find prefixes and groups, and to
+store the sorted sets of the classes that share a group or a prefix token with
+another. All checks read these stored sets.
 """
 
 from __future__ import annotations
@@ -25,13 +29,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridcast.llm import words as W
-from gridcast.llm.frames import KEY, arrow_pass, components, first_of_each, keyed, likely_rows, run_pass
+from gridcast.llm.frames import FILTER_BITS, KEY, arrow_pass, components, first_of_each, key_filter, keyed, run_pass
 from gridcast.plans.storage import materialize
 
 ORDER_BITS = 18
 #: Bins of the histogram of a set; a bin that is full in both sets of a pair proves nothing.
 BINS, FULL = 256, 255
-#: A token of more groups is dealt with in blocks of classes, not by pairs.
+#: A token or a group of more classes is dealt with in blocks of classes, not by pairs.
 CROWD, BLOCK = 64, 512
 
 
@@ -123,52 +127,49 @@ NAMES = ("s0", "s1", "g0", "g1")
 
 
 def _document_rows(size: int, percent: int, order):
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        parts = []
-        for _, texts in W.slices(batch.column("__text")):
-            parts.append(_sides(*shingle_sets(texts, size, order.value), percent))
-        if not parts:
-            return None
-        n, _, *names = (np.concatenate(x) for x in zip(*parts))
-        rest = [batch.column("__id"), *(batch.column(k) for k in KEY), pa.array(n.astype(np.int64))]
-        return pa.RecordBatch.from_arrays([*rest, *map(_signed, names)], names=["__id", *KEY, "n", *NAMES])
-
-    return step
-
+    """Size and names of each document; its prefix with the first row of a group in a slice."""
 
-def _prefix_rows(size: int, percent: int, order):
     def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        out = []
+        parts, prefixes = [], []
         for _, texts in W.slices(batch.column("__text")):
             splits, grams = shingle_sets(texts, size, order.value)
-            n, prefix, _, _, g0, g1 = _sides(splits, grams, percent)
-            lone = first_of_each(W.mix(g0 ^ W.mix(g1)))[1]  # equal groups of a slice once
-            prefix = np.where(lone, prefix, 0)
-            row = np.repeat(np.arange(len(n)), prefix)
-            pos = np.arange(len(row)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-            out.append((grams[splits[row] + pos], g0[row], g1[row], n[row].astype(np.int32), pos.astype(np.int32)))
-        if not out:
+            n, prefix, *names = _sides(splits, grams, percent)
+            parts.append((n, *names))
+            lone = first_of_each(W.mix(names[2] ^ W.mix(names[3])))[1] & (prefix > 0)
+            held = np.where(lone, prefix, 0)
+            row = np.repeat(splits[:-1], held)
+            places = row + np.arange(len(row)) - np.repeat(np.cumsum(held) - held, held)
+            ends = np.concatenate([[0], np.cumsum(held)]).astype(np.int32)
+            prefixes.append(pa.ListArray.from_arrays(pa.array(ends), _signed(grams[places]), mask=pa.array(~lone)))
+        if not parts:
             return None
-        token, g0, g1, n, pos = (np.concatenate(x) for x in zip(*out))
-        return pa.RecordBatch.from_arrays(
-            [_signed(token), _signed(g0), _signed(g1), pa.array(n), pa.array(pos)], names=["token", "g0", "g1", "n", "pos"]
-        )
+        n, *names = (np.concatenate(x) for x in zip(*parts))
+        rest = [batch.column("__id"), *(batch.column(k) for k in KEY), pa.array(n.astype(np.int64))]
+        columns = [*rest, *map(_signed, names), pa.concat_arrays(prefixes)]
+        return pa.RecordBatch.from_arrays(columns, names=["__id", *KEY, "n", *NAMES, "prefix"])
 
     return step
 
 
-def _histograms(size: int):
-    """How many shingles of a set fall into each bin, one byte a bin."""
+def _stored_sets(size: int, order, wanted):
+    """Sorted tokens, and how many fall into each bin (one byte a bin), of rows that may be wanted."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        out = []
+        places = [batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in KEY]
+        some = wanted.value[places[0] >> np.uint64(64 - FILTER_BITS)] & wanted.value[places[1] >> np.uint64(64 - FILTER_BITS)]
+        some &= first_of_each(W.mix(places[0] ^ W.mix(places[1])))[1]
+        batch = batch.filter(pa.array(some))
+        bins, tokens = [], []
         for _, texts in W.slices(batch.column("__text")):
-            splits, grams = shingle_sets(texts, size)
+            splits, grams = shingle_sets(texts, size, order.value)
             row = np.repeat(np.arange(len(texts)), np.diff(splits))
-            bins = (W.mix(grams) & np.uint64(BINS - 1)).astype(np.int64)
-            counts = np.bincount(row * BINS + bins, minlength=len(texts) * BINS).reshape(-1, BINS)
-            out += [c.tobytes() for c in np.minimum(counts, FULL).astype(np.uint8)]
-        return pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEY), pa.array(out, pa.binary())], names=[*KEY, "bins"])
+            place = (W.mix(grams) & np.uint64(BINS - 1)).astype(np.int64)
+            counts = np.bincount(row * BINS + place, minlength=len(texts) * BINS).reshape(-1, BINS)
+            bins += [c.tobytes() for c in np.minimum(counts, FULL).astype(np.uint8)]
+            raw = memoryview(grams.view(np.uint8))
+            tokens += [raw[8 * a : 8 * b] for a, b in zip(splits[:-1].tolist(), splits[1:].tolist())]
+        columns = [*(batch.column(k) for k in KEY), pa.array(bins, pa.binary()), pa.array(tokens, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=[*KEY, "bins", "tokens"])
 
     return step
 
@@ -186,19 +187,8 @@ def _bins_allow(percent: int):
     return step
 
 
-def _one_of_each(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """One text for each class in a batch."""
-    keys = [batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in ("s0", "s1")]
-    lone = first_of_each(W.mix(keys[0] ^ W.mix(keys[1])))[1]
-    return batch.filter(pa.array(lone)).select(["s0", "s1", "text"])
-
-
-def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
-    for _, part in W.slices(texts):
-        splits, grams = shingle_sets(part, size)
-        out += [grams[a:b] for a, b in zip(splits[:-1], splits[1:])]
-    return out
+def _sets(tokens: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(t.as_buffer(), np.uint64) for t in tokens]
 
 
 LINK = "u struct<s0: long, s1: long>, v struct<s0: long, s1: long>"
@@ -237,7 +227,7 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _unit_links(size: int, percent: int):
+def _unit_links(percent: int):
     """Links of all pairs of a unit (two blocks, or one with itself), as a spanning forest."""
 
     def step(table: pa.Table, splits: np.ndarray) -> pa.RecordBatch | None:
@@ -246,7 +236,7 @@ def _unit_links(size: int, percent: int):
         for a, b in zip(splits[:-1].tolist(), splits[1:].tolist()):
             if b - a < 2:
                 continue
-            sets = _sets(table.column("text").slice(a, b - a), size)
+            sets = _sets(table.column("tokens").slice(a, b - a))
             both = _overlaps(sets)
             n = np.array([len(s) for s in sets])
             linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
@@ -260,10 +250,10 @@ def _unit_links(size: int, percent: int):
     return step
 
 
-def _pair_links(size: int, percent: int):
+def _pair_links(percent: int):
     def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         good = np.zeros(batch.num_rows, bool)
-        for i, (a, b) in enumerate(zip(_sets(batch.column("x"), size), _sets(batch.column("y"), size))):
+        for i, (a, b) in enumerate(zip(_sets(batch.column("x")), _sets(batch.column("y")))):
             both = len(np.intersect1d(a, b, assume_unique=True))
             good[i] = 100 * both >= percent * (len(a) + len(b) - both)
         return batch.filter(pa.array(good)).select(["u", "v"])
@@ -277,49 +267,41 @@ def _may_link(n: Column, pos: Column, m: Column, at: Column, percent: int) -> Co
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
 
-def _class_bins(members: DataFrame, places: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """(s, n, bins) for the classes of ``members``."""
-    some = likely_rows(rows.select("__text", *KEY), places.select(*KEY), KEY)
-    found = arrow_pass(some, _histograms(size), "__a long, __b long, bins binary").distinct()
-    return materialize(found.join(places, list(KEY)).select("s", "bins").join(members.select("s", "n"), "s"))
+def _class_sets(members: DataFrame, rows: DataFrame, order, size: int) -> DataFrame:
+    """(s, n, bins, tokens) of the classes ``members``, from one document of each."""
+    places = members.select("s", "n", "doc.__a", "doc.__b")
+    wanted = rows.sparkSession.sparkContext.broadcast(key_filter(places.select(*KEY)))
+    found = arrow_pass(rows.select("__text", *KEY), _stored_sets(size, order, wanted), "__a long, __b long, bins binary, tokens binary")
+    # rows with equal text and id share the key; the join has already brought them together
+    one = found.join(places, list(KEY)).dropDuplicates([*KEY])
+    return materialize(one.select("s", "n", "bins", "tokens"))
 
 
-def _plausible(pairs: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
+def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) of classes that the histograms allow."""
-    x = bins.select(F.col("s").alias("u"), "n", F.col("bins").alias("x"))
-    y = bins.select(F.col("s").alias("v"), F.col("n").alias("m"), F.col("bins").alias("y"))
+    x = sets.select(F.col("s").alias("u"), "n", F.col("bins").alias("x"))
+    y = sets.select(F.col("s").alias("v"), F.col("n").alias("m"), F.col("bins").alias("y"))
     both = pairs.join(x, "u").join(y, "v").select("u", "v", "n", "m", "x", "y")
     return materialize(arrow_pass(both, _bins_allow(percent), LINK))
 
 
-def _texts(names: DataFrame, places: DataFrame, rows: DataFrame) -> DataFrame:
-    """(s0, s1, text) for the classes ``names`` (column s); ``places`` has a document of each class."""
-    wanted = materialize(places.join(names.distinct(), "s"))
-    some = likely_rows(rows.select("__text", *KEY), wanted.select(*KEY), KEY)
-    found = some.join(wanted, list(KEY)).select("s.*", F.col("__text").alias("text"))
-    return materialize(arrow_pass(found, _one_of_each, "s0 long, s1 long, text string"))
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("u").alias("s")).unionByName(pairs.select(F.col("v").alias("s")))
-
-
-def _verify_pairs(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct pairs (u, v) of classes that are links."""
-    x = texts.select(F.struct("s0", "s1").alias("u"), F.col("text").alias("x"))
-    y = texts.select(F.struct("s0", "s1").alias("v"), F.col("text").alias("y"))
-    return arrow_pass(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y"), _pair_links(size, percent), LINK)
+    x = sets.select(F.col("s").alias("u"), F.col("tokens").alias("x"))
+    y = sets.select(F.col("s").alias("v"), F.col("tokens").alias("y"))
+    return arrow_pass(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y"), _pair_links(percent), LINK)
 
 
-def _verify_crowds(crowds: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links among all classes (s) of each token, block by block."""
-    sizes = crowds.groupBy("token").agg(F.expr(f"(count(1) + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
-    rows = crowds.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("s", "token"), F.col("blocks")))
+def _verify_crowds(crowds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among all classes (s) of each crowd, block by block."""
+    blocks = crowds.groupBy("crowd").agg(F.expr(f"(count(1) + {BLOCK - 1}) div {BLOCK}").alias("blocks"))
+    rows = crowds.join(blocks, "crowd").withColumn("block", F.pmod(F.xxhash64("s", "crowd"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.where("block <> other OR blocks = 1")  # a unit of two blocks compares each with itself too
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    units = rows.select("s.*", F.xxhash64("token", low, high).alias("k0"), F.xxhash64(high, low, "token").alias("k1"))
-    return run_pass(units.join(texts, ["s0", "s1"]), ["k0", "k1"], _unit_links(size, percent), LINK)
+    units = rows.select("s", F.xxhash64("crowd", low, high).alias("k0"), F.xxhash64(high, low, "crowd").alias("k1"))
+    held = units.join(sets.select("s", "tokens"), "s").select("s.*", "k0", "k1", "tokens")
+    return run_pass(held, ["k0", "k1"], _unit_links(percent), LINK)
 
 
 def _with_roots(classes: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -346,16 +328,15 @@ def near_duplicates(
     rows = keyed(docs, id_col, text_col)
     kind = rows.schema["__id"].dataType.simpleString()
     order = spark.sparkContext.broadcast(global_order(rows, size))
-    listed = materialize(
-        arrow_pass(rows, _document_rows(size, percent, order), f"__id {kind}, __a long, __b long, n long, s0 long, s1 long, g0 long, g1 long")
-    )
+    schema = f"__id {kind}, __a long, __b long, n long, s0 long, s1 long, g0 long, g1 long, prefix array<long>"
+    listed = materialize(arrow_pass(rows, _document_rows(size, percent, order), schema))
     classes = materialize(
         listed.where("n > 0").groupBy("s0", "s1").agg(
             F.min(F.struct(F.isnull("__id").alias("none"), "__id", *KEY)).alias("doc"),
             *[F.min(c).alias(c) for c in ("n", "g0", "g1")],
         )
     )
-    roots = components(_links(rows, classes, order, size, percent))
+    roots = components(_links(rows, listed, classes, order, size, percent))
     named = _with_roots(classes.select("s0", "s1", "doc"), roots)
     least = named.groupBy("root").agg(F.min("doc").alias("first"))
     of_class = _with_roots(classes.select("s0", "s1"), roots).join(least, "root").select("s0", "s1", "first")
@@ -367,42 +348,64 @@ def near_duplicates(
     return filled.unionByName(blank).withColumnRenamed("__id", id_col)
 
 
-def _links(rows: DataFrame, classes: DataFrame, order, size: int, percent: int) -> DataFrame:
+def _shared_tokens(listed: DataFrame) -> DataFrame:
+    """(token, g0, g1, n, pos): the prefix tokens that several groups have.
+
+    First which tokens these are, by sums that combine before the shuffle; then their
+    rows by a join, which Spark can split, so that no task needs to hold all of one token.
+    """
+    groups = materialize(listed.where("prefix IS NOT NULL").select("g0", "g1", "n", "prefix").dropDuplicates(["g0", "g1"]))
+    tokens = groups.select("g0", "g1", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    name = F.xxhash64("g0", "g1")
+    several = tokens.groupBy("token").agg(F.min(name).alias("a"), F.max(name).alias("b")).where("a <> b").select("token")
+    return materialize(tokens.join(several, "token", "left_semi").select("token", "g0", "g1", "n", "pos"))
+
+
+def _links(rows: DataFrame, listed: DataFrame, classes: DataFrame, order, size: int, percent: int) -> DataFrame:
     """Links that join the classes of each component."""
     group = ["g0", "g1"]
-    tokens = arrow_pass(rows.select("__text"), _prefix_rows(size, percent, order), "token long, g0 long, g1 long, n int, pos int")
-    w = Window.partitionBy("token")
-    several = (F.min("g0").over(w) != F.max("g0").over(w)) | (F.min("g1").over(w) != F.max("g1").over(w))
-    shared = materialize(tokens.withColumn("several", several).where("several").drop("several").distinct())
+    shared = _shared_tokens(listed)
     # groups that hold several classes, or share a token with another group
-    crowded = classes.groupBy(*group).count().where("count > 1").select(*group)
-    wanted = shared.select(*group).unionByName(crowded).distinct()
+    several = classes.groupBy(*group).count().where("count > 1").select(*group)
+    wanted = shared.select(*group).unionByName(several).distinct()
     members = materialize(classes.join(wanted, group, "left_semi").withColumn("s", F.struct("s0", "s1")))
-    places = members.select("s", "doc.__a", "doc.__b")
-    bins = _class_bins(members, places, rows, size)
+    sets = _class_sets(members, rows, order, size)
     links = None
     # twice: neighbours among the components that a group or a token still has
     for seed in (1, 2):
         held = materialize(_with_roots(members.select("s0", "s1", "n", *group), components(links) if links else None))
-        chain = _plausible(_neighbours(held, shared, percent, seed), bins, percent)
-        found = materialize(_verify_pairs(chain, _texts(_ends(chain), places, rows), size, percent))
+        chain = _plausible(_neighbours(held, shared, percent, seed), sets, percent)
+        found = materialize(_verify_pairs(chain, sets, percent))
         links = found if links is None else links.unionByName(found)
     # every pair that the bounds allow and that is still apart
     held = materialize(_with_roots(members.select("s0", "s1", "n", *group), components(links)))
-    mixed = materialize(_mixed_tokens(shared, _spans(held)).drop("s"))
-    crowded = mixed.groupBy("token").count().where(F.col("count") > CROWD).select("token")
-    crowds = mixed.join(crowded, "token").join(held, group).select("token", F.struct("s0", "s1").alias("s")).distinct()
-    crowds = materialize(crowds)
-    rest = _plausible(_pairs_apart(mixed.join(crowded, "token", "left_anti"), shared, held, percent), bins, percent)
-    texts = _texts(_ends(rest).unionByName(crowds.select("s")), places, rows)
-    links = links.unionByName(_verify_pairs(rest, texts, size, percent))
-    return materialize(links.unionByName(_verify_crowds(crowds, texts, size, percent)))
+    span = materialize(_spans(held))
+    mixed = materialize(_mixed_tokens(shared, span).drop("s"))
+    crowded = materialize(mixed.groupBy("token").agg(F.sum("k").alias("k")).where(F.col("k") > CROWD).select("token"))
+    crowds = materialize(_crowds(mixed.join(crowded, "token"), held, span))
+    pairs = _pairs_apart(mixed.join(crowded, "token", "left_anti"), shared, held, span, percent)
+    links = links.unionByName(_verify_pairs(_plausible(pairs, sets, percent), sets, percent))
+    return materialize(links.unionByName(_verify_crowds(crowds, sets, percent)))
+
+
+def _crowds(mixed: DataFrame, held: DataFrame, span: DataFrame) -> DataFrame:
+    """(crowd, s): the classes of tokens with many classes, and of large groups that are apart.
+
+    Tokens with the same groups, like those of a passage that many documents share, make one crowd.
+    """
+    name = F.xxhash64("g0", "g1").cast("decimal(38,0)")
+    alike = mixed.groupBy("token").agg(F.sum(name).alias("name"), F.sum("k").alias("k")).groupBy("name", "k").agg(F.min("token").alias("token"))
+    of_token = mixed.join(alike.select("token"), "token", "left_semi").select(F.xxhash64("token").alias("crowd"), "g0", "g1")
+    large = span.where((F.col("k") > CROWD) & (F.col("low") != F.col("high")))
+    of_group = large.select(F.xxhash64("g0", "g1", F.lit("group")).alias("crowd"), "g0", "g1")
+    classes = held.select("g0", "g1", F.struct("s0", "s1").alias("s"))
+    return of_token.unionByName(of_group).join(classes, ["g0", "g1"]).select("crowd", "s").distinct()
 
 
 def _spans(held: DataFrame) -> DataFrame:
-    """By group: the smallest and largest root of its classes, and one class."""
+    """By group: the smallest and largest root of its classes, one class, and their number."""
     return held.groupBy("g0", "g1").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("s0", "s1")).alias("s")
+        F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("s0", "s1")).alias("s"), F.count(F.lit(1)).alias("k")
     )
 
 
@@ -439,14 +442,13 @@ def _enough_shared(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFra
     return seen.where((100 + percent) * most >= percent * (F.col("l_n") + F.col("n"))).select("l_g0", "l_g1", "g0", "g1")
 
 
-def _pairs_apart(mixed: DataFrame, shared: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in different components that share a group or one of the tokens.
+def _pairs_apart(mixed: DataFrame, shared: DataFrame, held: DataFrame, span: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes in different components that share a small group or one of the tokens.
 
-    Of each token, the component with most groups is compared with the others, not
+    Neither has more than ``CROWD`` classes, which bounds the pairs of each. Of each token, the component with most groups is compared with the others, not
     with itself.
     """
     group = ["g0", "g1"]
-    span = _spans(held)
     main = (
         mixed.where("low = high").groupBy("token", "low").agg(F.count(F.lit(1)).alias("m"))
         .groupBy("token").agg(F.max_by("low", F.struct("m", "low")).alias("main"))
@@ -464,7 +466,7 @@ def _pairs_apart(mixed: DataFrame, shared: DataFrame, held: DataFrame, percent:
     u = held.select(F.col("g0").alias("l_g0"), F.col("g1").alias("l_g1"), node.alias("u"), F.col("root").alias("u_root"))
     v = held.select(*group, node.alias("v"), F.col("root").alias("v_root"))
     across = pairs.join(u, ["l_g0", "l_g1"]).join(v, group).where("u_root <> v_root").select("u", "v")
-    uneven = span.where("low <> high").select(*group)
+    uneven = span.where((F.col("low") != F.col("high")) & (F.col("k") <= CROWD)).select(*group)
     own = held.join(uneven, group, "left_semi")
     a = own.select(*group, node.alias("u"), F.col("root").alias("u_root"))
     b = own.select(*group, node.alias("v"), F.col("root").alias("v_root"))
