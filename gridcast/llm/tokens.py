@@ -3,13 +3,14 @@
 For a tokenizer that drops white space and splits letters, digits and marks before
 its merges, a text can be cut at those borders without changing its ids. The pieces
 of a slice are interned (``intern.py``), only the distinct ones are looked up, only
-those not seen lately go to the tokenizer, many in one call, and the ids of all
-occurrences are gathered. Any other tokenizer gets whole texts.
+those not seen lately go to the tokenizer, and the ids of all occurrences are gathered. Any other tokenizer gets whole texts.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,11 +22,11 @@ from gridcast.llm import words as W
 from gridcast.llm.intern import intern, padded
 
 #: Pieces remembered by a Python worker: at most two generations of this many (about 200 bytes each).
-REMEMBERED = 100_000
+REMEMBERED = 150_000
 #: Longer pieces are not remembered.
 LONGEST = 64
-#: Bytes of text encoded at once, and pieces in one call of the tokenizer.
-SLICE, CALL = 1 << 21, 1000
+#: Bytes of text encoded at once.
+SLICE = 1 << 21
 
 # The steps before the merges that make the cuts below exact.
 NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -46,6 +47,8 @@ def _classes() -> np.ndarray:
 
 
 CLASS = _classes()
+#: Pieces that normalizing does not change: lower-case letters up to U+00FF, a digit, printable marks.
+SIMPLE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{}~]+")
 
 
 def cuts_exactly(spec: dict) -> bool:
@@ -92,6 +95,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.by_pieces = cuts_exactly(json.load(f))
+        self.merges = self.tokenizer.model.tokenize
+        if self.by_pieces:  # how the letters from U+00DF to U+00FF are written for the merges
+            spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            self.letters = {c: spell(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
         self.recent: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -123,33 +130,24 @@ class Encoder:
     def _look_up(self, keys: list[bytes]) -> list[bytes]:
         recent, older = self.recent, self.older
         found = [recent.get(k) for k in keys]
-        new: list[int] = []
         for i, value in enumerate(found):
             if value is None:
-                if (value := older.get(keys[i])) is None:
-                    new.append(i)
-                else:
-                    found[i] = recent[keys[i]] = value
-        for i, value in zip(new, self._ask([keys[i] for i in new])):
-            found[i] = value
-            if len(keys[i]) <= LONGEST:
-                recent[keys[i]] = value
+                key = keys[i]
+                found[i] = value = older.get(key) or self._ask(key)
+                if len(key) <= LONGEST:
+                    recent[key] = value
         if len(recent) > REMEMBERED:
-            newest = list(recent.items())[-REMEMBERED:]
-            self.recent, self.older = {}, dict(newest)
+            self.recent, self.older = {}, recent
         return found
 
-    def _ask(self, keys: list[bytes]) -> Iterator[bytes]:
-        texts = [k.decode() for k in keys]
-        for i in range(0, len(texts), CALL):
-            part = texts[i : i + CALL]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            first = np.cumsum([0, *(len(t) + 1 for t in part[:-1])])
-            owner = np.searchsorted(first, np.array([a for a, _ in got.offsets], np.int64), "right") - 1
-            bounds = np.searchsorted(owner, np.arange(len(part) + 1))
-            raw = ids.tobytes()
-            yield from (raw[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+    def _ask(self, key: bytes) -> bytes:
+        """Ids of a piece, by the merges alone where the steps before them are known to do nothing more."""
+        text = key.decode()
+        if SIMPLE.fullmatch(key):
+            ids = [t.id for t in self.merges(text.translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=1)
