@@ -19,28 +19,72 @@ def read_log(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
 
 
-#: Number spellings that JSON does not know, in value position, and what they become.
-_NUMBERS = (
-    (r"(:\s*)\+(?=[0-9.])", "$1"),
-    (r"(?<=:\s{0,9}[-+]?[0-9._eE]{0,60}[0-9])_(?=[0-9])", ""),
-    (r"(:\s*-?)\.(?=[0-9])", "${1}0."),
-    (r"(:\s*-?[0-9]+)\.(?=\s*[,}\]eE])", "$1.0"),
-    (r",(?=\s*[\]}])", ""),
+#: A literal falls into quoted strings, signed numbers, marks and runs of anything else; only white space is between them.
+_TOKENS = (
+    r"""('[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+\""""
+    r"""|[+-]\s++(?=[0-9.])[^\s'"{}\[\]():,]++|[^\s'"{}\[\]():,]++|\S)"""
 )
-_ODD_NUMBER = r":\s*[-+]?\.|:\s*\+|[0-9]\.\s*[,}\]eE]|:\s*[-+]?[0-9.eE]+_|,\s*[\]}]"
+#: The parts of a quoted string that holds escapes.
+_PARTS = r"(\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\[0-7]{1,3}|\\.|[^\\]++)"
+_WORDS = {"None": "null", "True": "true", "False": "false", "(": "[", ")": "]"}
+_BASES = {"x": 16, "o": 8, "b": 2}
+
+
+def _decimal(digits: Column, base: int) -> Column:
+    """Digits of another base in base 10; beyond 12 digits as a double."""
+    long = F.aggregate(F.split(digits, ""), F.lit(0.0), lambda x, d: x * base + F.conv(d, base, 10).cast("double"))
+    return F.when(F.length(digits) <= 12, F.conv(digits, base, 10)).otherwise(long.cast("string"))
+
+
+def _number(t: Column) -> Column:
+    """A number as JSON spells it: no plus, no underscores, digits on both sides of a point, base 10."""
+    out = F.regexp_replace(t, r"^\+\s*|(?<=^-)\s+|(?<=[0-9A-Fa-fxXoObB])_(?=[0-9A-Fa-f])", "")
+    based = F.lower(F.regexp_extract(out, "^-?0([xXoObB])[0-9A-Fa-f]+$", 1))
+    sign, digits = F.regexp_extract(out, "^-?", 0), F.regexp_extract(out, "^-?0[xXoObB](.*)$", 1)
+    for letter, base in _BASES.items():
+        out = F.when(based == letter, F.concat(sign, _decimal(digits, base))).otherwise(out)
+    out = F.regexp_replace(out, r"^(-?)0+(?=[0-9]+[.eE]|0$)", "$1")
+    out = F.regexp_replace(out, r"^(-?)(?=\.[0-9])", "$10")
+    return F.regexp_replace(out, r"^(-?[0-9]+)\.(?=$|[eE])", "$1.0")
+
+
+def _unescaped(t: Column) -> Column:
+    """A quoted string with each escape as JSON spells it; a backslash before another character stays."""
+
+    def part(p: Column) -> Column:
+        kind = F.substring(p, 2, 1)
+        code = F.when(kind.isin("x", "U"), F.conv(F.substring(p, 3, 8), 16, 10)).when(kind.between("0", "7"), F.conv(F.substring(p, 2, 3), 8, 10))
+        code = F.when(kind == "'", "39").when(kind == "a", "7").when(kind == "v", "11").otherwise(code).cast("int")
+        high, low = F.lit(0xD800) + F.shiftright(code - 0x10000, 10), F.lit(0xDC00) + (code - 0x10000).bitwiseAND(F.lit(0x3FF))
+        short = F.format_string("\\u%04x", code)
+        plain = F.when(kind.isin("u", "n", "t", "r", "b", "f", "\\", '"'), p).when(code < 0x10000, short)
+        plain = plain.when(code.isNotNull(), F.format_string("\\u%04x\\u%04x", high, low)).otherwise(F.concat(F.lit("\\"), p))
+        return F.when(p.startswith("\\"), plain).otherwise(p)
+
+    return F.array_join(F.transform(F.regexp_extract_all(t, F.lit(_PARTS)), part), "")
 
 
 def _literal(line: Column) -> Column:
-    """Literals in value position as JSON spells them: ``None``, ``True``, ``False``,
-    ``+2.0``, ``.5``, ``5.``, ``1_000``; and no comma before a closing bracket."""
-    out = line
-    for pattern, plain in _NUMBERS:
-        out = F.regexp_replace(out, pattern, plain.replace("${1}0", "$10"))
-    out = F.when(F.regexp_like(line, F.lit(_ODD_NUMBER)), out).otherwise(line)
-    for python, json in (("None", "null"), ("True", "true"), ("False", "false")):
-        plain = F.regexp_replace(out, rf":\s*{python}\s*(?=[,}}])", f": {json}")
-        out = F.when(line.contains(python), plain).otherwise(out)
-    return out
+    """The literal in ``line`` as JSON spells it, token by token, so that quoted text is never changed.
+
+    Outside of quotes ``None``, ``True`` and ``False``, numbers such as ``+2.0``, ``.5``, ``5.``, ``1_000``
+    and ``0x1f``, tuples, and a comma before a closing bracket become JSON; all else is left as it is.
+    """
+    tokens = F.regexp_extract_all(line, F.lit(_TOKENS))
+
+    def plain(t: Column, i: Column) -> Column:
+        first = F.substring(t, 1, 1)
+        quoted = first.isin("'", '"') & (F.length(t) > 1)
+        named = F.create_map(*[F.lit(x) for pair in _WORDS.items() for x in pair])
+        next_ = F.get(tokens, i + 1)
+        return (
+            F.when(quoted, F.when(t.contains("\\"), _unescaped(t)).otherwise(t))
+            .when(first.between("0", "9") | (first.isin("+", "-", ".") & (F.length(t) > 1)), _number(t))
+            .when((t == ",") & next_.isin("]", "}", ")"), "")
+            .otherwise(F.coalesce(named[t], t))
+        )
+
+    return F.array_join(F.transform(tokens, plain), " ")
 
 
 def parse_lines(df: DataFrame, line: str = "line") -> DataFrame:
@@ -50,7 +94,9 @@ def parse_lines(df: DataFrame, line: str = "line") -> DataFrame:
     not parse or whose timestamp does not. No condition is put on parsed columns
     here: it would be pushed below and parse every line a second time.
     """
-    parsed = F.from_json(_literal(F.col(line)), _SHAPE, {"allowSingleQuotes": "true"})
+    # most lines are JSON but for their quotes; the others are read token by token
+    options = {"allowSingleQuotes": "true", "allowUnquotedControlChars": "true"}
+    parsed = F.coalesce(F.from_json(line, _SHAPE, options), F.from_json(_literal(F.col(line)), _SHAPE, options))
     out = df.where(~F.regexp_like(F.col(line), F.lit(_EMPTY))).withColumn("__p", parsed)
     ts = F.try_to_timestamp(F.get(F.map_keys("__p"), F.lit(0)))
     items = F.get(F.map_values("__p"), F.lit(0))
@@ -66,8 +112,11 @@ def sensor_rows(
     clean: Callable[[Column], Column],
     mode: str = "PERMISSIVE",
     line: str = "line",
+    text: str | None = None,
 ) -> DataFrame:
-    """Long rows (…, ts, channel, value); the last value of a channel in a line wins.
+    """Long rows (…, ts, channel, value[, text]); the last value of a channel in a line wins.
+
+    ``text`` names a column for the value as it was written, also where it is no number.
 
     Keys are cleaned first, so two raw names of one channel also count as the
     same. A line is settled inside its own row: nothing is shuffled. Bad lines
@@ -88,12 +137,10 @@ def sensor_rows(
         "__e",
         lambda e, i: F.array_position(F.col("__names"), e["channel"]) == F.size("__names") - i,
     )
-    return (
-        good.withColumn("__r", F.explode(last))
-        .withColumn("channel", F.col("__r.channel"))
-        .withColumn("value", to_number(F.col("__r.raw")))
-        .drop("__e", "__names", "__r", "items", line)
-    )
+    out = good.withColumn("__r", F.explode(last)).withColumn("channel", F.col("__r.channel")).withColumn("value", to_number(F.col("__r.raw")))
+    if text is not None:
+        out = out.withColumn(text, F.col("__r.raw"))
+    return out.drop("__e", "__names", "__r", "items", line)
 
 
 def bad_lines(parsed: DataFrame) -> DataFrame:

@@ -61,16 +61,24 @@ def cooler_key():
     return F.create_map(*pairs)[F.col("event_type")]
 
 
+# Literals of the second channel of a log line, by event_id % 8: as written, and the text they stand for.
+NOTES = (
+    ("'offset: +5, x'", "offset: +5, x"), ("'a, ]'", "a, ]"), ("'ratio: None, x'", "ratio: None, x"), ("None", None),
+    ("+2.5", "2.5"), ("1_000", "1000"), ("0x1f", "31"), (r"'it\'s 1_0: .5,}'", "it's 1_0: .5,}"),
+)
+NOTE_VALUES = {4: 2.5, 5: 1000.0, 6: 31.0}
+
+
 def probe_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Log lines: the label twice (the last value wins) around a missing reading."""
+    """Log lines: the label twice (the last value wins) around a note in one of the spellings of ``NOTES``."""
     quote = F.lit("'")
     label = F.concat(quote, probe_label(), quote)
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     line = F.concat(
-        F.lit("{'"), stamp, F.lit("': [{"), label, F.lit(": -1.5}, {'Humidity': None}, {"),
-        label, F.lit(": '"), F.col("value").cast("decimal(12,2)").cast("string"), F.lit("'}]}"),
+        F.lit("{'"), stamp, F.lit("': [{"), label, F.lit(": -1.5}, {'Note': "),
+        F.get(F.array(*[F.lit(written) for written, _ in NOTES]), F.col("event_id") % len(NOTES)), F.lit("}, {"), label, F.lit(": '"), F.col("value").cast("decimal(12,2)").cast("string"), F.lit("'}]}"),
     )
-    blank = F.when(F.col("event_id") % 11 == 0, "  ").when(F.col("event_id") % 13 == 0, "{broken")
+    blank = F.when(F.col("event_id") % 11 == 0, "  ").when(F.col("event_id") % 13 == 0, "{broken: +1, 'a, ]'")
     return v.events(spark, sf).select("event_id", F.coalesce(blank, line).alias("line"))
 
 
@@ -94,18 +102,27 @@ BAD_SQL = """bad AS (SELECT event_id, ts, user_id,
     WHEN event_id % 23 = 0 THEN NULL ELSE CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR) END AS raw FROM events)"""
 
 
-@query(f"""SELECT event_id, epoch(date_trunc('second', ts))::BIGINT AS t, channel, value FROM (
-  SELECT event_id, ts, 'humidity' AS channel, NULL::DOUBLE AS value FROM events
+def _sql_text(text):
+    return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
+
+
+NOTE_SQL = " ".join(f"WHEN {i} THEN {_sql_text(text)}" for i, (_, text) in enumerate(NOTES))
+NOTE_VALUE_SQL = " ".join(f"WHEN {i} THEN {x}::DOUBLE" for i, x in NOTE_VALUES.items())
+
+
+@query(f"""SELECT event_id, epoch(date_trunc('second', ts))::BIGINT AS t, channel, value, text FROM (
+  SELECT event_id, ts, 'note' AS channel, CASE event_id % {len(NOTES)} {NOTE_VALUE_SQL} END AS value,
+    CASE event_id % {len(NOTES)} {NOTE_SQL} END AS text FROM events
   UNION ALL SELECT event_id, ts, CASE WHEN user_id = 0 THEN 'temp_unused_channel' ELSE
     'temp_cabin' || (1 + (user_id // 12) % 3) || '_back_' || (20 + 2 * (user_id % 12)) || 'u_c' END,
-    CAST(CAST(value AS DECIMAL(12,2)) AS DOUBLE) FROM events)
+    CAST(CAST(value AS DECIMAL(12,2)) AS DOUBLE), CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR) FROM events)
   WHERE event_id % 11 <> 0 AND event_id % 13 <> 0""")
 def parse_dict_lines(spark, sf):
-    rows = sensor_rows(parse_lines(probe_lines(spark, sf)), clean_probe_label)
-    return rows.select("event_id", secs().alias("t"), "channel", "value")
+    rows = sensor_rows(parse_lines(probe_lines(spark, sf)), clean_probe_label, text="text")
+    return rows.select("event_id", secs().alias("t"), "channel", "value", "text")
 
 
-@query("SELECT event_id, '{broken' AS line FROM events WHERE event_id % 11 <> 0 AND event_id % 13 = 0")
+@query("SELECT event_id, '{broken: +1, ''a, ]''' AS line FROM events WHERE event_id % 11 <> 0 AND event_id % 13 = 0")
 def quarantine_lines(spark, sf):
     return bad_lines(parse_lines(probe_lines(spark, sf)))
 

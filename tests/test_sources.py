@@ -40,6 +40,30 @@ def test_last_value_of_a_channel_wins(spark):
     ]
 
 
+WRITTEN = [  # values of a line, and the text they stand for
+    ("'offset: +5, x'", "offset: +5, x"), ("'a, ]'", "a, ]"), ("'ratio: None, x'", "ratio: None, x"), ('"say \'x\', 1_0"', "say 'x', 1_0"),
+    (r"'it\'s \x41\101\u0041\U0001F600 \q\\\n'", "it's AAA\U0001f600 \\q\\\n"), ("'a\tb'", "a\tb"), ("'{[('", "{[("), ("'\\\\'", "\\"), ("''", ""),
+    ("None", None), ("True", "true"), ("+2.0", "2.0"), ("- 5", "-5"), (".5", "0.5"), ("-5.", "-5.0"), ("5.e3", "5000.0"), ("1_000", "1000"),
+    ("0x1F", "31"), ("-0b101", "-5"), ("0o17", "15"), ("00", "0"), ("01.5", "1.5"), ("1" * 62, "1" * 62), ("0x1" + "0" * 16, "1.8446744073709552E19"),
+]
+NOT_WRITTEN = ["1 2", "012", "'x", "1__0", "1_", "[1", "x", "'a' 1", "0x", "+'a'"]
+
+
+def test_values_as_written(spark):
+    lines = [f"{{'2024-01-01 00:00:01': [{{'k: +1, None': {w}}}, ]}}" for w in [w for w, _ in WRITTEN] + NOT_WRITTEN]
+    got = sensor_rows(parse_lines(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")), lambda c: c, text="text")
+    rows = {r.i: r for r in got.collect()}
+    assert [(rows[i].channel, rows[i].text) for i in range(len(WRITTEN))] == [("k: +1, None", text) for _, text in WRITTEN]
+    assert sorted(rows) == list(range(len(WRITTEN)))
+    assert [rows[i].value for i, (w, _) in enumerate(WRITTEN) if w in ("+2.0", "- 5", "1_000", "0x1F")] == [2.0, -5.0, 1000.0, 31.0]
+
+
+def test_a_line_with_thousands_of_escapes(spark):
+    line = "{'2024-01-01 00:00:01': ({'k': '" + "\\'x" * 20_000 + "'},)}"
+    (row,) = sensor_rows(parse_lines(spark.createDataFrame([(line,)], "line string")), lambda c: c, text="text").collect()
+    assert row.text == "'x" * 20_000
+
+
 def test_bad_lines_are_kept_apart_or_stop_the_job(spark):
     assert sorted(r.line for r in bad_lines(parsed(spark)).collect()) == [LINES[4], LINES[7]]
     with pytest.raises(Exception, match="bad sensor line"):
