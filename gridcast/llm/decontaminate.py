@@ -18,10 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridcast.llm import words as W
-from gridcast.llm.frames import arrow_pass
+from gridcast.llm.frames import small_batches
 
 #: Windows of one broadcast index (48 bytes each). A larger benchmark is dealt out
 #: to several indexes by item, and the documents are searched once for each.
@@ -119,12 +118,15 @@ def build_index(items: list[tuple], docs: DataFrame, size: int) -> Index:
 NEW = ("n_words", "hit_words", "items")
 
 
-def _hits(index, kept: list[str], merge: bool):
-    """Add the hits of one index to the rows, and to those of the indexes before."""
+FIELDS = "n_words bigint, hit_words array<bigint>, items array<string>"
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+
+def _hits(index):
+    """Number of words, words hit and items found of each text, for one index."""
+
+    def step(column: pa.Array) -> pa.Array:
         n_words, hits, items = [], [], []
-        for first_row, texts in W.slices(batch.column("text")):
+        for _, texts in W.slices(column):
             ws = W.split(texts, W.PLAIN)
             start, window = index.value.find(ws)
             row = np.searchsorted(ws.splits, start, "right") - 1
@@ -132,19 +134,14 @@ def _hits(index, kept: list[str], merge: bool):
             edge = np.bincount(start, minlength=len(ws.start) + 1) - np.bincount(start + length, minlength=len(ws.start) + 1)
             place = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
             counts = np.bincount(np.searchsorted(ws.splits, place, "right") - 1, minlength=len(texts))
-            local = np.split(place - np.repeat(ws.splits[:-1], counts), np.cumsum(counts)[:-1])
+            hits += np.split(place - np.repeat(ws.splits[:-1], counts), np.cumsum(counts)[:-1])
             of_row: list[set] = [set() for _ in range(len(texts))]
             for r, w in sorted({*zip(row.tolist(), window.tolist())}):
                 of_row[r].update(map(str, index.value.items[w]))
-            for r in range(len(texts)) if merge else ():
-                at = first_row + r
-                local[r] = np.union1d(local[r], np.array(batch.column("hit_words")[at].as_py(), np.int64))
-                of_row[r].update(batch.column("items")[at].as_py())
-            hits += local
             items += [sorted(s) for s in of_row]
             n_words += ws.counts.tolist()
-        extra = [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *extra], names=[*kept, *NEW])
+        arrays = [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+        return pa.StructArray.from_arrays(arrays, names=list(NEW))
 
     return step
 
@@ -185,11 +182,15 @@ def find_contamination(
     texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
     benchmark = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text"))
     names = [c for c in docs.columns if c not in (*NEW, "contaminated")]
-    kept = [*(f"c{i}" for i in range(len(names))), "text"]
-    out = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, kept)], F.col(f"`{text_col}`").cast("string").alias("text"))
-    schema = T.StructType(list(out.schema.fields)).add("n_words", "long").add("hit_words", T.ArrayType(T.LongType()))
-    schema = schema.add("items", T.ArrayType(T.StringType()))
-    for k, part in enumerate(_item_parts(benchmark, size, max_windows)):
+    found = []
+    for part in _item_parts(benchmark, size, max_windows):
         index = spark.sparkContext.broadcast(build_index([tuple(r) for r in part.collect()], texts, size))
-        out = arrow_pass(out, _hits(index, kept, merge=k > 0), schema)
-    return out.drop("text").toDF(*names, *NEW).withColumn("contaminated", F.size("hit_words") > 0)
+        text = F.col(f"`{text_col}`").cast("string")
+        found.append(F.arrow_udf(_hits(index), FIELDS).asNondeterministic()(text))
+    small_batches(docs)
+    parts = [f"f{i}" for i in range(len(found))]
+    kept = [f"c{i}" for i in range(len(names))]
+    out = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, kept)], *[f.alias(p) for f, p in zip(found, parts)])
+    words, items = (F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(p)[c] for p in parts])))) for c in NEW[1:])
+    out = out.select(*kept, F.col(parts[0])["n_words"], words, items).toDF(*names, *NEW)
+    return out.withColumn("contaminated", F.size("hit_words") > 0)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
 from gridcast.plans.storage import materialize
@@ -62,6 +63,21 @@ def arrow_pass(
     return df.mapInArrow(run, schema)
 
 
+def with_fields(df: DataFrame, step: Callable[..., pa.Array], args: list[Column], fields: str) -> DataFrame:
+    """Add the fields of a struct that ``step`` computes from Arrow arrays of ``args``.
+
+    Only the arguments cross to Python and only the fields come back; the other
+    columns of the row, long texts among them, stay in the JVM. The function runs once
+    a row, also where a later filter asks for a field.
+    """
+    small_batches(df)
+    schema = T.StructType.fromDDL(fields)
+    names = [f"c{i}" for i in range(len(df.columns))]
+    found = F.arrow_udf(step, schema).asNondeterministic()(*args).alias("found")
+    out = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)], found)
+    return out.select(*names, *[F.col("found")[f] for f in schema.names]).toDF(*df.columns, *schema.names)
+
+
 def first_of_each(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each value: whether it occurs again in the array, and whether it is the first such."""
     order = np.argsort(values, kind="stable")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridcast.llm import words as W
-from gridcast.llm.frames import arrow_pass, hash_share
+from gridcast.llm.frames import arrow_pass, hash_share, with_fields
 from gridcast.plans.storage import materialize
 
 LINE_BREAK = 10
@@ -461,15 +461,10 @@ def score_quality(
     if scorer is None:
         return docs.select(*[F.col(f"`{c}`") for c in kept], *[F.lit(None).cast("double").alias(c) for c in NEW[:3]], F.lit(True).alias(NEW[3]))
     held = docs.sparkSession.sparkContext.broadcast(scorer)
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], text.alias("t"), *named)
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scores = held.value.scores(batch.column("t"), [batch.column(m) for m in meta])
-        cols = [batch.column(f"c{i}") for i in range(len(kept))]
-        cols += [*(pa.array(s) for s in scores.T), pa.array(scores[:, 2] >= settings.threshold)]
-        return pa.RecordBatch.from_arrays(cols, names=[*(f"c{i}" for i in range(len(kept))), *NEW])
-
-    schema = T.StructType([rows.schema[f"c{i}"] for i in range(len(kept))])
-    for name in NEW[:3]:
-        schema = schema.add(name, "double")
-    return arrow_pass(rows, step, schema.add(NEW[3], "boolean")).toDF(*kept, *NEW)
+    def step(texts: pa.Array, *names: pa.Array) -> pa.Array:
+        scores = held.value.scores(texts, names)
+        return pa.StructArray.from_arrays([*(pa.array(x) for x in scores.T), pa.array(scores[:, 2] >= settings.threshold)], names=list(NEW))
+
+    kind = ", ".join(f"{n} double" for n in NEW[:3]) + f", {NEW[3]} boolean"
+    return with_fields(docs.select(*[F.col(f"`{c}`") for c in kept]), step, [text, *named], kind)
