@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcast.llm import words as W
-from gridcast.llm.frames import small_batches
+from gridcast.llm.frames import give_back, small_batches
 
 #: Windows of one broadcast index (48 bytes each). A larger benchmark is dealt out
 #: to several indexes by item, and the documents are searched once for each.
@@ -87,11 +87,13 @@ def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
                 h = W.split(texts, W.PLAIN).hashes()
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 total += np.bincount(at[known[at] == h], minlength=len(known))
+            give_back()
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["at", "n"])
 
     if not len(vocabulary):
         return {}
+    small_batches(docs)
     sums = docs.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     return dict(zip(vocabulary[sums.column("at").to_numpy()].tolist(), sums.column("n").to_numpy().tolist()))
 
@@ -141,6 +143,7 @@ def _hits(index):
             items += [sorted(s) for s in of_row]
             n_words += ws.counts.tolist()
         arrays = [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+        give_back()
         return pa.StructArray.from_arrays(arrays, names=list(NEW))
 
     return step

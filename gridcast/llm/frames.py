@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -48,6 +50,17 @@ def small_batches(df: DataFrame) -> None:
         conf.set(_BATCH_SETTING, BATCH_BYTES)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker is used again by later stages, and
+    allocators keep what the largest batch so far has taken."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
+
 def arrow_pass(
     df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType
 ) -> DataFrame:
@@ -57,8 +70,11 @@ def arrow_pass(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = step(batch)
+            del batch
             if out is not None and out.num_rows:
                 yield out
+            del out
+            give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -73,7 +89,13 @@ def with_fields(df: DataFrame, step: Callable[..., pa.Array], args: list[Column]
     small_batches(df)
     schema = T.StructType.fromDDL(fields)
     names = [f"c{i}" for i in range(len(df.columns))]
-    found = F.arrow_udf(step, schema).asNondeterministic()(*args).alias("found")
+
+    def tidy(*arrays: pa.Array) -> pa.Array:
+        out = step(*arrays)
+        give_back()
+        return out
+
+    found = F.arrow_udf(tidy, schema).asNondeterministic()(*args).alias("found")
     out = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)], found)
     return out.select(*names, *[F.col("found")[f] for f in schema.names]).toDF(*df.columns, *schema.names)
 
@@ -143,6 +165,8 @@ def run_pass(
                 rest = rest.slice(splits[-2])
                 if out is not None and out.num_rows:
                     yield out
+                del out
+                give_back()
         if rest is not None:
             out = step(rest.combine_chunks(), _splits(rest, keys))
             if out is not None and out.num_rows:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridcast.llm import words as W
-from gridcast.llm.frames import arrow_pass
+from gridcast.llm.frames import arrow_pass, give_back, small_batches
 from gridcast.llm.intern import Interned, intern, padded
 from gridcast.plans.order import numbered
 from gridcast.plans.storage import materialize
@@ -95,9 +95,11 @@ def bucket_counts(docs: DataFrame, how: Resampling) -> np.ndarray:
             for _, texts in W.slices(batch.column("text")):
                 g = grams(texts, how)
                 np.add.at(total, g.bucket, g.table.count)
+            give_back()
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
 
+    small_batches(docs)
     parts = docs.select("text").mapInArrow(run, "bucket long, n long")
     sums = parts.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # one row for each bucket at most
     out = np.zeros(how.buckets, np.int64)

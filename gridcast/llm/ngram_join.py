@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridcast.llm import words as W
-from gridcast.llm.frames import FILTER_BITS, KEY, arrow_pass, components, first_of_each, key_filter, keyed, run_pass
+from gridcast.llm.frames import FILTER_BITS, KEY, arrow_pass, components, first_of_each, give_back, key_filter, keyed, run_pass, small_batches
 from gridcast.plans.storage import materialize
 
 ORDER_BITS = 18
@@ -90,6 +90,7 @@ def _count_buckets(size: int):
             for _, texts in W.slices(batch.column("__text")):
                 _, grams = shingle_sets(texts, size)
                 counts += np.bincount((grams & np.uint64(len(counts) - 1)).astype(np.int64), minlength=len(counts))
+            give_back()
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["at", "n"])
 
@@ -99,6 +100,7 @@ def _count_buckets(size: int):
 def global_order(rows: DataFrame, size: int) -> Order:
     """Count the shingles of all documents; at most 2**18 sums come to the driver."""
     sums = rows.select("__text").mapInArrow(_count_buckets(size), "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    small_batches(rows)
     table = sums.toArrow()
     counts = np.zeros(1 << ORDER_BITS, np.int64)
     counts[table.column("at").to_numpy()] = table.column("n").to_numpy()

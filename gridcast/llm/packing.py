@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridcast.llm.frames import give_back, small_batches
 from gridcast.llm.tokens import encoder
 from gridcast.plans.storage import materialize
 
@@ -65,10 +66,12 @@ def pieces(
                     cols.append(pa.ListArray.from_arrays(edges, pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "piece", "start", "length", "ids_crc32", "ids"][: len(cols)])
                 done += len(n)
+            give_back()
 
     schema = T.StructType([rows.schema["id"]]).add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
+    small_batches(rows)
     return rows.mapInArrow(run, schema)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridcast.llm.frames import arrow_pass
+from gridcast.llm.frames import arrow_pass, give_back, small_batches
 from gridcast.llm.tokens import encoder
 from gridcast.llm.wavelet import WaveletMatrix
 from gridcast.plans.order import PART_BITS, range_starts
@@ -86,9 +86,11 @@ def write_tokens(
                         ids, tokens, sizes = [], [], []
                     first = last
                 row += len(splits) - 1
+            give_back()
         if held:
             yield shard()
 
+    small_batches(docs)
     written = laid.select("id", "text").mapInArrow(run, schema)
     written.withColumn("at", F.monotonically_increasing_id()).write.option("compression", "none").parquet(path)
 
@@ -134,7 +136,9 @@ def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id", with_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from step(batch)
+            give_back()
 
+    small_batches(files)
     return files.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
