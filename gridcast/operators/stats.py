@@ -8,18 +8,15 @@ may be turned into literals with ``pooled``.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridcast.plans.chunks import join_facts
 from gridcast.plans.storage import materialize
 
 _FACTS = "__facts"
-_GROUP, _COLUMN, _VALUE = "__group", "__column", "__value"
+_GROUP, _COLUMN, _VALUE, _BITS = "__group", "__column", "__value", "__bits"
 
 
 def clip(c: Column, low: float | Column, high: float | Column) -> Column:
@@ -38,168 +35,115 @@ def long_stats(wide: DataFrame, keys: Sequence[str], name: str, cols: Mapping[st
     return wide.select(*keys, F.explode(F.array(*rows)).alias("__s")).select(*keys, "__s.*")
 
 
-def quantiles(
-    df: DataFrame,
-    cols: Sequence[str],
-    qs: Sequence[float],
-    keys: Sequence[str] = (),
-    limit: int = 100_000,
-) -> DataFrame:
+def quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
     """Exact, linearly interpolated quantiles: (keys, one array column per column).
 
-    Columns are turned into rows, so the plan does not grow with their number. No
-    task holds all values of a group: they are narrowed to ``limit`` values first.
+    Radix selection: a value becomes an integer of the same order, and each round counts
+    one digit of 16 bits among the values that share the digits found so far. Columns are
+    turned into rows, so the plan does not grow with their number; counts combine before
+    the shuffle, and a group has at most 65,536 of them in a round, however many values.
+    The cells are stored once and scanned four times.
     """
     # a struct is never NULL, so groups with a NULL key are joined too
     cells = [
-        F.struct(F.struct(F.lit(j).alias("column"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias(_GROUP), F.col(c).cast("double").alias(_VALUE))
+        F.struct(F.struct(F.lit(j).alias("column"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias(_GROUP), ordered_bits(F.col(c).cast("double")).alias(_BITS))
         for j, c in enumerate(cols)
     ]
-    melted = df.select(F.explode(F.array(*cells)).alias("__cell")).select("__cell.*")
-    found = _narrowed_quantiles(melted, [_VALUE], qs, [_GROUP], limit)
-    found = found.select(*[F.col(f"{_GROUP}.k{i}").alias(k) for i, k in enumerate(keys)], F.col(f"{_GROUP}.column").alias(_COLUMN), _VALUE)
-    return found.groupBy(*keys).agg(
-        *[F.first(F.when((F.col(_COLUMN) == j) & F.col(_VALUE)[0].isNotNull(), F.col(_VALUE)), ignorenulls=True).alias(c) for j, c in enumerate(cols)]
+    stored = materialize(df.select(F.explode(F.array(*cells)).alias("__cell")).select("__cell.*"))
+    found = _selected(stored, qs)
+    value = F.transform(F.array_sort("__found"), lambda s: s["value"])
+    out = found.groupBy(_GROUP).agg(F.first("__n").alias("__n"), F.collect_list(F.struct("slot", from_ordered_bits(F.col(_BITS)).alias("value"))).alias("__found"))
+    out = out.withColumn("__values", value).select(
+        *[F.col(f"{_GROUP}.k{i}").alias(k) for i, k in enumerate(keys)],
+        F.col(f"{_GROUP}.column").alias(_COLUMN),
+        F.when(F.col("__n") > 0, F.array(*[_between(q, i) for i, q in enumerate(qs)])).alias(_VALUE),
+    )
+    return out.groupBy(*keys).agg(
+        *[F.first(F.when(F.col(_COLUMN) == j, F.col(_VALUE)), ignorenulls=True).alias(c) for j, c in enumerate(cols)]
     )
 
 
-_CELLS = 200  # steps of the sketch; a round keeps about three of them
-
+_MANTISSA, _DIGIT = 52, 16
 
-@dataclass(frozen=True)
-class _Slot:
-    """The search for one order statistic: its rank, and the open interval
-    (lo, hi) it lies in, with ``below`` values up to lo and ``inner`` inside."""
 
-    col: str
-    name: str
-    rank: Column
+def ordered_bits(x: Column) -> Column:
+    """The bits of a double as a signed integer that sorts like it; both zeros are 0, NaN is the largest.
 
-    def __getattr__(self, field: str) -> str:
-        if field in ("lo", "hi", "val", "below", "inner"):
-            return f"{field}{self.name}"
-        raise AttributeError(field)
+    Spark has no cast for this: the exponent is the floor of log2, put right by one if
+    the logarithm was rounded, and division by a power of two is exact.
+    """
+    a = F.abs(x)
+    e = F.floor(F.log2(a))
+    e = F.when(_power(e) > a, e - 1).when(_power(e + 1) <= a, e + 1).otherwise(e)
+    normal = F.shiftleft((e + 1023).cast("long"), _MANTISSA) + ((a / _power(e) - 1) * 2.0**_MANTISSA).cast("long")
+    small = (a * 2.0**537 * 2.0**537).cast("long")  # below the smallest normal number
+    bits = F.when(a == 0, F.lit(0).cast("long")).when(a < 2.0**-1022, small).when(a == float("inf"), 2047 << _MANTISSA).otherwise(normal)
+    bits = F.when(F.isnan(x), (2047 << _MANTISSA) + 1).otherwise(bits)
+    return F.when(x < 0, -bits).otherwise(bits)
 
-    @property
-    def fields(self) -> list[str]:
-        return [self.lo, self.hi, self.val, self.below, self.inner]
 
-    def inside(self) -> Column:
-        c, lo, hi = F.col(self.col), F.col(self.lo), F.col(self.hi)
-        return F.when(
-            F.col(self.val).isNull() & (lo.isNull() | (c > lo)) & (hi.isNull() | (c < hi)), c
-        )
+def _power(e: Column) -> Column:
+    return F.pow(F.lit(2.0), e)
 
 
-def _narrowed_quantiles(
-    data: DataFrame, cols: Sequence[str], qs: Sequence[float], keys: Sequence[str], limit: int
-) -> DataFrame:
-    """Exact selection of the order statistics on either side of each quantile.
-
-    A round takes a bounded sketch of the values still inside, reads two pivots
-    around the wanted rank off it and counts exactly how many values lie below
-    and at them. The statistic is then one of the pivots or lies strictly
-    between, beneath or above them, so ties and heavy tails are no obstacle. A
-    round leaves about 2 % of the values; the state is one row per group.
-    """
-    size = {c: f"__n{j}" for j, c in enumerate(cols)}
-    at = {(c, i): (F.col(size[c]) - 1) * F.lit(float(q)) for c in cols for i, q in enumerate(qs)}
-    slots = {
-        (c, i, side): _Slot(c, f"__{j}_{i}{side}", fn(at[c, i]))
-        for j, c in enumerate(cols)
-        for i in range(len(qs))
-        for side, fn in (("f", F.floor), ("c", F.ceil))
-    }
-    all_slots = list(slots.values())
-    state_cols = [*size.values(), *[f for s in all_slots for f in s.fields]]
-    nothing = F.lit(None).cast("double")
-    state = data.groupBy(*keys).agg(*[F.count(c).alias(n) for c, n in size.items()]).withColumns(
-        {f: nothing for s in all_slots for f in (s.lo, s.hi, s.val)}
-        | {s.below: F.lit(0).cast("long") for s in all_slots}
-        | {s.inner: F.col(size[s.col]) for s in all_slots}
-    )
+def from_ordered_bits(bits: Column) -> Column:
+    """The double that ``ordered_bits`` made the integer from."""
+    a = F.abs(bits)
+    code, rest = F.shiftright(a, _MANTISSA), a.bitwiseAND(F.lit((1 << _MANTISSA) - 1)).cast("double")
+    normal = (1 + rest / 2.0**_MANTISSA) * _power(code - 1023)
+    special = F.when(rest == 0, float("inf")).otherwise(float("nan"))
+    x = F.when(code == 2047, special).when(code == 0, rest * 2.0**-1022 / 2.0**_MANTISSA).otherwise(normal)
+    return F.when(bits < 0, -x).otherwise(x)
 
-    def kept() -> list[Column]:
-        return [F.first(c).alias(c) for c in state_cols]
-
-    def is_open(s: _Slot) -> Column:
-        return F.col(s.val).isNull() & (F.col(s.inner) > limit)
-
-    while True:
-        state = materialize(state)
-        if not state.where(reduce(or_, [is_open(s) for s in all_slots])).take(1):
-            break
-        steps = [i / _CELLS for i in range(_CELLS + 1)]
-        sketch = join_facts(data, state, keys, cols, stored=True).groupBy(*keys).agg(
-            *kept(),
-            *[
-                F.percentile_approx(F.when(is_open(s), s.inside()), steps, 20 * _CELLS).alias(f"sk{s.name}")
-                for s in all_slots
-            ],
-        )
-        pivots = {}
-        for s in all_slots:
-            share = (s.rank - F.col(s.below)) / F.greatest(F.col(s.inner) - 1, F.lit(1))
-            cell = F.floor(share * _CELLS).cast("int")
-            pivots[f"p{s.name}"] = F.get(f"sk{s.name}", F.greatest(cell - 1, F.lit(0)))
-            pivots[f"q{s.name}"] = F.get(f"sk{s.name}", F.least(cell + 2, F.lit(_CELLS)))
-        chosen = sketch.withColumns(pivots).select(*keys, *state_cols, *pivots)
-        counted = join_facts(data, chosen, keys, cols).groupBy(*keys).agg(
-            *kept(),
-            *[F.first(p).alias(p) for p in pivots],
-            *[
-                F.count_if(test).alias(f"{tag}{s.name}")
-                for s in all_slots
-                for tag, test in (
-                    ("a", F.col(s.col) < F.col(f"p{s.name}")),
-                    ("b", F.col(s.col) <= F.col(f"p{s.name}")),
-                    ("d", F.col(s.col) < F.col(f"q{s.name}")),
-                    ("e", F.col(s.col) <= F.col(f"q{s.name}")),
-                )
-            ],
-        )
-        state = counted.withColumns(
-            {f: e for s in all_slots for f, e in _advance(s, is_open(s)).items()}
-        ).select(*keys, *state_cols)
 
-    picked = join_facts(data, state, keys, cols, stored=True).groupBy(*keys).agg(
-        *kept(), *[F.sort_array(F.collect_list(s.inside())).alias(f"in{s.name}") for s in all_slots]
-    )
+def _between(q: float, i: int) -> Column:
+    """The interpolated quantile from the values at the ranks on its two sides."""
+    at = (F.col("__n") - 1) * F.lit(float(q))
+    low, high = F.get("__values", F.lit(2 * i)), F.get("__values", F.lit(2 * i + 1))
+    share = at - F.floor(at)
+    return F.when(low == high, low).otherwise((1 - share) * low + share * high)
 
-    def statistic(s: _Slot) -> Column:
-        return F.coalesce(F.col(s.val), F.get(f"in{s.name}", (s.rank - F.col(s.below)).cast("int")))
 
-    def value(c: str, i: int) -> Column:
-        low, high = statistic(slots[c, i, "f"]), statistic(slots[c, i, "c"])
-        share = at[c, i] - F.floor(at[c, i])
-        return F.when(low == high, low).otherwise((1 - share) * low + share * high)
+def _selected(cells: DataFrame, qs: Sequence[float]) -> DataFrame:
+    """(group, slot, bits, n): the values at the two ranks around each quantile.
 
-    return picked.select(
-        *keys, *[F.array(*[value(c, i) for i in range(len(qs))]).alias(c) for c in cols]
-    )
+    A group without values keeps one row with n = 0.
+    """
+    digit = F.shiftright(_BITS, 64 - _DIGIT)
+    counts = cells.groupBy(_GROUP, digit.alias("__prefix")).agg(F.count(_BITS).alias("__m"))
+    n = F.sum("__m").over(Window.partitionBy(_GROUP))
+    ranks = [f((F.col("__n") - 1) * F.lit(float(q))).cast("long") for q in qs for f in (F.floor, F.ceil)]
+    wanted = F.array(*[F.struct(F.lit(i).alias("slot"), r.alias("rest")) for i, r in enumerate(ranks)])
+    counts = counts.withColumn("__n", n).withColumn("__wanted", wanted)
+    empty = counts.where("__n = 0").select(_GROUP, F.lit(0).alias("slot"), F.lit(None).cast("long").alias(_BITS), "__n")
+    state = materialize(_holding(counts.where("__n > 0"), [_GROUP]).unionByName(empty.select(_GROUP, F.col(_BITS).alias("__prefix"), "__n", F.lit(None).cast(_WANTED).alias("__wanted"))))
+    few = state.limit(_MAX_STATE + 1).count() <= _MAX_STATE  # later rounds hold at most a row for each slot
+    for left in (2, 1, 0):
+        prefix = F.shiftright(_BITS, (left + 1) * _DIGIT).alias("__prefix")
+        found = state.where("__wanted IS NOT NULL")
+        rows = cells.select(_GROUP, _BITS, prefix).join(F.broadcast(found) if few else found, [_GROUP, "__prefix"])
+        digit = F.shiftright(_BITS, left * _DIGIT)
+        counts = rows.groupBy(_GROUP, "__prefix", digit.alias("__next")).agg(
+            F.count(F.lit(1)).alias("__m"), F.first("__n").alias("__n"), F.first("__wanted").alias("__wanted")
+        )
+        state = _holding(counts, [_GROUP, "__prefix"], "__next")
+        if left:
+            state = materialize(state)
+    out = state.select(_GROUP, F.explode("__wanted.slot").alias("slot"), F.col("__prefix").alias(_BITS), "__n")
+    return out.unionByName(empty)
 
 
-def _advance(s: _Slot, still_open: Column) -> dict[str, Column]:
-    """The state of a slot after its pivots p <= q have been counted."""
-    p, q = F.col(f"p{s.name}"), F.col(f"q{s.name}")
-    a, b, d, e = (F.col(f"{t}{s.name}") for t in "abde")
-    lo, hi, val, below, inner = (F.col(f) for f in s.fields)
-    r = s.rank
-    end = below + inner
+_WANTED = "array<struct<slot: int, rest: bigint>>"
+_MAX_STATE = 100_000
 
-    def case(beneath, at_p, between, at_q, above, closed) -> Column:
-        return (
-            F.when(~still_open, closed).when(r < a, beneath).when(r < b, at_p)
-            .when(r < d, between).when(r < e, at_q).otherwise(above)
-        )
 
-    return {
-        s.lo: case(lo, lo, p, lo, q, lo),
-        s.hi: case(p, hi, q, hi, hi, hi),
-        s.val: case(val, p, val, q, val, val),
-        s.below: case(below, below, b, below, e, below),
-        s.inner: case(a - below, inner, d - b, inner, end - e, inner),
-    }
+def _holding(counts: DataFrame, by: Sequence[str], digit: str = "__prefix") -> DataFrame:
+    """The digits that hold a wanted rank, with the ranks counted from their first value."""
+    before = F.sum("__m").over(Window.partitionBy(*by).orderBy(digit)) - F.col("__m")
+    inside = F.filter("__wanted", lambda s: (s["rest"] >= F.col("__before")) & (s["rest"] < F.col("__before") + F.col("__m")))
+    rest = F.transform(inside, lambda s: F.struct(s["slot"].alias("slot"), (s["rest"] - F.col("__before")).alias("rest")))
+    found = counts.withColumn("__before", before).withColumn("__wanted", rest).where(F.size("__wanted") > 0)
+    return found.select(_GROUP, F.col(digit).alias("__prefix"), "__n", "__wanted")
 
 
 def winsor_bounds(
@@ -208,10 +152,9 @@ def winsor_bounds(
     q_low: float = 0.01,
     q_high: float = 0.99,
     keys: Sequence[str] = (),
-    limit: int = 100_000,
 ) -> DataFrame:
     """(keys, column, low, high) from quantiles of the training rows."""
-    q = quantiles(train, cols, [q_low, q_high], keys, limit)
+    q = quantiles(train, cols, [q_low, q_high], keys)
     return long_stats(
         q,
         keys,

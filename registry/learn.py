@@ -217,7 +217,7 @@ def winsor_bounds(spark, sf):
 def exact_quantiles(spark, sf):
     """Bounds of the raw readings by narrowing, as for tables too large for one buffer."""
     cols = ["l_extendedprice", "l_quantity"]
-    out = stats.quantiles(v.table(spark, sf, "lineitem"), cols, [0.01, 0.99], limit=1000)
+    out = stats.quantiles(v.table(spark, sf, "lineitem"), cols, [0.01, 0.99])
     return out.select(*[r6(F.col(c)[i]).alias(f"{c}_{n}") for c in cols for i, n in enumerate(("lo", "hi"))])
 
 

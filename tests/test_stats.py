@@ -17,7 +17,7 @@ def test_quantiles_interpolate_and_skip_missing(spark):
 
 
 @pytest.mark.parametrize("shape", ["normal", "heavy", "ties", "constant"])
-def test_narrowed_quantiles_are_exact(spark, shape):
+def test_quantiles_are_exact(spark, shape):
     rng = np.random.default_rng(7)
     x = {
         "normal": rng.normal(size=20_000),
@@ -27,13 +27,13 @@ def test_narrowed_quantiles_are_exact(spark, shape):
     }[shape]
     df = spark.createDataFrame([(float(v),) for v in x], "v double")
     qs = [0.01, 0.5, 0.987, 1.0]
-    got = stats.quantiles(df, ["v"], qs, limit=64).first()["v"]
+    got = stats.quantiles(df, ["v"], qs).first()["v"]
     assert got == pytest.approx(list(np.quantile(x, qs)), rel=1e-12)
 
 
-def test_narrowed_quantiles_per_entity_with_a_hot_one(spark):
+def test_quantiles_per_entity_with_a_hot_one(spark):
     df = skewed(spark, hot=6000, others=4, each=3000)
-    got = {r.k: r.v for r in stats.quantiles(df, ["v"], [0.01, 0.99], ["k"], limit=50).collect()}
+    got = {r.k: r.v for r in stats.quantiles(df, ["v"], [0.01, 0.99], ["k"]).collect()}
     want = {r.k: r.v for r in df.groupBy("k").agg(F.percentile("v", F.array(F.lit(0.01), F.lit(0.99))).alias("v")).collect()}
     assert set(got) == set(want)
     for k in want:
@@ -41,21 +41,35 @@ def test_narrowed_quantiles_per_entity_with_a_hot_one(spark):
 
 
 def test_quantiles_of_many_columns(spark):
-    """112 columns, more values than the limit; groups without a key or without values stay."""
+    """112 columns; groups without a key or without values stay."""
     rng = np.random.default_rng(3)
     cols = [f"c{j}" for j in range(112)]
     x = rng.normal(size=(600, 112))
     rows = [(("a", None)[i % 2], *map(float, r[:-1]), None) for i, r in enumerate(x)]
     df = spark.createDataFrame(rows, "k string, " + ", ".join(f"{c} double" for c in cols)).repartition(4).cache()
-    got = stats.quantiles(df, cols, [0.01, 0.99], limit=100).first()
+    got = stats.quantiles(df, cols, [0.01, 0.99]).first()
     for j, c in enumerate(cols[:-1]):
         assert got[c] == pytest.approx(list(np.quantile(x[:, j], [0.01, 0.99])), rel=1e-9)
     assert got["c111"] is None
-    by = {r.k: r for r in stats.quantiles(df, ["c0", "c111"], [0.5], ["k"], limit=100).collect()}
+    by = {r.k: r for r in stats.quantiles(df, ["c0", "c111"], [0.5], ["k"]).collect()}
     assert by["a"].c0 == pytest.approx([np.median(x[::2, 0])]) and by[None].c0 == pytest.approx([np.median(x[1::2, 0])])
     assert by["a"].c111 is None and stats.quantiles(df.limit(0), ["c0"], [0.5]).first().c0 is None
 
 
+def test_ordered_bits(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.integers(-(2**63), 2**63 - 1, 20_000).view(np.float64), [0.0, -0.0, np.inf, -np.inf, 5e-324, -5e-324, 2.0**-1022, 1.0, np.nextafter(2.0**-1022, 0), 1.7976931348623157e308]])
+    x = np.concatenate([x, 2.0 ** np.arange(-1074, 1024), np.nextafter(2.0 ** np.arange(-1000, 1024), 0), np.nextafter(2.0 ** np.arange(-1000, 1023), np.inf)])
+    x = x[~np.isnan(x)]
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").select("x", stats.ordered_bits(F.col("x")).alias("b"))
+    rows = df.select("x", "b", stats.from_ordered_bits(F.col("b")).alias("back")).collect()
+    raw = np.array([r.x for r in rows])
+    want = np.abs(raw).view(np.int64) * np.where(raw < 0, -1, 1)
+    assert [r.b for r in rows] == want.tolist() and [r.back for r in rows] == raw.tolist()
+    nan = spark.createDataFrame([(float("nan"),)], "x double").select(stats.ordered_bits(F.col("x")).alias("b"))
+    assert nan.first().b > max(want) and np.isnan(nan.select(stats.from_ordered_bits(F.col("b"))).first()[0])
+
+
 def test_clip_keeps_missing(spark):
     assert values(stats.winsorize(series(spark, [None, 5, 1]), {"v": (2, 4), "absent": (0, 1)}), "v") == [None, 4.0, 2.0]
 
