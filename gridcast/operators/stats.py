@@ -46,10 +46,11 @@ def quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], keys: Seq
     """
     # a struct is never NULL, so groups with a NULL key are joined too
     cells = [
-        F.struct(F.struct(F.lit(j).alias("column"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias(_GROUP), ordered_bits(F.col(c).cast("double")).alias(_BITS))
+        F.struct(F.struct(F.lit(j).alias("column"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias(_GROUP), F.col(c).cast("double").alias(_VALUE))
         for j, c in enumerate(cols)
     ]
-    stored = materialize(df.select(F.explode(F.array(*cells)).alias("__cell")).select("__cell.*"))
+    melted = df.select(F.explode(F.array(*cells)).alias("__cell"))
+    stored = materialize(melted.select(f"__cell.{_GROUP}", ordered_bits(F.col(f"__cell.{_VALUE}")).alias(_BITS)))
     found = _selected(stored, qs)
     value = F.transform(F.array_sort("__found"), lambda s: s["value"])
     out = found.groupBy(_GROUP).agg(F.first("__n").alias("__n"), F.collect_list(F.struct("slot", from_ordered_bits(F.col(_BITS)).alias("value"))).alias("__found"))
