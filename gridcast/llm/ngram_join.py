@@ -2,7 +2,7 @@
 
 The shingles of all documents are put into one global order, rare ones first. Two
 sets that reach the threshold share a shingle among the first ``n - ceil(t n) + 1``
-of each: its prefix. Documents with equal sets are one class. Classes with the
+of each, and ``k`` among the first ``n - ceil(t n) + k``: its prefix. Documents with equal sets are one class. Classes with the
 same prefix and size are one group, and only groups are indexed by the shingles
 of their prefixes; group pairs pass the length and positional bounds, are
 expanded to their members, pass a bound by histograms of their shingles and are
@@ -35,6 +35,10 @@ from gridcast.plans.storage import materialize
 ORDER_BITS = 18
 #: Bins of the histogram of a set; a bin that is full in both sets of a pair proves nothing.
 BINS, FULL = 256, 255
+#: A prefix is long enough that two sets that reach the threshold share this many of its tokens.
+SHARED = 8
+#: At most this many rows of names (16 to 64 bytes each) are broadcast; beyond that joins shuffle.
+MAX_BROADCAST = 200_000
 #: A token or a group of more classes is dealt with in blocks of classes, not by pairs.
 CROWD, BLOCK = 64, 512
 
@@ -108,7 +112,10 @@ def global_order(rows: DataFrame, size: int) -> Order:
 
 
 def _prefix_lengths(n: np.ndarray, percent: int) -> np.ndarray:
-    return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
+    """Sets that reach the threshold share at least ``least`` shingles, so at least the smaller of
+    that and ``SHARED`` among their prefixes."""
+    least = (percent * n + 99) // 100
+    return n - least + np.minimum(least, SHARED)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -269,13 +276,21 @@ def _may_link(n: Column, pos: Column, m: Column, at: Column, percent: int) -> Co
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
 
-def _class_sets(members: DataFrame, rows: DataFrame, order, size: int) -> DataFrame:
+def _few(rows: DataFrame) -> bool:
+    return rows.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+
+
+def _class_sets(members: DataFrame, listed: DataFrame, rows: DataFrame, order, size: int) -> DataFrame:
     """(s, n, bins, tokens) of the classes ``members``, from one document of each."""
-    places = members.select("s", "n", "doc.__a", "doc.__b")
+    places = materialize(members.select("s", "n", "doc.__a", "doc.__b"))
     wanted = rows.sparkSession.sparkContext.broadcast(key_filter(places.select(*KEY)))
     found = arrow_pass(rows.select("__text", *KEY), _stored_sets(size, order, wanted), "__a long, __b long, bins binary, tokens binary")
-    # rows with equal text and id share the key; the join has already brought them together
-    one = found.join(places, list(KEY)).dropDuplicates([*KEY])
+    # rows with equal text and id share the key
+    repeated = listed.groupBy(*KEY).count().where("count > 1").join(places, list(KEY), "left_semi")
+    if _few(places) and not repeated.take(1):
+        one = found.join(F.broadcast(places), list(KEY))
+    else:
+        one = found.join(places, list(KEY)).dropDuplicates([*KEY])
     return materialize(one.select("s", "n", "bins", "tokens"))
 
 
@@ -291,7 +306,11 @@ def _verify_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct pairs (u, v) of classes that are links."""
     x = sets.select(F.col("s").alias("u"), F.col("tokens").alias("x"))
     y = sets.select(F.col("s").alias("v"), F.col("tokens").alias("y"))
-    return arrow_pass(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y"), _pair_links(percent), LINK)
+    if _few(pairs):  # only the sets of these pairs are shuffled then
+        both = x.join(F.broadcast(pairs), "u").join(y.join(F.broadcast(pairs.select("v").distinct()), "v", "left_semi"), "v")
+    else:
+        both = pairs.join(x, "u").join(y, "v")
+    return arrow_pass(both.select("u", "v", "x", "y"), _pair_links(percent), LINK)
 
 
 def _verify_crowds(crowds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -350,28 +369,63 @@ def near_duplicates(
     return filled.unionByName(blank).withColumnRenamed("__id", id_col)
 
 
-def _shared_tokens(listed: DataFrame) -> DataFrame:
-    """(token, g0, g1, n, pos): the prefix tokens that several groups have.
+def _with_others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows, sorted by token and group, whose token another group has too.
 
-    First which tokens these are, by sums that combine before the shuffle; then their
-    rows by a join, which Spark can split, so that no task needs to hold all of one token.
+    What stands before the first and behind the last row of a partition is not known
+    here, so these two are kept. A group that several slices have found is kept once.
+    """
+    held: pa.Table | None = None
+    first = True
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        token, group = rows.column("token").to_numpy(), rows.column("g0").to_numpy()
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (group[1:] != group[:-1])
+        place = np.flatnonzero(new)
+        token = token[place]
+        # the two last rows go on: the last is judged by what follows, the one before it shows what was before
+        before, after = np.zeros(len(token), bool), np.zeros(len(token), bool)
+        before[1:] = after[:-1] = token[1:] == token[:-1]
+        good = before | after
+        good[0] = first or (good[0] and held is None)
+        start = 0 if first else 1
+        if len(place) > 1:
+            first = False
+            out = place[start:-1][good[start:-1]]
+            held = rows.take(pa.array(place[-2:]))
+            if len(out):
+                yield rows.take(pa.array(out)).combine_chunks().to_batches()[0]
+        else:
+            held = rows.take(pa.array(place))
+    if held is not None and held.num_rows:
+        yield held.slice(held.num_rows - 1).combine_chunks().to_batches()[0]
+
+
+def _shared_tokens(listed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(token, g0, g1, n, pos): prefix tokens that several groups have, of groups with enough of them.
+
+    Rows are dealt out by ranges of token and group, so that no task needs to hold all
+    rows of a token, and neighbours show which tokens several groups have.
     """
-    groups = materialize(listed.where("prefix IS NOT NULL").select("g0", "g1", "n", "prefix").dropDuplicates(["g0", "g1"]))
-    tokens = groups.select("g0", "g1", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    name = F.xxhash64("g0", "g1")
-    several = tokens.groupBy("token").agg(F.min(name).alias("a"), F.max(name).alias("b")).where("a <> b").select("token")
-    return materialize(tokens.join(several, "token", "left_semi").select("token", "g0", "g1", "n", "pos"))
+    tokens = listed.where("prefix IS NOT NULL").select("g0", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    laid = tokens.repartitionByRange("token", "g0").sortWithinPartitions("token", "g0")
+    shared = materialize(laid.mapInArrow(_with_others, "g0 long, n int, pos int, token long"))
+    least = F.least(F.lit(SHARED), F.expr(f"({percent} * n + 99) div 100"))
+    counts = shared.groupBy("g0", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least)
+    kept = counts.select("g0").join(classes.select("g0", "g1").distinct(), "g0")
+    return materialize(shared.join(kept, "g0").select("token", "g0", "g1", "n", "pos").distinct())
 
 
 def _links(rows: DataFrame, listed: DataFrame, classes: DataFrame, order, size: int, percent: int) -> DataFrame:
     """Links that join the classes of each component."""
     group = ["g0", "g1"]
-    shared = _shared_tokens(listed)
+    shared = _shared_tokens(listed, classes, percent)
     # groups that hold several classes, or share a token with another group
     several = classes.groupBy(*group).count().where("count > 1").select(*group)
     wanted = shared.select(*group).unionByName(several).distinct()
     members = materialize(classes.join(wanted, group, "left_semi").withColumn("s", F.struct("s0", "s1")))
-    sets = _class_sets(members, rows, order, size)
+    sets = _class_sets(members, listed, rows, order, size)
     links = None
     # twice: neighbours among the components that a group or a token still has
     for seed in (1, 2):

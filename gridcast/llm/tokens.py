@@ -26,7 +26,7 @@ REMEMBERED = 150_000
 #: Longer pieces are not remembered.
 LONGEST = 64
 #: Bytes of text encoded at once.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 # The steps before the merges that make the cuts below exact.
 NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]

@@ -4,7 +4,7 @@ A batch of texts is one byte buffer with row offsets. Words are found with a
 table over byte values (both word definitions below are ASCII rules, so UTF-8
 bytes above 0x7F always belong to words) and hashed by prefix sums of a
 polynomial, so no Python loop runs over words. Rows are cut into slices of
-about a megabyte, so that the temporary arrays stay small; a longer text makes
+about half a megabyte, so that the temporary arrays stay small; a longer text makes
 a slice of its own and is never cut.
 """
 
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = (1 << 19) - 2  # so that tables of powers have 2**19 entries
 BLANKS = (9, 10, 11, 12, 13, 32)
 
 
