@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridcast.operators.grid import complete_rows
-from gridcast.plans.chunks import BUCKET, by, find_buckets
+from gridcast.plans.chunks import BUCKET, by, find_buckets, join_facts
 
 OVERALL = "__overall__"
 
@@ -38,7 +38,30 @@ def nearest(
     """For each request the series row nearest on the numeric column ``on``.
 
     Of two equally near rows the later one is taken. ``matched`` is that row's
-    ``on``; ``payload`` columns come with it.
+    ``on``; ``payload`` columns come with it. A request without a value matches nothing.
+
+    Requests for one value are looked up once, whatever their number, and joined to the
+    answer afterwards, where one crowded value can be spread.
+    """
+    asked = requests.where(F.col(on).isNotNull()).select(*keys, on).distinct()
+    # a struct is never NULL, so requests with a NULL key find their answer too
+    name = F.struct(*keys, on)
+    found = _nearest_values(asked, series, on, payload, width, keys, max_bucket_rows)
+    found = found.select(name.alias("__name"), F.struct(F.col("__pick.__on").alias("__on"), *[f"__pick.{p}" for p in payload]).alias("__pick"))
+    out = join_facts(requests.withColumn("__name", name), found, ["__name"], requests.columns, "left", 1 + len(keys) + len(payload))
+    return out.select(*requests.columns, F.col("__pick.__on").alias(matched), *[F.col(f"__pick.{p}").alias(p) for p in payload])
+
+
+def _nearest_values(
+    requests: DataFrame,
+    series: DataFrame,
+    on: str,
+    payload: Sequence[str],
+    width: float,
+    keys: Sequence[str],
+    max_bucket_rows: int,
+) -> DataFrame:
+    """(keys, on, __pick): the nearest series row for distinct requests.
 
     Both sides are cut into buckets of ``width``, crowded ones further. Series rows are sorted only in
     buckets that hold a request; the rows before and after such a bucket come
@@ -84,10 +107,7 @@ def nearest(
     nxt = F.coalesce(F.col("__next_in"), F.col("__next"))
     later = prev.isNull() | (nxt["__on"] - F.col(on) <= F.col(on) - prev["__on"])
     pick = F.when(prev["__on"] == F.col(on), prev).when(nxt.isNotNull() & later, nxt).otherwise(prev)
-    return (
-        found.withColumn("__pick", pick)
-        .select(*requests.columns, F.col("__pick.__on").alias(matched), *[F.col(f"__pick.{p}").alias(p) for p in payload])
-    )
+    return found.withColumn("__pick", pick).select(*requests.columns, "__pick")
 
 
 def nearest_in_time(

@@ -217,11 +217,12 @@ def total_score(
     )
 
 
-def setpoint_kpi(df: DataFrame, groups: Sequence[str], value: str, target: float) -> DataFrame:
-    """Reward (minus the mean distance from the set point), mean, max, min per group."""
+def setpoint_kpi(df: DataFrame, groups: Sequence[str], value: str, target: float | Column) -> DataFrame:
+    """Reward (minus the mean distance from the set point, perhaps a column), mean, max, min per group."""
     c = F.col(value)
+    target = target if isinstance(target, Column) else F.lit(float(target))
     return df.groupBy(*groups).agg(
-        (-F.avg(F.abs(c - F.lit(float(target))))).alias("reward"),
+        (-F.avg(F.abs(c - target))).alias("reward"),
         F.avg(c).alias("mean_temp"),
         F.max(c).alias("max_temp"),
         F.min(c).alias("min_temp"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gridcast.operators.align import OVERALL, with_baseline
 from gridcast.operators.grid import complete_rows
 from gridcast.operators.split import time_split
-from gridcast.plans.chunks import POS, TOTAL, join_facts, positions, salted_join, windowed
+from gridcast.plans.chunks import POS, TOTAL, join_facts, positions, windowed
 from gridcast.spec import SeriesSpec
 
 
@@ -199,17 +199,28 @@ def horizon_metrics(
     Rows are (scenario, target, step, y_true, y_pred). Drift is the distance of
     the prediction from the truth at step 0; a scenario without that truth counts
     for the errors and not for the drift. Horizons beyond the data are left out.
-    One pass: every horizon is a conditional aggregate.
+    A scenario is gathered into one row of the steps below the largest horizon, which
+    bounds it, so its start needs no join.
     """
-    start = rollout.where(F.col("step") == 0).select(
-        *scenario, "target", F.col("y_true").alias("__start")
+    step = F.struct("step", "y_true", "y_pred")
+    by = list(dict.fromkeys([*groups, *scenario, "target"]))
+    lists = rollout.groupBy(*by).agg(
+        F.max("step").alias("last"), F.collect_list(F.when(F.col("step") < max(horizons), step)).alias("steps")
     )
-    rows = salted_join(rollout, start, [*scenario, "target"], ["step"], "left")
-    e = F.col("y_pred") - F.col("y_true")
-    drift = F.abs(F.col("y_pred") - F.col("__start"))
-    aggs = [F.max("step").alias("__last")]
+    return horizon_table(lists, horizons, groups)
+
+
+def horizon_table(scenarios: DataFrame, horizons: Sequence[int], groups: Sequence[str] = ()) -> DataFrame:
+    """The table of ``horizon_metrics`` from one row per scenario and target:
+    ``steps``, an array of (step, y_true, y_pred), and ``last``, the largest step there is."""
+    start = F.get(F.filter("steps", lambda s: s["step"] == 0), F.lit(0))["y_true"]
+    rows = scenarios.select(*groups, F.col("last").alias("__last"), start.alias("__start"), F.explode_outer("steps").alias("__s"))
+    step, pred = F.col("__s.step"), F.col("__s.y_pred")
+    e = pred - F.col("__s.y_true")
+    drift = F.abs(pred - F.col("__start"))
+    aggs = [F.max("__last").alias("__last")]
     for h in horizons:
-        early = F.col("step") < h
+        early = step < h
         aggs += [
             F.avg(F.when(early, F.abs(e))).alias(f"mae{h}"),
             F.sqrt(F.avg(F.when(early, e * e))).alias(f"rmse{h}"),
@@ -233,24 +244,34 @@ def default_horizons(n_steps: int) -> tuple[int, ...]:
     return (10, 30, 60, 90) if n_steps >= 90 else (10, 20, 30)
 
 
-def future_truth(
-    scored: DataFrame, series: DataFrame, spec: SeriesSpec, targets: Sequence[str]
-) -> DataFrame:
-    """Truth for rollout rows: the value ``step + 1`` grid steps after the start row.
+def constant_futures(series: DataFrame, spec: SeriesSpec, targets: Sequence[str], n_steps: int) -> DataFrame:
+    """(keys, ts, target, steps, last): the constant rollout from every row, with what came after it.
 
-    ``scored`` holds (keys, ts, target, step, y_pred) with ts the start row.
+    Step i is the value i + 1 grid steps later; steps without a value are left out, and
+    so are rows without a value of the target. The future of a row is an array from one
+    window over the chunk and its halo: no row is copied for its steps, nothing is joined.
+    Gaps of the grid may stay, as the window goes by the grid index.
     """
-    truth = series.select(
-        *spec.keys,
-        F.col(spec.ts).alias("__at"),
-        F.explode(F.array(*[F.struct(F.lit(c).alias("target"), F.col(c).alias("y_true")) for c in targets])).alias("__r"),
-    ).select(*spec.keys, "__at", "__r.*")
-    at = F.timestamp_micros(F.unix_micros(spec.ts) + (F.col("step") + 1) * F.lit(spec.step_us))
-    return (
-        scored.withColumn("__at", at)
-        .join(truth.where(F.col("y_true").isNotNull()), [*spec.keys, "__at", "target"])
-        .drop("__at")
-    )
+
+    def stage(w: WindowSpec) -> dict[str, Column]:
+        ahead = w.rangeBetween(1, n_steps)
+        return {
+            f"__f_{c}": F.collect_list(F.when(F.col(c).isNotNull(), F.struct(F.col(POS).alias("at"), F.col(c).alias("v")))).over(ahead)
+            for c in targets
+        }
+
+    rows = series.select(*spec.keys, spec.ts, *targets).withColumn(POS, spec.index())
+    laid = windowed(rows, spec, [stage], ahead=n_steps)
+
+    def future(c: str) -> Column:
+        row = F.transform(
+            f"__f_{c}", lambda s: F.struct((s["at"] - F.col(POS) - 1).alias("step"), s["v"].alias("y_true"), F.col(c).alias("y_pred"))
+        )
+        return F.struct(F.lit(c).alias("target"), F.col(c).alias("y_pred"), row.alias("steps"))
+
+    each = laid.select(*spec.keys, spec.ts, F.explode(F.array(*[future(c) for c in targets])).alias("__r")).where("__r.y_pred IS NOT NULL")
+    last = F.array_max(F.transform("__r.steps", lambda s: s["step"]))
+    return each.select(*spec.keys, spec.ts, "__r.target", "__r.steps", last.alias("last"))
 
 
 def relative_change(table: DataFrame, baseline: DataFrame) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridcast.operators.align import nearest, nearest_in_time, time_slice
 
 _HEIGHT = re.compile(r"_(\d{1,2})u_")
+_CABIN = re.compile(r"(cabin\d+)", re.IGNORECASE)
 
 
 def column_height(name: str) -> int | None:
@@ -18,6 +19,17 @@ def column_height(name: str) -> int | None:
     return int(m[1]) if m else None
 
 
+def column_cabin(name: str) -> str | None:
+    m = _CABIN.search(name)
+    return m[1].lower() if m else None
+
+
+def _cell(c: str, with_cabin: bool) -> Column:
+    """The reading of a probe column, with its height and perhaps its cabin."""
+    fields = [F.lit(column_height(c)).alias("U"), F.col(c).cast("double").alias("temperature_c")]
+    return F.struct(*[F.lit(column_cabin(c)).cast("string").alias("cabin")] * with_cabin, *fields)
+
+
 def probe_columns(columns: Sequence[str], cabin: str | None = None) -> list[str]:
     """Probe columns with a height, of one cabin if asked, from bottom to top."""
     names = [c for c in columns if c.startswith("temp_") and c.endswith("_c")]
@@ -33,12 +45,9 @@ def _probes(df: DataFrame, cabin: str | None) -> list[str]:
     return names
 
 
-def melt_profile(df: DataFrame, keep: Sequence[str], cabin: str | None = None) -> DataFrame:
-    """(keep, U, temperature_c): one row per probe with a reading."""
-    pairs = [
-        F.struct(F.lit(column_height(c)).alias("U"), F.col(c).cast("double").alias("temperature_c"))
-        for c in _probes(df, cabin)
-    ]
+def melt_profile(df: DataFrame, keep: Sequence[str], cabin: str | None = None, with_cabin: bool = False) -> DataFrame:
+    """(keep, [cabin,] U, temperature_c): one row per probe with a reading."""
+    pairs = [_cell(c, with_cabin) for c in _probes(df, cabin)]
     return (
         df.select(*keep, F.explode(F.array(*pairs)).alias("__p"))
         .select(*keep, "__p.*")
@@ -52,28 +61,26 @@ def profile_at(
     cabin: str | None = None,
     keys: Sequence[str] = (),
     bucket_s: float = 3600.0,
+    with_cabin: bool = False,
 ) -> DataFrame:
-    """The profile at the row nearest to each requested time."""
+    """The profile at the row nearest to each requested time, of one cabin or of all."""
     names = _probes(df, cabin)
     found = nearest_in_time(requests, df.select(*keys, "ts", *names), names, bucket_s, keys)
-    return melt_profile(found, [*requests.columns, "matched_ts"], cabin)
+    return melt_profile(found, [*requests.columns, "matched_ts"], cabin, with_cabin)
 
 
 def profile_mean(
-    df: DataFrame, start: str, end: str, cabin: str | None = None, keys: Sequence[str] = ()
+    df: DataFrame, start: str, end: str, cabin: str | None = None, keys: Sequence[str] = (), with_cabin: bool = False
 ) -> DataFrame:
     """The profile averaged over a closed time window."""
     names = _probes(df, cabin)
     mean = time_slice(df, start, end).groupBy(*keys).agg(*[F.avg(c).alias(c) for c in names])
-    return melt_profile(mean, keys, cabin).orderBy(*keys, "U")
+    return melt_profile(mean, keys, cabin, with_cabin).orderBy(*keys, "U")
 
 
-def profile_matrix(df: DataFrame, cabin: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """Height by time, long: (keys, ts, U, temperature_c); missing cells kept."""
-    pairs = [
-        F.struct(F.lit(column_height(c)).alias("U"), F.col(c).cast("double").alias("temperature_c"))
-        for c in _probes(df, cabin)
-    ]
+def profile_matrix(df: DataFrame, cabin: str | None = None, keys: Sequence[str] = (), with_cabin: bool = False) -> DataFrame:
+    """Height by time, long: (keys, ts, [cabin,] U, temperature_c); missing cells kept."""
+    pairs = [_cell(c, with_cabin) for c in _probes(df, cabin)]
     return df.select(*keys, "ts", F.explode(F.array(*pairs)).alias("__p")).select(*keys, "ts", "__p.*")
 
 

@@ -285,17 +285,18 @@ def select_targets(spark, sf):
     return named.where(clean.is_target_channel(F.col("channel"))).groupBy("channel").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {v.TYPES_SQL}, a AS (SELECT t, max(value) FILTER (event_type = 'click') AS click, max(value) FILTER (event_type = 'view') AS view
-    FROM types_grid WHERE event_type IN ('click', 'view') GROUP BY t),
-  p AS (SELECT t, max(value) AS purchase FROM types_grid WHERE event_type = 'purchase' GROUP BY t)
-  SELECT CAST(a.t AS BIGINT) AS t, {v.r6_list(['click', 'view', 'purchase'])}
+@query(f"""WITH {v.TYPES_SQL}, a AS (SELECT t, max(value) FILTER (event_type = 'click') AS click, max(value) FILTER (event_type = 'view') AS view,
+    max(value) FILTER (event_type = 'error') AS error FROM types_grid WHERE event_type IN ('click', 'view', 'error') GROUP BY t),
+  p AS (SELECT t, max(value) FILTER (event_type = 'purchase') AS purchase, max(value) FILTER (event_type = 'signup') AS signup
+    FROM types_grid WHERE event_type IN ('purchase', 'signup') GROUP BY t)
+  SELECT CAST(a.t AS BIGINT) AS t, {v.r6_list(WIDE)}
   FROM a JOIN p ON a.t = p.t""")
 def join_feeds(spark, sf):
     rows = v.types_grid(spark, sf)
-    a = clean.to_wide(rows.where(F.col("event_type").isin("click", "view")), ["ts"], ["click", "view"], "event_type")
-    b = clean.to_wide(rows.where(F.col("event_type") == "purchase"), ["ts"], ["purchase"], "event_type")
+    feeds = WIDE[:3], WIDE[3:]
+    a, b = (clean.to_wide(rows.where(F.col("event_type").isin(*names)), ["ts"], names, "event_type") for names in feeds)
     out = align.join_feeds(a, b)
-    return out.select(secs().alias("t"), *[r6(c).alias(c) for c in ("click", "view", "purchase")])
+    return out.select(secs().alias("t"), *[r6(c).alias(c) for c in WIDE])
 
 
 @query("""SELECT l_returnflag, round(sum(l_extendedprice), 2) + 0.0 AS total FROM lineitem

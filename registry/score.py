@@ -194,43 +194,53 @@ def downsample(spark, sf):
 
 
 # Rollout rows: every rack is a scenario, its bins are the steps; the truth is
-# t_low, the prediction its value three bins earlier.
+# a target, the prediction its value three bins earlier.
 STEPS_SQL = f"""steps AS (SELECT rack AS scenario_id, row_number() OVER (PARTITION BY rack ORDER BY b) - 1 AS step,
-  fan, supply, load, t_low, {v.lag_sql('t_low', 3, 'rack')} AS prev FROM racks)"""
+  fan, supply, load, t_low, t_high, {v.lag_sql('t_low', 3, 'rack')} AS p_low, {v.lag_sql('t_high', 3, 'rack')} AS p_high FROM racks)"""
+LONG_SQL = """r AS (SELECT scenario_id, step, 't_low' AS target, t_low AS y_true, coalesce(p_low, t_low) AS y_pred FROM steps
+  UNION ALL SELECT scenario_id, step, 't_high', t_high, coalesce(p_high, t_high) FROM steps)"""
 
 
 def steps(spark, sf):
-    rows = features.add_lags(v.racks(spark, sf), v.RACKS, ["t_low"], [3])
+    rows = features.add_lags(v.racks(spark, sf), v.RACKS, v.TARGETS, [3])
     numbered = positions(rows, v.RACKS_RAW).withColumnRenamed(POS, "step").drop(TOTAL)
-    return numbered.select(
-        F.col("rack").alias("scenario_id"), "step", *v.EXOG, "t_low", F.col("t_low_lag3").alias("prev")
-    )
+    lags = [F.col(f"{c}_lag3").alias(c.replace("t_", "p_")) for c in v.TARGETS]
+    return numbered.select(F.col("rack").alias("scenario_id"), "step", *v.EXOG, *v.TARGETS, *lags)
+
+
+def of_targets(rows, value, name, *kept):
+    """Long rows (kept, target, name) of all targets; ``value`` makes the column of one."""
+    cells = [F.struct(F.lit(c).alias("target"), value(c).alias(name)) for c in v.TARGETS]
+    return rows.select(*kept, F.explode(F.array(*cells)).alias("__r")).select(*kept, "__r.*")
 
 
-@query(f"""{RACKS}, {STEPS_SQL}, r AS (SELECT *, t_low AS y_true, coalesce(prev, t_low) AS y_pred FROM steps),
-  z AS (SELECT scenario_id, y_true AS start FROM r WHERE step = 0),
+@query(f"""{RACKS}, {STEPS_SQL}, {LONG_SQL},
+  z AS (SELECT scenario_id, target, y_true AS start FROM r WHERE step = 0),
   h AS (SELECT unnest([10, 30, 60, 90]) AS horizon)
-  SELECT horizon, {rs('avg(abs(y_pred - y_true))')} AS mae, {rs('sqrt(avg((y_pred - y_true) ** 2))')} AS rmse, {rs('avg(abs(y_pred - start))')} AS drift
-  FROM r LEFT JOIN z ON r.scenario_id = z.scenario_id JOIN h ON step < horizon
-  WHERE horizon <= (SELECT max(step) + 1 FROM r) GROUP BY horizon""")
+  SELECT r.target, horizon, {rs('avg(abs(y_pred - y_true))')} AS mae, {rs('sqrt(avg((y_pred - y_true) ** 2))')} AS rmse, {rs('avg(abs(y_pred - start))')} AS drift
+  FROM r LEFT JOIN z ON r.scenario_id = z.scenario_id AND r.target = z.target JOIN h ON step < horizon
+  WHERE horizon <= (SELECT max(step) + 1 FROM r) GROUP BY r.target, horizon""")
 def horizon_metrics(spark, sf):
-    rows = steps(spark, sf).withColumn("target", F.lit("t_low")).withColumn("y_true", F.col("t_low"))
-    rows = rows.withColumn("y_pred", F.coalesce("prev", "t_low"))
-    return rounded(evaluate.horizon_metrics(rows), ["mae", "rmse", "drift"], "horizon")
+    both = lambda c: F.struct(F.col(c).alias("y_true"), F.coalesce(c.replace("t_", "p_"), c).alias("y_pred"))
+    rows = of_targets(steps(spark, sf), both, "y", "scenario_id", "step").select("scenario_id", "step", "target", "y.*")
+    return rounded(evaluate.horizon_metrics(rows, groups=["target"]), ["mae", "rmse", "drift"], "target", "horizon")
+
+
+POOLED_SQL = " UNION ALL ".join(
+    f"""SELECT '{c}' AS target, a.rack, a.t, o.step, f.{c} AS y_true, a.{c} AS y_pred FROM racks a, o
+    JOIN racks f ON f.rack = a.rack AND f.b = a.b + o.step + 1 WHERE f.{c} IS NOT NULL AND a.{c} IS NOT NULL""" for c in v.TARGETS)
 
 
-@query(f"""{RACKS}, o AS (SELECT unnest(range(0, 30)) AS step), r AS (SELECT a.rack, a.t, o.step, f.t_low AS y_true, a.t_low AS y_pred
-    FROM racks a, o JOIN racks f ON f.rack = a.rack AND f.b = a.b + o.step + 1 WHERE f.t_low IS NOT NULL AND a.t_low IS NOT NULL),
-  z AS (SELECT rack, t, y_true AS start FROM r WHERE step = 0), h AS (SELECT unnest([10, 20, 30]) AS horizon)
-  SELECT horizon, {rs('avg(abs(y_pred - y_true))')} AS mae, {rs('sqrt(avg((y_pred - y_true) ** 2))')} AS rmse, {rs('avg(abs(y_pred - start))')} AS drift
-  FROM r LEFT JOIN z ON r.rack = z.rack AND r.t = z.t JOIN h ON step < horizon GROUP BY horizon""")
+@query(f"""{RACKS}, o AS (SELECT unnest(range(0, 30)) AS step), r AS ({POOLED_SQL}),
+  z AS (SELECT target, rack, t, y_true AS start FROM r WHERE step = 0), h AS (SELECT unnest([10, 20, 30]) AS horizon)
+  SELECT r.target, horizon, {rs('avg(abs(y_pred - y_true))')} AS mae, {rs('sqrt(avg((y_pred - y_true) ** 2))')} AS rmse, {rs('avg(abs(y_pred - start))')} AS drift
+  FROM r LEFT JOIN z ON r.rack = z.rack AND r.t = z.t AND r.target = z.target JOIN h ON step < horizon
+  WHERE horizon <= (SELECT max(step) + 1 FROM r) GROUP BY r.target, horizon""")
 def horizon_pooled(spark, sf):
     # every row starts a rollout; the truth is what came after it
-    racks = v.racks(spark, sf)
-    scored = racks.where("t_low IS NOT NULL").select("rack", "ts", F.lit("t_low").alias("target"), F.col("t_low").alias("y_pred"))
-    rows = evaluate.future_truth(rollout.constant_rollout(scored, 30), racks, v.RACKS, ["t_low"])
-    out = evaluate.horizon_metrics(rows, evaluate.default_horizons(30), ["rack", "ts"])
-    return rounded(out, ["mae", "rmse", "drift"], "horizon")
+    rows = evaluate.constant_futures(v.racks(spark, sf), v.RACKS, v.TARGETS, 30)
+    out = evaluate.horizon_table(rows, evaluate.default_horizons(30), ["target"])
+    return rounded(out, ["mae", "rmse", "drift"], "target", "horizon")
 
 
 @query(f"{PRED}, {MODEL_SQL} SELECT coalesce(model.target, '__overall__') AS target, {rs('avg((model.y_pred - pred.y_pred) ** 2)')} AS mse "
@@ -340,11 +350,19 @@ def total_score(spark, sf):
     return rounded(audit.total_score(terms), ["data", "smoothness", "total"], "phase")
 
 
-@query(f"{RACKS} SELECT {T}, {rs('-avg(abs(t_low - 38))')} AS reward, {rs('avg(t_low)')} AS mean_temp, {rs('max(t_low)')} AS max_temp, "
-       f"{rs('min(t_low)')} AS min_temp FROM racks GROUP BY t")
+# Fixed test values: the set point of each target.
+SETPOINTS = {"t_low": 38.0, "t_high": 41.0}
+
+
+@query(f"{RACKS} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS target, {T}, {rs(f'-avg(abs({c} - {x}))')} AS reward, {rs(f'avg({c})')} AS mean_temp, {rs(f'max({c})')} AS max_temp, "
+    f"{rs(f'min({c})')} AS min_temp FROM racks GROUP BY t" for c, x in SETPOINTS.items()))
 def setpoint_kpi(spark, sf):
-    out = audit.setpoint_kpi(v.racks(spark, sf), ["ts"], "t_low", 38.0)
-    return rounded(out, ["reward", "mean_temp", "max_temp", "min_temp"], secs().alias("t"))
+    # one row per reading of a target, so that one aggregation serves both
+    rows = of_targets(v.racks(spark, sf), F.col, "y", "ts")
+    x = F.create_map(*[z for c, at in SETPOINTS.items() for z in (F.lit(c), F.lit(at))])[F.col("target")]
+    out = audit.setpoint_kpi(rows.withColumn("x", x), ["target", "ts"], "y", F.col("x"))
+    return rounded(out, ["reward", "mean_temp", "max_temp", "min_temp"], "target", secs().alias("t"))
 
 
 @query(f"{RACKS} SELECT rack, {T}, {rs('CASE WHEN fan IS NOT NULL THEN least(greatest((fan - 25) * 20, 0), 100) END')} AS fan FROM racks")
@@ -372,53 +390,60 @@ def rc_rollout(spark, sf):
     return rounded(out, ["y_pred"], "scenario_id", "step")
 
 
-CUM_SQL = f"""{RACKS}, {STEPS_SQL}, c AS (SELECT scenario_id, step,
-    1.5 + sum(coalesce((fan - 25) / 10, 0)) OVER (PARTITION BY scenario_id ORDER BY step) AS z FROM steps)"""
+# Fixed test values: start, mean and scale of each target.
+CUM_START = {"t_low": (1.5, 38.0, 2.0), "t_high": (-0.5, 45.0, 3.0)}
+CUM_SQL = f"{RACKS}, {STEPS_SQL}, c AS (" + " UNION ALL ".join(
+    f"""SELECT scenario_id, '{c}' AS target, step, ({z} + sum(coalesce((fan - 25) / 10, 0)) OVER (PARTITION BY scenario_id ORDER BY step)) * {s} + {m} AS y
+    FROM steps""" for c, (z, m, s) in CUM_START.items()) + ")"
 
 
 def cumulative(spark, sf):
     # every step is kept: one without a reading changes nothing
     delta = F.coalesce((F.col("fan") - 25) / 10, F.lit(0.0))
-    rows = steps(spark, sf).select("scenario_id", F.lit("t_low").alias("target"), "step", delta.alias("delta"))
-    start = rows.select("scenario_id", "target").distinct().withColumn("t0", F.lit(1.5))
-    return rollout.cumulative_rollout(rows, start, scaler={"t_low": (38.0, 2.0)}, chunk_rows=16)
+    rows = of_targets(steps(spark, sf), lambda c: delta, "delta", "scenario_id", "step")
+    t0 = F.create_map(*[x for c, (z, _, _) in CUM_START.items() for x in (F.lit(c), F.lit(z))])
+    start = rows.select("scenario_id", "target").distinct().withColumn("t0", t0[F.col("target")])
+    return rollout.cumulative_rollout(rows, start, scaler={c: (m, s) for c, (_, m, s) in CUM_START.items()}, chunk_rows=16)
 
 
-@query(CUM_SQL + f" SELECT scenario_id, 't_low' AS target, step, {rs('z * 2.0 + 38.0')} AS y_pred FROM c")
+@query(CUM_SQL + f" SELECT scenario_id, target, step, {rs('y')} AS y_pred FROM c")
 def cumulative_rollout(spark, sf):
     return rounded(cumulative(spark, sf), ["y_pred"], "scenario_id", "target", "step")
 
 
 def constant(spark, sf):
-    rows = steps(spark, sf).where("step = 0").select("scenario_id", F.lit("t_low").alias("target"), F.col("t_low").alias("y_pred"))
+    rows = of_targets(steps(spark, sf).where("step = 0"), F.col, "y_pred", "scenario_id")
     return rollout.constant_rollout(rows, 90).withColumn("step", F.col("step").cast("long"))
 
 
-CONST_SQL = "SELECT scenario_id, t_low, unnest(range(0, 90)) AS step FROM steps WHERE step = 0"
+CONST_SQL = " UNION ALL ".join(f"SELECT scenario_id, '{c}' AS target, {c} AS y, unnest(range(0, 90)) AS step FROM steps WHERE step = 0" for c in v.TARGETS)
 
 
-@query(f"{RACKS}, {STEPS_SQL} SELECT scenario_id, 't_low' AS target, step, {rs('t_low')} AS y_pred FROM ({CONST_SQL})")
+@query(f"{RACKS}, {STEPS_SQL} SELECT scenario_id, target, step, {rs('y')} AS y_pred FROM ({CONST_SQL})")
 def constant_rollout(spark, sf):
     return rounded(constant(spark, sf), ["y_pred"], "scenario_id", "target", "step")
 
 
-@query(CUM_SQL + f", k AS ({CONST_SQL}) SELECT coalesce(c.scenario_id, k.scenario_id) AS scenario_id, coalesce(c.step, k.step) AS step, "
-       f"{rs('c.z * 2.0 + 38.0')} AS net, {rs('k.t_low')} AS forest FROM c FULL JOIN k ON c.scenario_id = k.scenario_id AND c.step = k.step")
+@query(CUM_SQL + f", k AS ({CONST_SQL}) SELECT coalesce(c.scenario_id, k.scenario_id) AS scenario_id, coalesce(c.target, k.target) AS target, "
+       f"coalesce(c.step, k.step) AS step, {rs('c.y')} AS net, {rs('k.y')} AS forest "
+       "FROM c FULL JOIN k ON c.scenario_id = k.scenario_id AND c.step = k.step AND c.target = k.target")
 def rollout_compare(spark, sf):
     out = rollout.compare_rollouts({"net": cumulative(spark, sf), "forest": constant(spark, sf)}, ["scenario_id"])
-    return rounded(out, ["net", "forest"], "scenario_id", "step")
+    return rounded(out, ["net", "forest"], "scenario_id", "target", "step")
+
+
+THERMAL_SQL = ", ".join(f"""w_{c} AS (SELECT rack, {c}, supply, fan, load, {v.lead_sql(c, 1, 'rack')} - {c} AS d FROM racks),
+  l_{c} AS (SELECT supply - {c} AS x0, fan AS x1, load AS x2, d AS y FROM w_{c} WHERE {c} IS NOT NULL AND supply IS NOT NULL AND fan IS NOT NULL AND load IS NOT NULL AND d IS NOT NULL),
+  s_{c} AS (SELECT sum(x0*x0) a, sum(x0*x1) b, sum(x0*x2) c, sum(x1*x1) d, sum(x1*x2) e, sum(x2*x2) f, sum(x0*y) p, sum(x1*y) q, sum(x2*y) r FROM l_{c}),
+  t_{c} AS (SELECT *, a*(d*f - e*e) - b*(b*f - e*c) + c*(b*e - d*c) AS det FROM s_{c})""" for c in v.TARGETS)
 
 
-@query(f"""{RACKS}, w AS (SELECT rack, t_low, supply, fan, load, {v.lead_sql('t_low', 1, 'rack')} - t_low AS d FROM racks),
-  l AS (SELECT supply - t_low AS x0, fan AS x1, load AS x2, d AS y FROM w WHERE t_low IS NOT NULL AND supply IS NOT NULL AND fan IS NOT NULL AND load IS NOT NULL AND d IS NOT NULL),
-  s AS (SELECT sum(x0*x0) a, sum(x0*x1) b, sum(x0*x2) c, sum(x1*x1) d, sum(x1*x2) e, sum(x2*x2) f, sum(x0*y) p, sum(x1*y) q, sum(x2*y) r FROM l),
-  t AS (SELECT *, a*(d*f - e*e) - b*(b*f - e*c) + c*(b*e - d*c) AS det FROM s)
-  SELECT 't_low' AS target, {rs('(p*(d*f - e*e) - b*(q*f - e*r) + c*(q*e - d*r)) / det')} AS h_over_C,
+@query(f"{RACKS}, {THERMAL_SQL} " + " UNION ALL ".join(f"""SELECT '{c}' AS target, {rs('(p*(d*f - e*e) - b*(q*f - e*r) + c*(q*e - d*r)) / det')} AS h_over_C,
     {rs('(a*(q*f - e*r) - p*(b*f - e*c) + c*(b*r - q*c)) / det')} AS beta_over_C,
-    {rs('(a*(d*r - q*e) - b*(b*r - q*c) + p*(b*e - d*c)) / det')} AS gamma_over_C FROM t""")
+    {rs('(a*(d*r - q*e) - b*(b*r - q*c) + p*(b*e - d*c)) / det')} AS gamma_over_C FROM t_{c}""" for c in v.TARGETS))
 def thermal_ratios(spark, sf):
-    rows = features.add_labels(v.racks(spark, sf), v.RACKS, ["t_low"], 1)
-    rows = rows.select(F.lit("t_low").alias("target"), (F.col("y_t_low") - F.col("t_low")).alias("change"),
-                       (F.col("t_low") - F.col("supply")).alias("gap"), "fan", "load")
+    rows = features.add_labels(v.racks(spark, sf), v.RACKS, v.TARGETS, 1)
+    cells = [F.struct(F.lit(c).alias("target"), (F.col(f"y_{c}") - F.col(c)).alias("change"), (F.col(c) - F.col("supply")).alias("gap")) for c in v.TARGETS]
+    rows = rows.select("fan", "load", F.explode(F.array(*cells)).alias("__r")).select("__r.*", "fan", "load")
     out = audit.fit_thermal_ratios(rows, "change", "gap", "fan", "load")
     return rounded(out, ["h_over_C", "beta_over_C", "gamma_over_C"], "target")

@@ -31,11 +31,12 @@ def query(sql: str | None = None):
     return add
 
 
-# --- probes: one column per height of the first cabin ----------------------
+# --- probes: one column per cabin and height --------------------------------
 
 HOURLY = SeriesSpec((), "ts", step_s=3600)
 HEIGHTS = range(20, 44, 2)
-PROBES = [f"temp_cabin1_back_{u}u_c" for u in HEIGHTS]
+PLACES = [(cabin, u) for cabin in (1, 2, 3) for u in HEIGHTS]
+PROBES = [f"temp_cabin{cabin}_back_{u}u_c" for cabin, u in PLACES]
 
 
 def probe_table(spark, sf):
@@ -46,33 +47,34 @@ def probe_table(spark, sf):
     return resample_channels(rows.where(F.col("channel").isin(*PROBES)), HOURLY, {c: c for c in PROBES}, "channel", "value")
 
 
-PROBE_ROWS_SQL = """probe_rows AS (SELECT ts, value, 20 + 2 * (user_id % 12) AS u FROM events
-  WHERE user_id <> 0 AND (user_id // 12) % 3 = 0)"""
+PROBE_ROWS_SQL = """probe_rows AS (SELECT ts, value, 'cabin' || (1 + (user_id // 12) % 3) AS cabin, 20 + 2 * (user_id % 12) AS u FROM events
+  WHERE user_id <> 0)"""
 PROBE_SQL = PROBE_ROWS_SQL + """, probe_span AS (SELECT unnest(range(min(epoch_us(ts)) // 3600000000, max(epoch_us(ts)) // 3600000000 + 1)) AS b FROM probe_rows),
-probe_mean AS (SELECT epoch_us(ts) // 3600000000 AS b, u, avg(value) AS c FROM probe_rows GROUP BY ALL)"""
+probe_mean AS (SELECT epoch_us(ts) // 3600000000 AS b, cabin, u, avg(value) AS c FROM probe_rows GROUP BY ALL)"""
 
 
-@query(f"WITH {PROBE_SQL}, u AS (SELECT unnest(range(20, 44, 2)) AS U) SELECT s.b * 3600 AS t, u.U::INT AS U, {rs('m.c')} AS temperature_c "
-       "FROM probe_span s CROSS JOIN u LEFT JOIN probe_mean m ON m.b = s.b AND m.u = u.U")
+@query(f"WITH {PROBE_SQL}, u AS (SELECT unnest(range(20, 44, 2)) AS U), k AS (SELECT 'cabin' || unnest(range(1, 4)) AS cabin) "
+       f"SELECT s.b * 3600 AS t, k.cabin, u.U::INT AS U, {rs('m.c')} AS temperature_c "
+       "FROM probe_span s CROSS JOIN u CROSS JOIN k LEFT JOIN probe_mean m ON m.b = s.b AND m.u = u.U AND m.cabin = k.cabin")
 def profile_matrix(spark, sf):
-    out = profile.profile_matrix(probe_table(spark, sf), "cabin1")
-    return rounded(out, ["temperature_c"], secs().alias("t"), "U")
+    out = profile.profile_matrix(probe_table(spark, sf), with_cabin=True)
+    return rounded(out, ["temperature_c"], secs().alias("t"), "cabin", "U")
 
 
-@query(f"WITH {PROBE_SQL} SELECT u::INT AS U, {rs('avg(c)')} AS temperature_c FROM probe_mean "
-       "WHERE b * 3600 BETWEEN epoch(TIMESTAMP '2024-01-10') AND epoch(TIMESTAMP '2024-01-20') GROUP BY u")
+@query(f"WITH {PROBE_SQL} SELECT cabin, u::INT AS U, {rs('avg(c)')} AS temperature_c FROM probe_mean "
+       "WHERE b * 3600 BETWEEN epoch(TIMESTAMP '2024-01-10') AND epoch(TIMESTAMP '2024-01-20') GROUP BY cabin, u")
 def profile_avg(spark, sf):
-    out = profile.profile_mean(probe_table(spark, sf), "2024-01-10 00:00:00", "2024-01-20 00:00:00", "CABIN1")
-    return rounded(out, ["temperature_c"], "U")
+    out = profile.profile_mean(probe_table(spark, sf), "2024-01-10 00:00:00", "2024-01-20 00:00:00", with_cabin=True)
+    return rounded(out, ["temperature_c"], "cabin", "U")
 
 
-@query(f"""WITH {PROBE_SQL}, rq AS (SELECT event_id, epoch_us(ts) AS x FROM events WHERE event_type = 'error'),
+@query(f"""WITH {PROBE_SQL}, rq AS (SELECT event_id, epoch_us(ts) AS x FROM events),
   n AS (SELECT event_id, least(greatest(CAST(floor((x + 1800000000) / 3600000000.0) AS BIGINT), (SELECT min(b) FROM probe_span)), (SELECT max(b) FROM probe_span)) AS b FROM rq)
-  SELECT event_id, n.b * 3600 AS t, u::INT AS U, {rs('c')} AS temperature_c FROM n JOIN probe_mean m ON m.b = n.b""")
+  SELECT event_id, n.b * 3600 AS t, cabin, u::INT AS U, {rs('c')} AS temperature_c FROM n JOIN probe_mean m ON m.b = n.b""")
 def profile_at(spark, sf):
-    asked = v.events(spark, sf).where("event_type = 'error'").select("event_id", "ts")
-    out = profile.profile_at(probe_table(spark, sf), asked, "cabin1", bucket_s=6 * 3600)
-    return rounded(out, ["temperature_c"], "event_id", secs("matched_ts").alias("t"), "U")
+    asked = v.events(spark, sf).select("event_id", "ts")
+    out = profile.profile_at(probe_table(spark, sf), asked, bucket_s=6 * 3600, with_cabin=True)
+    return rounded(out, ["temperature_c"], "event_id", secs("matched_ts").alias("t"), "cabin", "U")
 
 
 # Measured points: the mean price of each line number; computed profile: the mean
@@ -100,11 +102,13 @@ def design_difference(spark, sf):
 
 # --- the two logs to one merged table ---------------------------------------
 
-COOLERS = ["airflow_lps", "supply_air_c", "cool_demand_kwh"]
-COOLER_EVENTS = {"click": "airflow_lps", "error": "supply_air_c", "purchase": "cool_demand_kwh"}
+# Events of type view are the airflow in a second unit, which the feed drops (B8).
+COOLER_EVENTS = {"click": "airflow_lps", "error": "supply_air_c", "purchase": "cool_demand_kwh", "signup": "door__per__open_state"}
+COOLERS = list(COOLER_EVENTS.values())
+FEATURES = COOLERS[:3]  # a door is not among the features of the merged table
 HOUR_US = 3_600_000_000
 COOL_SQL = f"""WITH cool_rows AS (SELECT ts, event_type, CAST(CAST(value AS DECIMAL(12,2)) AS DOUBLE) AS value FROM events
-  WHERE event_type IN ('click', 'error', 'purchase')),
+  WHERE event_type <> 'view'),
 cool_all AS (SELECT unnest(range(min(epoch_us(ts)) // {HOUR_US}, max(epoch_us(ts)) // {HOUR_US} + 1)) AS b FROM cool_rows),
 cool_mean AS (SELECT epoch_us(ts) // {HOUR_US} AS b, {", ".join(f"avg(value) FILTER (event_type = '{e}') AS {c}" for e, c in COOLER_EVENTS.items())}
   FROM cool_rows GROUP BY 1),
@@ -116,7 +120,7 @@ def cooler_lines(spark, sf):
     value = F.col("value").cast("decimal(12,2)").cast("string")
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     line = F.concat(F.lit("{'"), stamp, F.lit("': [{'"), cooler_key(), F.lit("': "), value, F.lit("}]}"))
-    return v.events(spark, sf).where(F.col("event_type").isin("click", "view", "error", "purchase")).select(line.alias("line"))
+    return v.events(spark, sf).select(line.alias("line"))
 
 
 @query(f"{COOL_SQL} SELECT CAST(t AS BIGINT) AS t, {v.r6_list(COOLERS)} FROM cool")
@@ -129,14 +133,14 @@ INGEST_SQL = f"""{COOL_SQL},
 pr AS (SELECT date_trunc('second', ts) AS ts, user_id, (user_id // 12) % 3 AS cabin, 20 + 2 * (user_id % 12) AS u,
   nullif(CAST(CAST(value AS DECIMAL(12,2)) AS DOUBLE), 0) AS value FROM events WHERE event_id % 11 <> 0 AND event_id % 13 <> 0),
 pr_all AS (SELECT unnest(range(min(epoch_us(ts)) // 3600000000, max(epoch_us(ts)) // 3600000000 + 1)) AS b FROM pr WHERE user_id <> 0),
-pr_mean AS (SELECT epoch_us(ts) // 3600000000 AS b, {", ".join(f"avg(value) FILTER (cabin = 0 AND u = {u}) AS {c}" for u, c in zip(HEIGHTS, PROBES))} FROM pr WHERE user_id <> 0 GROUP BY 1),
+pr_mean AS (SELECT epoch_us(ts) // 3600000000 AS b, {", ".join(f"avg(value) FILTER (cabin = {cabin - 1} AND u = {u}) AS {c}" for (cabin, u), c in zip(PLACES, PROBES))} FROM pr WHERE user_id <> 0 GROUP BY 1),
 pr_grid AS (SELECT 0 AS one, s.b, s.b * 3600 AS t, {", ".join(PROBES)} FROM pr_all s LEFT JOIN pr_mean m ON s.b = m.b),
 {v.ffill_sql("probes", "pr_grid", "one", PROBES, 1)},
-mg AS (SELECT 0 AS one, cool.b, cool.t, {", ".join([*COOLERS, *PROBES])} FROM cool JOIN probes ON cool.b = probes.b
+mg AS (SELECT 0 AS one, cool.b, cool.t, {", ".join([*FEATURES, *PROBES])} FROM cool JOIN probes ON cool.b = probes.b
   WHERE {" OR ".join(f"{p} IS NOT NULL" for p in PROBES)}),
-ff AS (SELECT t, {", ".join(PROBES)}, {", ".join(f"last_value({c} IGNORE NULLS) OVER (ORDER BY b ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS {c}" for c in COOLERS)} FROM mg),
+ff AS (SELECT t, {", ".join(PROBES)}, {", ".join(f"last_value({c} IGNORE NULLS) OVER (ORDER BY b ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS {c}" for c in FEATURES)} FROM mg),
 st AS (SELECT {", ".join(f"avg({p}) AS {p}_m, stddev_pop({p}) AS {p}_s" for p in PROBES)} FROM ff)
-SELECT CAST(t AS BIGINT) AS t, {v.r6_list(COOLERS)}, {", ".join(f"{rs(p)} AS {p}, {rs(f'({p} - {p}_m) / CASE WHEN {p}_s = 0 THEN 1 ELSE {p}_s END')} AS {p}_z" for p in PROBES)} FROM ff, st"""
+SELECT CAST(t AS BIGINT) AS t, {v.r6_list(FEATURES)}, {", ".join(f"{rs(p)} AS {p}, {rs(f'({p} - {p}_m) / CASE WHEN {p}_s = 0 THEN 1 ELSE {p}_s END')} AS {p}_z" for p in PROBES)} FROM ff, st"""
 
 
 @query(INGEST_SQL)

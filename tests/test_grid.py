@@ -103,3 +103,15 @@ def test_nearest_without_series_rows(spark):
     req = spark.createDataFrame([("z", 1, at(0))], "k string, req int, ts timestamp")
     out = align.nearest_in_time(req, series(spark, [1]), ["v"], 10, ["k"]).collect()
     assert [(r.req, r.v) for r in out] == [(1, None)]
+
+
+def test_many_requests_for_one_time_are_looked_up_once(spark):
+    df = series(spark, [1, 2, 3])
+    asked = spark.range(5000).select(F.lit("a").alias("k"), F.lit(at(12)).cast("timestamp").alias("ts"), F.col("id").alias("req"))
+    more = spark.createDataFrame([("a", None, -1), (None, at(12), -2)], "k string, ts timestamp, req long")
+    got = align.nearest_in_time(asked.unionByName(more), df, ["v"], 10, ["k"])
+    rows = got.groupBy("v", "matched_ts").count().collect()
+    assert sorted((r.v or 0, r["count"]) for r in rows) == [(0, 2), (df.where(f"ts = '{rows[0].matched_ts or rows[1].matched_ts}'").first().v, 5000)]
+    # the window sees one row for them
+    found = align._nearest_values(asked.select("k", F.unix_micros("ts").alias("x")).distinct(), df.withColumn("x", F.unix_micros("ts")), "x", ["v"], 1000, ["k"], 10)
+    assert found.count() == 1

@@ -66,6 +66,30 @@ def test_horizons_beyond_the_data_are_left_out(spark):
     assert got == {10: (4.5, 0.0), 30: (14.5, 0.0)}
 
 
+def test_constant_futures(spark):
+    """Every row's next steps, over chunk edges and gaps, for two targets, against plain loops."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in ("a", "b"):
+        for i in range(60):
+            if rng.random() < 0.85:  # gaps
+                rows.append((k, i, float(rng.integers(0, 9)) if rng.random() < 0.8 else None, float(i)))
+    spec = SeriesSpec(("k",), "ts", step_s=10, chunk_rows=7)
+    df = spark.createDataFrame(rows, "k string, i long, v double, w double").withColumn("ts", F.timestamp_seconds(F.col("i") * 10)).drop("i")
+    got = evaluate.constant_futures(df, spec, ["v", "w"], 5).select("k", F.unix_seconds("ts").alias("t"), "target", "steps", "last").collect()
+    values = {(k, i, c): x for k, i, v, w in rows for c, x in (("v", v), ("w", w)) if x is not None}
+    want = {}
+    for (k, i, c), x in values.items():
+        steps = sorted((s, values[k, i + 1 + s, c], x) for s in range(5) if (k, i + 1 + s, c) in values)
+        want[k, 10 * i, c] = (steps, steps[-1][0] if steps else None)
+    assert {(r.k, r.t, r.target): (sorted(map(tuple, r.steps)), r["last"]) for r in got} == want
+    table = {r.horizon: (r.mae, r.drift) for r in evaluate.horizon_table(evaluate.constant_futures(df, spec, ["v", "w"], 5), (2, 5)).collect()}
+    for h in (2, 5):
+        early = [(abs(p - y), [y0 for s0, y0, _ in steps if s0 == 0], p) for steps, _ in want.values() for s, y, p in steps if s < h]
+        drift = [abs(p - first[0]) for _, first, p in early if first]
+        assert table[h] == (pytest.approx(np.mean([e for e, _, _ in early])), pytest.approx(np.mean(drift)))
+
+
 def scenario(spark, n, power, fan, ambient=25.0, sid=0):
     return spark.range(n).select(F.lit(sid).alias("scenario_id"), F.col("id").alias("step"), F.lit(power).alias("power"), F.lit(fan).alias("fan"), F.lit(ambient).alias("ambient"))
 
