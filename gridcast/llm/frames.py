@@ -111,16 +111,20 @@ def first_of_each(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return again, first
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, root) for every node of the undirected edges (u, v); root is the smallest node.
 
+    After a given number of ``rounds`` it stops: nodes with equal roots are connected then,
+    but a component may still have several roots.
+
     Alternating large-star and small-star rounds; each round is written to the
     shared folder, and only a count and a checksum come to the driver. The number
     of rounds is logarithmic in the size of the largest component.
     """
     bigger, smaller = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     now, mark = _stored(edges.where("u <> v").select(bigger, smaller).distinct())
-    while mark[0]:
+    while mark[0] and rounds != 0:
+        rounds = None if rounds is None else rounds - 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -130,6 +134,10 @@ def components(edges: DataFrame) -> DataFrame:
         now, mark = _stored(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         if mark == last:
             break
+    if rounds == 0:  # a node may still have several smaller ones, and a root one of its own
+        star = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+        tops = star.select(F.col("root").alias("node"), "root").distinct().join(star.select("node"), "node", "left_anti")
+        return star.unionByName(tops)
     star = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return star.unionByName(star.select(F.col("root").alias("node"), "root").distinct())
 

@@ -427,9 +427,9 @@ def _links(rows: DataFrame, listed: DataFrame, classes: DataFrame, order, size:
     members = materialize(classes.join(wanted, group, "left_semi").withColumn("s", F.struct("s0", "s1")))
     sets = _class_sets(members, listed, rows, order, size)
     links = None
-    # twice: neighbours among the components that a group or a token still has
+    # twice: neighbours among the components that a group or a token still has; here two rounds of them will do
     for seed in (1, 2):
-        held = materialize(_with_roots(members.select("s0", "s1", "n", *group), components(links) if links else None))
+        held = materialize(_with_roots(members.select("s0", "s1", "n", *group), components(links, rounds=2) if links else None))
         chain = _plausible(_neighbours(held, shared, percent, seed), sets, percent)
         found = materialize(_verify_pairs(chain, sets, percent))
         links = found if links is None else links.unionByName(found)
