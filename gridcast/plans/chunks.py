@@ -14,8 +14,8 @@ rows. Everything here cuts a series into chunks of bounded length instead:
 * ``chunk_edges``   nearest valid value before / after a chunk, at any distance
 * ``running_sum``   chunk totals, prefix sum over totals, sum inside the chunk
 
-Windows over the per-chunk summaries do run per entity; they see one row per
-chunk (time span / chunk span), not one per reading.
+Sums over the per-chunk summaries have a second level (``prefix_sums``). Other windows over
+them do run per entity; they see one row per chunk (time span / chunk span), not one per reading.
 """
 
 from __future__ import annotations
@@ -158,15 +158,40 @@ def bucketed(df: DataFrame, spec: SeriesSpec) -> tuple[DataFrame, DataFrame]:
     return buckets.assign(timed).drop("__at"), buckets.counts
 
 
-def _offsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    before = by(keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(
+#: Summaries (buckets, chunks) of one entity whose sums are formed together.
+BLOCK = 4096
+
+
+def prefix_sums(
+    rows: DataFrame, keys: Sequence[str], at: str, span: int, sums: Mapping[str, str], totals: Mapping[str, str] | None = None
+) -> DataFrame:
+    """For each name in ``sums`` the sum of a column over the earlier rows of the entity, in two levels.
+
+    ``at`` orders the rows; values of one ``span`` make a block. A window sees the rows of a
+    block, and another one the sums of the blocks, so that not even all summaries of an entity, or
+    of a table without keys, meet in one task. ``totals`` are sums over all rows of the entity.
+    """
+    cols = sorted({*sums.values(), *(totals or {}).values()})
+    rows = rows.withColumn("__block", floor_div(F.col(at), span))
+    blocks = rows.groupBy(*keys, "__block").agg(*[F.sum(c).alias(f"__b_{c}") for c in cols])
+    earlier = Window.unboundedPreceding, -1
+    before = by(keys).orderBy("__block").rowsBetween(*earlier)
+    zero = F.lit(0)
+    blocks = blocks.select(
         *keys,
-        BUCKET,
-        "__n",
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(OFFSET),
-        F.sum("__n").over(by(keys)).alias(TOTAL),
+        "__block",
+        *[F.coalesce(F.sum(f"__b_{c}").over(before), zero).alias(f"__p_{c}") for c in sorted({*sums.values()})],
+        *[F.sum(f"__b_{c}").over(by(keys)).alias(n) for n, c in (totals or {}).items()],
+    )
+    inside = by([*keys, "__block"]).orderBy(at).rowsBetween(*earlier)
+    out = rows.join(blocks, [*keys, "__block"]).withColumns(
+        {n: F.col(f"__p_{c}") + F.coalesce(F.sum(c).over(inside), zero) for n, c in sums.items()}
     )
+    return out.drop("__block", *[f"__p_{c}" for c in {*sums.values()}])
+
+
+def _offsets(counts: DataFrame, spec: SeriesSpec) -> DataFrame:
+    return prefix_sums(counts, spec.keys, BUCKET, BLOCK * spec.bucket_us, {OFFSET: "__n"}, {TOTAL: "__n"})
 
 
 def positions(
@@ -180,7 +205,7 @@ def positions(
     """
     keys = spec.keys
     rows, counts = bucketed(df, spec)
-    offsets = _offsets(counts, keys).drop("__n")
+    offsets = _offsets(counts, spec).drop("__n")
     if first is not None:
         offsets = offsets.where(F.col(OFFSET) < first)
     inside = by([*keys, BUCKET]).orderBy(spec.ts, *tie)
@@ -200,7 +225,7 @@ def rows_at_rank(
     """Rows at the given 0-based ranks (expressions over ``__total``) per entity."""
     keys = spec.keys
     rows, counts = bucketed(df, spec)
-    wanted = _offsets(counts, keys).withColumn("__ranks", F.array(*[r.cast("long") for r in ranks]))
+    wanted = _offsets(counts, spec).withColumn("__ranks", F.array(*[r.cast("long") for r in ranks]))
     holding = wanted.where(
         F.exists("__ranks", lambda r: (r >= F.col(OFFSET)) & (r < F.col(OFFSET) + F.col("__n")))
     ).drop("__n")
@@ -293,10 +318,7 @@ def running_sum(
     laid = df if POS in df.columns else with_pos(df, spec)
     laid = laid.withColumn(CHUNK, floor_div(F.col(POS), spec.chunk_rows))
     totals = laid.groupBy(*keys, CHUNK).agg(*[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
-    before = by(keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
-        *keys, CHUNK, *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__c_{n}") for n in sums]
-    )
+    carry = prefix_sums(totals, keys, CHUNK, BLOCK, {f"__c_{n}": f"__t_{n}" for n in sums}).select(*keys, CHUNK, *[f"__c_{n}" for n in sums])
     inside = by([*keys, CHUNK]).orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
     out = laid.join(carry, [*keys, CHUNK]).withColumns(
         {n: F.sum(c).over(inside) + F.col(f"__c_{n}") for n, c in sums.items()}

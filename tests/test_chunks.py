@@ -1,12 +1,13 @@
 """Chunked work equals unchunked work, also with a hot key, and stays in bounds."""
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridcast import SeriesSpec
 from gridcast.operators import align, evaluate, features, grid, split
-from gridcast.plans.chunks import BUCKET, CHUNK, POS, bucketed, join_facts, positions, running_sum, with_halo, with_pos
+from gridcast.plans.chunks import BUCKET, CHUNK, POS, bucketed, join_facts, positions, prefix_sums, running_sum, with_halo, with_pos
 from tests.data import series, skewed, values
 
 GRID = SeriesSpec(("k",), "ts", step_s=10, gap_free=True, chunk_rows=16)
@@ -181,3 +182,18 @@ def test_the_filter_and_the_columns_reach_the_scan(spark):
     p = df._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in p.splitlines() if "FileScan" in line]
     assert scans and all("props" not in x and "event_type" not in x for x in scans)
+
+
+@pytest.mark.parametrize("span", [1, 3, 1000])
+@pytest.mark.parametrize("keys", [(), ("k",)])
+def test_prefix_sums(spark, keys, span):
+    rng = np.random.default_rng(6)
+    rows = [(k, int(i), int(rng.integers(0, 9)) if rng.random() < 0.9 else None) for k in "ab" for i in rng.choice(np.arange(-40, 60), 30, replace=False)]
+    if not keys:
+        rows = [("x", i, x) for _, i, x in {i: (k, i, x) for k, i, x in rows}.values()]
+    df = spark.createDataFrame(rows, "k string, i long, x long").repartition(4)
+    got = prefix_sums(df, list(keys), "i", span, {"before": "x"}, {"all": "x"}).collect()
+    for r in got:
+        same = [(i, x or 0) for k, i, x in rows if not keys or k == r.k]
+        assert (r.before, r["all"]) == (sum(x for i, x in same if i < r.i), sum(x for _, x in same))
+    assert len(got) == len(rows)
