@@ -23,7 +23,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    A null text is judged as an empty one; equal rows stay or go together; without labels of both
+    kinds among the documents all stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score_quality(docs.select(*COLUMNS), labels)
     return scored.where("quality_keep").select(*COLUMNS)
@@ -43,21 +47,30 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go.
+
+    A null or blank text holds none and stays; repeated rows stay or go together.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = find_contamination(docs.select(*COLUMNS), benchmark)
     return found.where(~F.col("contaminated")).select(*COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind."""
+    """Personal data is replaced by its kind, and the number of characters counted anew.
+
+    Every row stays; a null text stays null, with a null number.
+    """
     masked = detect(docs.select(*COLUMNS))
     text = F.col("pii_masked")
     return masked.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, cut and packed into training sequences."""
+    """All documents, cut and packed into training sequences.
+
+    A null or blank text is its end token alone; repeated rows are packed each.
+    """
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
