@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from gridcast.llm import pii
@@ -21,8 +22,8 @@ def ids(df):
 
 def test_near_duplicate(spark, given_docs):
     rows = given_docs.orderBy("doc_id").collect()
-    sets = [data.shingles(r["text"], 4) for r in rows]
-    roots = data.joined(len(rows), data.jaccard_links(sets, 85))
+    sets = [data.shingles(r["text"], 5) for r in rows]
+    roots = data.joined(len(rows), data.jaccard_links(sets, 80))
     got = cp.near_duplicate(spark, given_docs, SF)
     assert tuple(got.columns) == cp.COLUMNS
     assert ids(got) == [rows[i]["doc_id"] for i in range(len(rows)) if roots[i] == i]
@@ -31,8 +32,8 @@ def test_near_duplicate(spark, given_docs):
 def test_near_duplicate_awkward(spark):
     got = cp.near_duplicate(spark, spark.createDataFrame(data.awkward(), data.SCHEMA), SF).collect()
     rows = data.awkward()
-    sets = [data.shingles(r[1], 4) for r in rows]
-    groups = len(set(data.joined(len(rows), data.jaccard_links(sets, 85))))
+    sets = [data.shingles(r[1], 5) for r in rows]
+    groups = len(set(data.joined(len(rows), data.jaccard_links(sets, 80))))
     assert len(got) == groups
     assert sum(not (r["text"] or "").strip() for r in got) == sum(not s for s in sets)
 
@@ -69,6 +70,57 @@ def test_pii(spark, given_docs):
         assert r["text"] == pii.mask(old, pii.find_spans(old)) and r["n_chars"] == len(r["text"])
 
 
+def awkward(spark):
+    """Nulls, blanks, repeated rows, clashing columns; and one row with personal data, twice."""
+    return spark.createDataFrame(data.awkward() + data.rows(["mail a.b@c.de now"] * 2, 900), data.SCHEMA)
+
+
+def rows_of(df):
+    return sorted(map(repr, df.collect()))
+
+
+def test_quality_awkward(spark):
+    """The labels are for other ids, so nothing is known and all rows stay; empty tables stay empty."""
+    docs = awkward(spark).withColumn("doc_id", -F.col("doc_id"))
+    got = cp.quality(spark, docs, SF)
+    assert tuple(got.columns) == cp.COLUMNS and rows_of(got) == rows_of(docs.select(*cp.COLUMNS))
+    assert cp.quality(spark, docs.limit(0), SF).count() == 0
+
+
+def test_decontamination_awkward(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    hit = spark.createDataFrame(data.rows([f"x {item.upper()}", item, item], 700), data.SCHEMA)
+    got = cp.decontamination(spark, awkward(spark).unionByName(hit), SF)
+    assert tuple(got.columns) == cp.COLUMNS and rows_of(got) == rows_of(awkward(spark).select(*cp.COLUMNS))
+    assert cp.decontamination(spark, hit.limit(0), SF).count() == 0
+
+
+def test_pii_awkward(spark):
+    docs = awkward(spark)
+    got = cp.pii(spark, docs, SF)
+    plain = {r["doc_id"]: r["text"] for r in got.where("doc_id >= 900").collect()}
+    assert plain == {900: "mail [email] now", 901: "mail [email] now"}
+    same = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.where("doc_id < 900 OR doc_id IS NULL").collect()]
+    kept = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in got.where("doc_id < 900 OR doc_id IS NULL").collect()]
+    assert sorted(map(repr, kept)) == sorted(map(repr, same)) and tuple(got.columns) == cp.COLUMNS
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got.collect())
+    assert cp.pii(spark, docs.limit(0), SF).count() == 0
+
+
+def test_packing_awkward(spark):
+    docs = awkward(spark)
+    got = cp.packing(spark, docs, SF).collect()
+    assert len({r["doc_id"] for r in got}) == docs.select("doc_id").distinct().count()
+    assert sum(r["start"] == 0 for r in got) == docs.count()
+    filled = {}
+    for r in got:
+        filled.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for held in filled.values():
+        held.sort()
+        assert held[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(held, held[1:])) and sum(held[-1]) <= 2048
+    assert cp.packing(spark, docs.limit(0), SF).count() == 0
+
+
 def test_quality(spark, given_docs):
     got = cp.quality(spark, given_docs, SF)
     kept = set(ids(got))
