@@ -39,7 +39,7 @@ def hash_share(hashes: Column, wanted: int, of: int) -> Column:
 
 
 #: Bytes of rows that cross to Python at once, in sessions that keep Spark's own setting of 64 MB.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -205,7 +205,13 @@ def key_filter(keys: DataFrame) -> np.ndarray:
     bits = np.zeros((1 << FILTER_BITS) // 32, np.uint32)
     rows = words.toArrow()
     bits[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint32)
-    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
+    return bits.view(np.uint8)
+
+
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash may be in a column of the filter."""
+    at = hashes >> np.uint64(64 - FILTER_BITS)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def likely_rows(df: DataFrame, keys: DataFrame, names: tuple[str, str]) -> DataFrame:
@@ -213,7 +219,7 @@ def likely_rows(df: DataFrame, keys: DataFrame, names: tuple[str, str]) -> DataF
     held = df.sparkSession.sparkContext.broadcast(key_filter(keys))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        places = [batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - FILTER_BITS) for k in names]
-        return batch.filter(pa.array(held.value[places[0]] & held.value[places[1]]))
+        hashes = [batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in names]
+        return batch.filter(pa.array(passes(held.value, hashes[0]) & passes(held.value, hashes[1])))
 
     return arrow_pass(df, step, df.schema)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridcast.llm import words as W
-from gridcast.llm.frames import FILTER_BITS, KEY, arrow_pass, components, first_of_each, give_back, key_filter, keyed, run_pass, small_batches
+from gridcast.llm.frames import KEY, arrow_pass, components, first_of_each, give_back, key_filter, keyed, passes, run_pass, small_batches
 from gridcast.plans.storage import materialize
 
 ORDER_BITS = 18
@@ -165,7 +165,7 @@ def _stored_sets(size: int, order, wanted):
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         places = [batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in KEY]
-        some = wanted.value[places[0] >> np.uint64(64 - FILTER_BITS)] & wanted.value[places[1] >> np.uint64(64 - FILTER_BITS)]
+        some = passes(wanted.value, places[0]) & passes(wanted.value, places[1])
         some &= first_of_each(W.mix(places[0] ^ W.mix(places[1])))[1]
         batch = batch.filter(pa.array(some))
         bins, tokens = [], []

@@ -27,6 +27,8 @@ from gridcast.llm.frames import give_back, small_batches
 from gridcast.llm.tokens import encoder
 from gridcast.plans.storage import materialize
 
+#: Pieces a worker remembers: fewer than it could, as other stages of a pipeline leave less room.
+REMEMBERED = 50_000
 #: Rows of one (length, bucket) group when pieces are numbered.
 BUCKET_ROWS = 200_000
 #: A plan of more ranges is joined by a shuffle.
@@ -40,7 +42,7 @@ def pieces(
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, REMEMBERED).encode
         for batch in batches:
             done = 0
             for found, splits in encode(batch.column("text")):

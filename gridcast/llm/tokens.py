@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 from gridcast.llm import words as W
 from gridcast.llm.intern import intern, padded
 
-#: Pieces remembered by a Python worker: at most two generations of this many (about 200 bytes each).
+#: Pieces remembered by a Python worker: two generations of this many (about 200 bytes each), unless asked for fewer.
 REMEMBERED = 150_000
 #: Longer pieces are not remembered.
 LONGEST = 64
@@ -91,7 +91,8 @@ def pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 class Encoder:
     """Ids of texts by a tokenizer file, without special tokens of its own."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.by_pieces = cuts_exactly(json.load(f))
@@ -136,7 +137,7 @@ class Encoder:
                 found[i] = value = older.get(key) or self._ask(key)
                 if len(key) <= LONGEST:
                     recent[key] = value
-        if len(recent) > REMEMBERED:
+        if len(recent) > self.remembered:
             self.recent, self.older = {}, recent
         return found
 
@@ -151,6 +152,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """The encoder of this Python worker."""
-    return Encoder(path)
+    return Encoder(path, remembered)

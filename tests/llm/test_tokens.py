@@ -137,9 +137,8 @@ def test_encoder(texts):
     assert [ids[a:b].tolist() for a, b in zip(splits, splits[1:])] == want
 
 
-def test_encoder_forgets_and_falls_back(monkeypatch):
-    monkeypatch.setattr(tokens, "REMEMBERED", 5)
-    enc = tokens.Encoder(TOKENIZER)
+def test_encoder_forgets_and_falls_back():
+    enc = tokens.Encoder(TOKENIZER, 5)
     texts = [data.prose(300, 1), "", data.prose(300, 2), data.prose(300, 1)]
     want = [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
     for _ in range(3):
