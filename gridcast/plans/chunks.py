@@ -191,7 +191,7 @@ def prefix_sums(
 
 
 def _offsets(counts: DataFrame, spec: SeriesSpec) -> DataFrame:
-    return prefix_sums(counts, spec.keys, BUCKET, BLOCK * spec.bucket_us, {OFFSET: "__n"}, {TOTAL: "__n"})
+    return prefix_sums(counts, spec.keys, BUCKET, min(BLOCK * spec.bucket_us, 1 << 62), {OFFSET: "__n"}, {TOTAL: "__n"})
 
 
 def positions(
