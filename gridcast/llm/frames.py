@@ -212,14 +212,3 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether each hash may be in a column of the filter."""
     at = hashes >> np.uint64(64 - FILTER_BITS)
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-def likely_rows(df: DataFrame, keys: DataFrame, names: tuple[str, str]) -> DataFrame:
-    """Rows of ``df`` whose two key columns may be among the (two-column) ``keys``."""
-    held = df.sparkSession.sparkContext.broadcast(key_filter(keys))
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes = [batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in names]
-        return batch.filter(pa.array(passes(held.value, hashes[0]) & passes(held.value, hashes[1])))
-
-    return arrow_pass(df, step, df.schema)
