@@ -306,15 +306,14 @@ def split_counts(spark, sf):
     return out.select("split", "n", *[F.col(c).cast("long").alias(c) for c in ("n_features", "n_targets", "k_ahead")])
 
 
-@query(K_AHEAD_CTE + f" SELECT rack, t, {len(XY)}::BIGINT AS width, floor((CAST({XY[0]} AS FLOAT)) * 1000.0::DOUBLE + 0.5001) / 1000 AS x0, "
-       f"floor(CAST({YS[1]} AS FLOAT) * 1000.0::DOUBLE + 0.5001) / 1000 AS y1 FROM ds")
+@query(K_AHEAD_CTE + f" SELECT rack, t, {len(XY)}::BIGINT AS width, unnest(range(0, {len(XY) + len(YS)})) AS place, unnest(["
+       + ", ".join(f"floor(CAST({c} AS FLOAT) * 1000.0::DOUBLE + 0.5001) / 1000" for c in [*XY, *YS]) + "]) AS value FROM ds")
 def feature_arrays(spark, sf):
+    """Every cell of both arrays: first the features, then the labels."""
     out = dataset.feature_arrays(k_ahead(spark, sf))
-    near = lambda c: F.floor(c.cast("double") * 1000 + 0.5001) / 1000
-    return out.select(
-        "rack", secs().alias("t"), F.size("X").cast("long").alias("width"),
-        near(F.col("X")[0]).alias("x0"), near(F.col("y")[1]).alias("y1"),
-    )
+    cells = out.select("rack", secs().alias("t"), F.size("X").cast("long").alias("width"), F.posexplode(F.concat("X", "y")).alias("place", "value"))
+    near = F.floor(F.col("value").cast("double") * 1000 + 0.5001) / 1000
+    return cells.select("rack", "t", "width", F.col("place").cast("long").alias("place"), near.alias("value"))
 
 
 @query(f"WITH {v.RACKS_SQL}, x AS (SELECT rack, t, {v.lag_sql('fan', 1, 'rack')} AS fan_lag1 FROM racks), "
