@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from gridcast.llm import words as W
 from gridcast.llm.frames import KEY, arrow_pass, components, first_of_each, give_back, key_filter, keyed, passes, run_pass, small_batches
-from gridcast.plans.storage import materialize
+from gridcast.plans.storage import materialize, scratch_path
 
 ORDER_BITS = 18
 #: Bins of the histogram of a set; a bin that is full in both sets of a pair proves nothing.
@@ -291,7 +291,11 @@ def _class_sets(members: DataFrame, listed: DataFrame, rows: DataFrame, order, s
         one = found.join(F.broadcast(places), list(KEY))
     else:
         one = found.join(places, list(KEY)).dropDuplicates([*KEY])
-    return materialize(one.select("s", "n", "bins", "tokens"))
+    # hashes do not compress, and a codec would hold whole pages of them outside the heap
+    path = scratch_path(rows.sparkSession, "sets")
+    one = one.select("s", "n", "bins", "tokens")
+    one.write.option("compression", "none").parquet(path)
+    return rows.sparkSession.read.schema(one.schema).parquet(path)
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
