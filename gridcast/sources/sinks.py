@@ -86,7 +86,8 @@ def cached_predictions(
     """Predictions of ``score(rows)``, computed once per split, model and content.
 
     The key is taken from ``columns`` of the rows: entity, time and all features, so
-    that neither equal lengths nor equal values at other times share an entry. A note written after the table marks it as complete.
+    that neither equal lengths nor equal values at other times share an entry. ``rows`` should be stored:
+    sums of doubles that are computed again may differ in the last bit and miss the entry. A note written after the table marks it as complete.
     """
     spark = rows.sparkSession
     place = f"{path}/split={split}/model={model_key}/rows={content_key(rows, columns)}"

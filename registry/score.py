@@ -39,8 +39,12 @@ MODEL_SQL = f"model_w AS (SELECT rack, t, {MEAN3} FROM racks), model AS (" + " U
 
 
 def model_predictions(spark, sf):
+    return predictions_of(v.racks(spark, sf))
+
+
+def predictions_of(racks):
     names = [*v.TARGETS, *[f"{c}_roll3_mean" for c in v.TARGETS]]
-    feats = features.features_from_list(v.racks(spark, sf), v.RACKS, names)
+    feats = features.features_from_list(racks, v.RACKS, names)
     rows = features.add_labels(feats, v.RACKS, v.TARGETS, 3)
     return evaluate.to_long(rows, {c: (f"y_{c}", f"{c}_roll3_mean") for c in v.TARGETS}, ["rack", "ts"])
 

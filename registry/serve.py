@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from gridcast.operators import evaluate, features, models, profile, stats
 from gridcast.operators.grid import resample_channels
 from gridcast.plans import forecast, ingest
-from gridcast.plans.storage import scratch_path
+from gridcast.plans.storage import materialize, scratch_path
 from gridcast.sources import sinks, tables
 from gridcast.spec import SeriesSpec
 from registry import views as v
 from registry.grid import cooler_key, probe_label, probe_lines
 from registry.learn import XY, XY_CTE, YS, k_ahead
-from registry.score import MODEL_SQL, PRED, model_predictions, rounded
+from registry.score import MODEL_SQL, PRED, model_predictions, predictions_of, rounded
 from registry.views import rs, secs
 
 QUERIES: dict = {}
@@ -281,15 +281,13 @@ def metrics_csv(spark, sf):
 def prediction_cache(spark, sf):
     """The second call finds what the first one wrote."""
     path = scratch_path(spark, "cache")
-    rows = v.racks(spark, sf)
-
-    def score(_):
-        return model_predictions(spark, sf)
+    # stored, as means taken twice may differ in the last bit, and with them the key of the content
+    rows = materialize(v.racks(spark, sf))
 
     def refuse(_):
         raise AssertionError("the cache was missed")
 
     key = ["rack", "ts", *v.EXOG, *v.TARGETS]
-    sinks.cached_predictions(rows, path, "all", "mean3", key, score)
+    sinks.cached_predictions(rows, path, "all", "mean3", key, predictions_of)
     out = sinks.cached_predictions(rows, path, "all", "mean3", key, refuse)
     return rounded(out, ["y_true", "y_pred"], "rack", secs().alias("t"), "target")

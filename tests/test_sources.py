@@ -175,3 +175,19 @@ def test_cache_is_keyed_by_content(spark):
 def test_spec_row(spark):
     row = sinks.dataset_spec(spark, "10s", ["a"], ["b"]).first()
     assert row.target_cols_normalized == ["b_z"] and row.notes == []
+
+
+def test_prediction_cache_is_found_though_means_vary(spark, monkeypatch):
+    """Means of the same rows may differ in the last bit from one run to the next, as their sums are shuffled."""
+    from random import random
+
+    from registry import serve, views
+
+    exact = views.racks
+    noise = F.udf(lambda x: x if x is None else x * (1 + random() * 1e-12), "double").asNondeterministic()
+    monkeypatch.setattr(views, "racks", lambda spark, sf: exact(spark, sf).withColumn("load", noise("load")))
+    day = F.timestamp_seconds(F.lit(788_918_400) + F.col("id") * 10 * 86_400)
+    numbers = [(F.col("id") % 13 + i).cast("double").alias(c) for i, c in enumerate(("l_extendedprice", "l_discount", "l_tax", "l_quantity"))]
+    sf = scratch_path(spark, "tables")
+    spark.range(200).select((F.col("id") % 2).alias("l_suppkey"), day.alias("l_shipdate"), *numbers).write.parquet(f"{sf}/lineitem.parquet")
+    assert serve.prediction_cache(spark, sf).count() == serve.model_predictions(spark, sf).count() > 0
