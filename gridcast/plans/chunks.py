@@ -53,15 +53,25 @@ def salted_join(
     """Join one-row-per-entity facts to many rows per entity.
 
     A hot entity is spread over ``salts`` groups by the hash of the ``spread``
-    columns. ``known_small`` says that the size of ``small`` has been checked.
+    columns. ``known_small`` says that the size of ``small`` has been checked; otherwise both sides are
+    shuffled, as the planner would judge ``small`` by its compressed file, without the copies.
     """
     left = df.withColumn(SALT, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = small.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    if known_small:
-        right = F.broadcast(right)
+    right = F.broadcast(right) if known_small else right.hint("merge")
     return left.join(right, [*keys, SALT], how).drop(SALT)
 
 
+#: Values of facts that are broadcast: the driver holds them three times, with up to 60 bytes for each.
+MAX_CELLS = 500_000
+
+
+def few_facts(stored: DataFrame, width: int, max_cells: int = MAX_CELLS) -> bool:
+    """Whether stored facts of ``width`` values a row are few enough to be broadcast."""
+    most = max_cells // width
+    return stored.limit(most + 1).count() <= most
+
+
 def join_facts(
     df: DataFrame,
     facts: DataFrame,
@@ -69,7 +79,7 @@ def join_facts(
     spread: Sequence[str],
     how: str = "inner",
     width: int | None = None,
-    max_cells: int = 2_000_000,
+    max_cells: int = MAX_CELLS,
     stored: bool = False,
 ) -> DataFrame:
     """Join fitted facts (one row per entity) to the rows they belong to.
@@ -79,8 +89,7 @@ def join_facts(
     beyond that a salted join takes over.
     """
     facts = facts if stored else materialize(facts)
-    most = max_cells // (width or len(facts.columns))
-    if facts.limit(most + 1).count() > most:
+    if not few_facts(facts, width or len(facts.columns), max_cells):
         return salted_join(df, facts, keys, spread, how)
     if keys:
         return df.join(F.broadcast(facts), list(keys), how)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridcast import SeriesSpec
 from gridcast.operators import align, evaluate, features, grid, split
 from gridcast.plans.chunks import BUCKET, CHUNK, POS, bucketed, join_facts, positions, prefix_sums, running_sum, with_halo, with_pos
-from tests.data import series, skewed, values
+from tests.data import at, series, skewed, values
 
 GRID = SeriesSpec(("k",), "ts", step_s=10, gap_free=True, chunk_rows=16)
 
@@ -173,6 +173,13 @@ def test_facts_join_alike_broadcast_or_salted(spark, keys, how):
     assert as_rows(small) == as_rows(large)
 
 
+def test_many_facts_are_not_broadcast_for_their_small_file(spark):
+    facts = spark.range(3000).select(F.col("id").alias("k"), *[F.lit(0.5).alias(f"c{i}") for i in range(40)])
+    df = spark.range(6000).select((F.col("id") % 3000).alias("k"), "id")
+    got = join_facts(df, facts, ["k"], ["id"], max_cells=1000)
+    assert "BroadcastHashJoin" not in plan(got) and got.count() == 6000
+
+
 def test_the_filter_and_the_columns_reach_the_scan(spark):
     from registry import views
 

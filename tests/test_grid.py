@@ -105,6 +105,22 @@ def test_nearest_without_series_rows(spark):
     assert [(r.req, r.v) for r in out] == [(1, None)]
 
 
+def test_many_answers_are_not_broadcast(spark, monkeypatch):
+    """Stored answers compress well, so the planner took them and their copies for small."""
+    df = series(spark, range(50))
+    asked = spark.range(3000).select(
+        F.when(F.col("id") % 7 > 0, "a").alias("k"), F.timestamp_seconds(F.lit(1704067200) + F.greatest(F.col("id") % 600 - 100, F.lit(0))).alias("ts"), F.col("id").alias("req"))
+    req = asked.unionByName(spark.createDataFrame([("a", None, -1)] * 40, "k string, ts timestamp, req long"))
+    want = align.nearest_in_time(req, df, ["v"], 60, ["k"])
+    monkeypatch.setattr(align, "few_facts", lambda *_: False)
+    us = df.withColumn("us", F.unix_micros("ts"))
+    got = align.nearest(req.withColumn("us", F.unix_micros("ts")), us, "us", ["v"], 60_000_000, ["k"], "m", max_bucket_rows=50)
+    p = got._jdf.queryExecution().executedPlan().toString()
+    assert p.count("SortMergeJoin") == 1 and "Generate explode" in p  # the crowded names alone are broadcast
+    rows = lambda x, m: sorted((r.req, r.v is None, r.v or 0, r[m] is None) for r in x.collect())
+    assert rows(got, "m") == rows(want, "matched_ts")
+
+
 def test_many_requests_for_one_time_are_looked_up_once(spark):
     df = series(spark, [1, 2, 3])
     asked = spark.range(5000).select(F.lit("a").alias("k"), F.lit(at(12)).cast("timestamp").alias("ts"), F.col("id").alias("req"))
