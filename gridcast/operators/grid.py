@@ -18,6 +18,7 @@ from gridcast.plans.chunks import (
     bucketed,
     by,
     chunk_edges,
+    in_parts,
     positions,
     rows_at_rank,
     windowed,
@@ -59,9 +60,11 @@ def resample(
     """Left-labelled bins of ``step_s`` with every bin from first to last row kept.
 
     ``aggregates`` maps output names to aggregates that skip NULLs; bins without
-    rows hold NULL. The empty bins enter as rows of the same aggregation, so the
-    readings are combined before one shuffle and nothing is joined. Their list is
-    expanded chunk by chunk, so a long series is not expanded in one task.
+    rows hold NULL. Only bins with readings are aggregated, so that a task holds
+    no more of them than there are readings. Each chunk of a series adds one row
+    at its first bin, which names its last one; from there every bin, known by the next
+    one of its chunk, is repeated over the gap behind it. Nothing is joined, and a long series is not
+    expanded in one task.
 
     ``span`` (keys, lo, hi as grid indexes) saves the pass that finds it.
     """
@@ -69,31 +72,37 @@ def resample(
     rows = df.where(F.col(spec.ts).isNotNull()).withColumn(POS, spec.index())
     if span is None:
         span = rows.groupBy(*keys).agg(F.min(POS).alias("lo"), F.max(POS).alias("hi"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = (
-        span.where(F.col("lo").isNotNull())
-        .withColumn(
-            CHUNK,
-            F.explode(F.sequence(floor_div(F.col("lo"), n), floor_div(F.col("hi"), n))),
-        )
-        .repartition(parts, *keys, CHUNK)
+    chunks = span.where(F.col("lo").isNotNull()).withColumn(
+        CHUNK, F.explode(F.sequence(floor_div(F.col("lo"), n), floor_div(F.col("hi"), n)))
     )
-    skeleton = chunks.select(
+    starts = chunks.select(
         *keys,
-        F.explode(
-            F.sequence(
-                F.greatest("lo", F.col(CHUNK) * n),
-                F.least("hi", F.col(CHUNK) * n + F.lit(n - 1)),
-            )
-        ).alias(POS),
+        F.greatest("lo", F.col(CHUNK) * n).alias(POS),
+        F.least("hi", F.col(CHUNK) * n + F.lit(n - 1)).alias("__end"),
     )
     binned = (
-        rows.unionByName(skeleton, allowMissingColumns=True)
+        rows.unionByName(starts, allowMissingColumns=True)
         .groupBy(*keys, POS)
-        .agg(*[a.alias(c) for c, a in aggregates.items()])
+        .agg(*[a.alias(c) for c, a in aggregates.items()], F.max("__end").alias("__end"))
+        .withColumn(CHUNK, floor_div(F.col(POS), n))
     )
-    return binned.select(
-        *keys, spec.index_to_ts(F.col(POS)).alias(spec.ts), *aggregates
+    w = by([*keys, CHUNK]).orderBy(POS)
+    laid = in_parts(binned, [*keys, CHUNK]).withColumns(
+        {
+            "__end": F.max("__end").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+            "__next": F.lead(POS).over(w),
+        }
+    )
+    # a given span may leave readings out: no bin is added before or behind it
+    last = F.when(F.col("__end").isNull(), F.col(POS)).otherwise(
+        F.greatest(POS, F.least(F.col("__next") - 1, "__end"))
+    )
+    bins = laid.select(*keys, POS, *aggregates, F.explode(F.sequence(POS, last)).alias("__bin"))
+    here = F.col("__bin") == F.col(POS)
+    return bins.select(
+        *keys,
+        spec.index_to_ts(F.col("__bin")).alias(spec.ts),
+        *[F.when(here, F.col(c)).alias(c) for c in aggregates],
     )
 
 
@@ -143,7 +152,7 @@ def interpolate(
     edges = chunk_edges(
         base.withColumn(CHUNK, floor_div(F.col(POS), spec.chunk_rows)), keys, cols, at
     ).drop(*[f"{c}__before" for c in cols])
-    laid = with_halo(base, spec.chunk_rows, limit, 0)
+    laid = in_parts(with_halo(base, spec.chunk_rows, limit, 0), [*keys, CHUNK])
     w = by([*keys, CHUNK]).orderBy(POS)
     back_to_front = by([*keys, CHUNK]).orderBy(F.desc(POS))
     valid = {

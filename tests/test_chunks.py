@@ -204,3 +204,26 @@ def test_prefix_sums(spark, keys, span):
         same = [(i, x or 0) for k, i, x in rows if not keys or k == r.k]
         assert (r.before, r["all"]) == (sum(x for i, x in same if i < r.i), sum(x for _, x in same))
     assert len(got) == len(rows)
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+@pytest.mark.parametrize("given", [None, (-9, 40), (2, 21), (30, 33)])
+def test_resample_fills_every_bin_of_the_span_and_aggregates_none_of_them(spark, keys, given):
+    rows = [("a", -7, 1.0), ("a", -7, 3.0), ("a", 0, 5.0), ("a", 3, None), ("a", 4, 2.0), ("a", 26, 7.0), (None, 5, 8.0), (None, 12, 9.0), ("b", 1, 4.0)]
+    df = spark.createDataFrame([(k, at(i * 10), x) for k, i, x in rows] + [("a", None, 1.0)], "k string, ts timestamp, v double").repartition(3)
+    spec = SeriesSpec(tuple(keys), "ts", step_s=10, chunk_rows=4, origin_us=1704067200 * 10**6)
+    names = sorted({k for k, _, _ in rows if keys}, key=str) or [None]
+    span = given and spark.createDataFrame([(k, *given) for k in names], "k string, lo long, hi long").select(*keys, "lo", "hi")
+    got = grid.resample_mean(df, spec, ["v"], span)
+    want = {}
+    for name in names:
+        own = [(i, x) for k, i, x in rows if not keys or k == name]
+        lo, hi = given or (min(i for i, _ in own), max(i for i, _ in own))
+        for i in {*range(lo, hi + 1), *(i for i, _ in own)}:
+            seen = [x for j, x in own if j == i and x is not None]
+            want[name, at(i * 10)] = sum(seen) / len(seen) if seen else None
+    found = [((r.k if keys else None, r.ts), r.v) for r in got.collect()]
+    assert len(found) == len(want) and dict(found) == want
+    # the plan is written from the result down: bins are added above the aggregation
+    p = plan(got).split("== Initial Plan ==")[-1]
+    assert "Generate explode(sequence(__pos" in p[: p.index("Aggregate")] and "REPARTITION_BY_NUM" in p
