@@ -25,6 +25,8 @@ from gridcast.llm.wavelet import WaveletMatrix
 from gridcast.plans.order import PART_BITS, range_starts
 
 SHARD_TOKENS = 1 << 20
+#: Pieces remembered by a Python worker (twice this many, about 200 bytes each): it holds little else.
+REMEMBERED = 400_000
 
 
 def write_tokens(
@@ -52,7 +54,7 @@ def write_tokens(
     kind, end = _arrow_type(rows), np.array([end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, start = encoder(tokenizer).encode, 0
+        encode, start = encoder(tokenizer, REMEMBERED).encode, 0
         ids: list[pa.Array] = []
         tokens: list[np.ndarray] = []
         sizes: list[np.ndarray] = []

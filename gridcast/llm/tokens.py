@@ -26,7 +26,7 @@ REMEMBERED = 150_000
 #: Longer pieces are not remembered.
 LONGEST = 64
 #: Bytes of text encoded at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 # The steps before the merges that make the cuts below exact.
 NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -130,13 +130,12 @@ class Encoder:
 
     def _look_up(self, keys: list[bytes]) -> list[bytes]:
         recent, older = self.recent, self.older
-        found = [recent.get(k) for k in keys]
-        for i, value in enumerate(found):
-            if value is None:
-                key = keys[i]
-                found[i] = value = older.get(key) or self._ask(key)
-                if len(key) <= LONGEST:
-                    recent[key] = value
+        found = list(map(recent.get, keys))
+        for i in [i for i, value in enumerate(found) if value is None]:
+            key = keys[i]
+            found[i] = value = older.get(key) or self._ask(key)
+            if len(key) <= LONGEST:
+                recent[key] = value
         if len(recent) > self.remembered:
             self.recent, self.older = {}, recent
         return found
@@ -144,6 +143,9 @@ class Encoder:
     def _ask(self, key: bytes) -> bytes:
         """Ids of a piece, by the merges alone where the steps before them are known to do nothing more."""
         text = key.decode()
+        if key.isalpha():  # of ASCII letters, which the merges take as they are
+            ids = [t.id for t in self.merges(text)]
+            return struct.pack(f"<{len(ids)}I", *ids)
         if SIMPLE.fullmatch(key):
             ids = [t.id for t in self.merges(text.translate(self.letters))]
         else:

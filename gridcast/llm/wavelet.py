@@ -77,9 +77,9 @@ class WaveletMatrix:
         for level in range(max(top.bit_length(), 1))[::-1]:
             ones = (now >> now.dtype.type(level)) & now.dtype.type(1) == 1
             planes.append(Plane.of(ones))
-            low = now[~ones]
+            low = now[np.flatnonzero(~ones)]  # by places: masks of mixed bits take five times as long
             zeros.append(len(low))
-            now = np.concatenate([low, now[ones]])
+            now = np.concatenate([low, now[np.flatnonzero(ones)]])
         return cls(len(ids), planes, zeros, np.asarray(splits, np.int64))
 
     def to_bytes(self) -> bytes:
@@ -143,7 +143,7 @@ class WaveletMatrix:
         for i, (plane, zeros) in enumerate(zip(self.planes[::-1], self.zeros[::-1])):
             ones = plane.bits()
             back = np.empty_like(now)
-            back[~ones] = now[:zeros]
-            back[ones] = now[zeros:] | now.dtype.type(1 << i)
+            back[np.flatnonzero(~ones)] = now[:zeros]
+            back[np.flatnonzero(ones)] = now[zeros:] | now.dtype.type(1 << i)
             now = back
         return now

@@ -192,3 +192,15 @@ def test_token_files_of_nothing(spark):
     path = scratch_path(spark, "tokens")
     token_files.write_tokens(spark.createDataFrame([], data.SCHEMA), path, TOKENIZER)
     assert token_files.read_documents(spark, path).count() == 0
+
+
+def test_pieces_of_plain_letters_go_straight_to_the_merges():
+    from public_tokenizers import path
+
+    from gridcast.llm.tokens import Encoder
+
+    e = Encoder(path("word_bpe_49k.json"))
+    e.letters = None  # the table of other letters; using it fails now
+    for word in ("a", "hello", "zzqxv" * 9):
+        ids = e.tokenizer.encode(word, add_special_tokens=False).ids
+        assert e._ask(word.encode()) == b"".join(i.to_bytes(4, "little") for i in ids)
