@@ -14,6 +14,8 @@ from gridcast.plans.chunks import (
     CHUNK,
     HOME,
     POS,
+    SALT,
+    SALTS,
     TOTAL,
     bucketed,
     by,
@@ -61,7 +63,9 @@ def resample(
 
     ``aggregates`` maps output names to aggregates that skip NULLs; bins without
     rows hold NULL. Only bins with readings are aggregated, so that a task holds
-    no more of them than there are readings. Each chunk of a series adds one row
+    no more of them than there are readings. Where bins hold few readings, combining them before a
+    shuffle would keep a bin for almost each row of a file's row group; so readings are spread first, those of a
+    bin by their time over at most ``SALTS`` places, which are combined there and then summed up. Each chunk of a series adds one row
     at its first bin, which names its last one; from there every bin, known by the next
     one of its chunk, is repeated over the gap behind it. Nothing is joined, and a long series is not
     expanded in one task.
@@ -80,8 +84,9 @@ def resample(
         F.greatest("lo", F.col(CHUNK) * n).alias(POS),
         F.least("hi", F.col(CHUNK) * n + F.lit(n - 1)).alias("__end"),
     )
+    salted = rows.withColumn(SALT, F.pmod(F.xxhash64(spec.ts), F.lit(SALTS)).cast("int"))
     binned = (
-        rows.unionByName(starts, allowMissingColumns=True)
+        in_parts(salted.unionByName(starts, allowMissingColumns=True), [*keys, POS, SALT])
         .groupBy(*keys, POS)
         .agg(*[a.alias(c) for c, a in aggregates.items()], F.max("__end").alias("__end"))
         .withColumn(CHUNK, floor_div(F.col(POS), n))

@@ -33,6 +33,8 @@ from gridcast.spec import SeriesSpec, floor_div
 POS, CHUNK, BUCKET, HOME = "__pos", "__chunk", "__bucket", "__home"
 OFFSET, TOTAL = "__offset", "__total"
 SALT = "__salt"
+#: Places that the rows of one entity, or one bin, are spread over.
+SALTS = 32
 
 Stage = Callable[[WindowSpec], Mapping[str, Column]]
 
@@ -56,7 +58,7 @@ def salted_join(
     keys: Sequence[str],
     spread: Sequence[str],
     how: str = "inner",
-    salts: int = 32,
+    salts: int = SALTS,
     known_small: bool = False,
 ) -> DataFrame:
     """Join one-row-per-entity facts to many rows per entity.

@@ -227,3 +227,29 @@ def test_resample_fills_every_bin_of_the_span_and_aggregates_none_of_them(spark,
     # the plan is written from the result down: bins are added above the aggregation
     p = plan(got).split("== Initial Plan ==")[-1]
     assert "Generate explode(sequence(__pos" in p[: p.index("Aggregate")] and "REPARTITION_BY_NUM" in p
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_readings_are_spread_before_any_bin_is_held(spark, keys):
+    # one partition with many sparse bins, and one bin with many readings (some at one time)
+    sparse = spark.range(300).select(F.concat(F.lit("s"), F.col("id") % 30).alias("k"), (F.col("id") * 10).alias("s"), (F.col("id") % 7).cast("double").alias("v"))
+    crowd = spark.range(500).select(F.lit("hot").alias("k"), (F.lit(40.0) + F.greatest(F.col("id") % 100 - 50, F.lit(0)) / 10).alias("s"), (F.col("id") % 9).cast("double").alias("v"))
+    t0 = F.lit(1_704_067_200_000_000)
+    df = sparse.unionByName(crowd).select("k", F.timestamp_micros((t0 + F.col("s") * 1_000_000).cast("long")).alias("ts"), "v").coalesce(1)
+    spec = SeriesSpec(tuple(keys), "ts", step_s=10, chunk_rows=4)
+    got = grid.resample_mean(df, spec, ["v"])
+    p = plan(got).split("== Initial Plan ==")[-1]
+    # from the result down: final aggregation, exchange, partial aggregation, the spread by bin and time
+    held = p.rindex("partial_avg")
+    assert "REPARTITION_BY_NUM" in p[held:] and "__salt" in p[held:]
+    rows = df.collect()
+    bins = {}
+    for r in rows:
+        bins.setdefault((r.k if keys else None, int((r.ts - at(0)).total_seconds() // 10)), []).append(r.v)
+    found = {(r.k if keys else None, int((r.ts - at(0)).total_seconds() // 10)): r.v for r in got.collect()}
+    for name in {k for k, _ in bins}:
+        own = [i for k, i in bins if k == name]
+        for i in range(min(own), max(own) + 1):
+            seen = bins.get((name, i))
+            assert found.pop((name, i)) == (pytest.approx(sum(seen) / len(seen)) if seen else None)
+    assert not found
