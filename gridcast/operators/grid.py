@@ -8,6 +8,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridcast.plans.chunks import (
     BUCKET,
@@ -58,6 +59,7 @@ def resample(
     spec: SeriesSpec,
     aggregates: Mapping[str, Column],
     span: DataFrame | None = None,
+    merged: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Left-labelled bins of ``step_s`` with every bin from first to last row kept.
 
@@ -70,9 +72,14 @@ def resample(
     one of its chunk, is repeated over the gap behind it. Nothing is joined, and a long series is not
     expanded in one task.
 
+    ``merged`` maps output names to aggregates over the columns that ``aggregates`` give for each place: then
+    places are summed up chunk by chunk, in all shuffle partitions. Without it Spark brings the places of a bin together, in as
+    many tasks as their compressed size asks for.
+
     ``span`` (keys, lo, hi as grid indexes) saves the pass that finds it.
     """
     keys, n = spec.keys, spec.chunk_rows
+    values = list(aggregates if merged is None else merged)
     rows = df.where(F.col(spec.ts).isNotNull()).withColumn(POS, spec.index())
     if span is None:
         span = rows.groupBy(*keys).agg(F.min(POS).alias("lo"), F.max(POS).alias("hi"))
@@ -85,14 +92,17 @@ def resample(
         F.least("hi", F.col(CHUNK) * n + F.lit(n - 1)).alias("__end"),
     )
     salted = rows.withColumn(SALT, F.pmod(F.xxhash64(spec.ts), F.lit(SALTS)).cast("int"))
+    spread = in_parts(salted.unionByName(starts, allowMissingColumns=True), [*keys, POS, SALT])
     binned = (
-        in_parts(salted.unionByName(starts, allowMissingColumns=True), [*keys, POS, SALT])
-        .groupBy(*keys, POS)
+        spread.groupBy(*keys, POS, *([] if merged is None else [SALT]))
         .agg(*[a.alias(c) for c, a in aggregates.items()], F.max("__end").alias("__end"))
         .withColumn(CHUNK, floor_div(F.col(POS), n))
     )
+    laid = in_parts(binned, [*keys, CHUNK])
+    if merged is not None:
+        laid = laid.groupBy(*keys, CHUNK, POS).agg(*[a.alias(c) for c, a in merged.items()], F.max("__end").alias("__end"))
     w = by([*keys, CHUNK]).orderBy(POS)
-    laid = in_parts(binned, [*keys, CHUNK]).withColumns(
+    laid = laid.withColumns(
         {
             "__end": F.max("__end").over(w.rowsBetween(Window.unboundedPreceding, 0)),
             "__next": F.lead(POS).over(w),
@@ -102,20 +112,37 @@ def resample(
     last = F.when(F.col("__end").isNull(), F.col(POS)).otherwise(
         F.greatest(POS, F.least(F.col("__next") - 1, "__end"))
     )
-    bins = laid.select(*keys, POS, *aggregates, F.explode(F.sequence(POS, last)).alias("__bin"))
+    bins = laid.select(*keys, POS, *values, F.explode(F.sequence(POS, last)).alias("__bin"))
     here = F.col("__bin") == F.col(POS)
     return bins.select(
         *keys,
         spec.index_to_ts(F.col("__bin")).alias(spec.ts),
-        *[F.when(here, F.col(c)).alias(c) for c in aggregates],
+        *[F.when(here, F.col(c)).alias(c) for c in values],
     )
 
 
+def _resample_means(
+    df: DataFrame, spec: SeriesSpec, values: Mapping[str, Column], span: DataFrame | None = None
+) -> DataFrame:
+    """Means of ``values`` per bin: the mean of the one place that has readings, else sums over counts."""
+    places, merged = {}, {}
+    for i, (out, x) in enumerate(values.items()):
+        kind = df.select(x.alias("x")).schema["x"].dataType
+        mean = df.select(F.avg(x).alias("x")).schema["x"].dataType
+        if not isinstance(kind, T.NumericType):
+            return resample(df, spec, {c: F.avg(v) for c, v in values.items()}, span)
+        summed = x if isinstance(kind, T.DecimalType) else x.cast("double")
+        places |= {f"__m{i}": F.avg(x), f"__s{i}": F.sum(summed), f"__n{i}": F.count(x)}
+        several = F.try_divide(F.sum(f"__s{i}"), F.sum(f"__n{i}")).cast(mean)
+        merged[out] = F.when(F.count(f"__m{i}") == 1, F.max(f"__m{i}")).otherwise(several)
+    return resample(df, spec, places, span, merged)
+
+
 def resample_mean(
     df: DataFrame, spec: SeriesSpec, cols: Sequence[str], span: DataFrame | None = None
 ) -> DataFrame:
     """Mean per bin and column; the result is a gap-free series."""
-    return resample(df, spec, {c: F.avg(c) for c in cols}, span)
+    return _resample_means(df, spec, {c: F.col(c) for c in cols}, span)
 
 
 def resample_channels(
@@ -125,10 +152,8 @@ def resample_channels(
 
     ``channels`` maps a channel value to its output column.
     """
-    return resample(
-        df,
-        spec,
-        {out: F.avg(F.when(F.col(channel) == name, F.col(value))) for name, out in channels.items()},
+    return _resample_means(
+        df, spec, {out: F.when(F.col(channel) == name, F.col(value)) for name, out in channels.items()}
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridcast.operators.features import supervised
-from gridcast.operators.grid import ffill, resample, resample_mean
+from gridcast.operators.grid import ffill, resample_mean
 from gridcast.operators.split import time_split
 from gridcast.plans.storage import materialize
 from gridcast.spec import SeriesSpec
@@ -79,7 +79,7 @@ def shipments(spark: SparkSession, sf: str) -> DataFrame:
 def racks(spark: SparkSession, sf: str) -> DataFrame:
     """(rack, ts, fan, supply, load, t_low, t_high): 30-day means, filled by one."""
     cols = [*EXOG, *TARGETS]
-    grid = resample(shipments(spark, sf), RACKS_RAW, {c: F.avg(c) for c in cols})
+    grid = resample_mean(shipments(spark, sf), RACKS_RAW, cols)
     return ffill(grid, RACKS, cols, 1)
 
 

@@ -253,3 +253,25 @@ def test_readings_are_spread_before_any_bin_is_held(spark, keys):
             seen = bins.get((name, i))
             assert found.pop((name, i)) == (pytest.approx(sum(seen) / len(seen)) if seen else None)
     assert not found
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_no_task_holds_bins_merged_by_their_compressed_size(spark, keys):
+    # bins of one reading, one bin over many places, one of missing readings; numbers of every kind
+    rows = [("a", i, i % 7) for i in range(0, 200, 2)] + [("hot", 3, i % 9) for i in range(90)] + [("a", 5, None), ("b", 1, None)]
+    df = spark.createDataFrame([(k, at(i * 10 + j % 80 / 10), x) for j, (k, i, x) in enumerate(rows)], "k string, ts timestamp, i int").repartition(3)
+    df = df.select("k", "ts", "i", F.col("i").cast("double").alias("d"), F.col("i").cast("decimal(15,2)").alias("p"))
+    got = grid.resample_mean(df, SeriesSpec(tuple(keys), "ts", step_s=10, chunk_rows=4, origin_us=1704067200 * 10**6), ["i", "d", "p"])
+    assert [t for _, t in got.dtypes[-3:]] == [t for _, t in df.select(F.avg("i"), F.avg("d"), F.avg("p")).dtypes]
+    # AQE merges only exchanges that Spark adds by itself; none of them deals out bins
+    p = plan(got).split("== Initial Plan ==")[-1]
+    assert not [line for line in p.splitlines() if "ENSURE_REQUIREMENTS" in line and "__pos" in line]
+    bins = {}
+    for k, i, x in rows:
+        bins.setdefault((k if keys else None, i), []).append(x)
+    found = {(r.k if keys else None, int((r.ts - at(0)).total_seconds() // 10)): (r.i, r.d, r.p) for r in got.collect()}
+    for name, i in bins:
+        seen = [x for x in bins[name, i] if x is not None]
+        for x in found[name, i]:
+            assert x is None if not seen else float(x) == pytest.approx(sum(seen) / len(seen), abs=1e-6)
+    assert sum(any(x is not None for x in v) for v in found.values()) == sum(any(x is not None for x in v) for v in bins.values())
