@@ -325,7 +325,10 @@ def _verify_crowds(crowds: DataFrame, sets: DataFrame, percent: int) -> DataFram
     rows = rows.where("block <> other OR blocks = 1")  # a unit of two blocks compares each with itself too
     low, high = F.least("block", "other"), F.greatest("block", "other")
     units = rows.select("s", F.xxhash64("crowd", low, high).alias("k0"), F.xxhash64(high, low, "crowd").alias("k1"))
-    held = units.join(sets.select("s", "tokens"), "s").select("s.*", "k0", "k1", "tokens")
+    stored, names = sets.select("s", "tokens"), materialize(crowds.select("s").distinct())
+    if _few(names):  # only the sets of these classes are shuffled then
+        stored = stored.join(F.broadcast(names), "s", "left_semi")
+    held = units.join(stored, "s").select("s.*", "k0", "k1", "tokens")
     return run_pass(held, ["k0", "k1"], _unit_links(percent), LINK)
 
 
@@ -430,17 +433,18 @@ def _links(rows: DataFrame, listed: DataFrame, classes: DataFrame, order, size:
     wanted = shared.select(*group).unionByName(several).distinct()
     members = materialize(classes.join(wanted, group, "left_semi").withColumn("s", F.struct("s0", "s1")))
     sets = _class_sets(members, listed, rows, order, size)
+    few = _few(members)  # there are no more groups than classes
     links = None
     # twice: neighbours among the components that a group or a token still has; here two rounds of them will do
     for seed in (1, 2):
         held = materialize(_with_roots(members.select("s0", "s1", "n", *group), components(links, rounds=2) if links else None))
-        chain = _plausible(_neighbours(held, shared, percent, seed), sets, percent)
+        chain = _plausible(_neighbours(held, shared, percent, seed, few), sets, percent)
         found = materialize(_verify_pairs(chain, sets, percent))
         links = found if links is None else links.unionByName(found)
     # every pair that the bounds allow and that is still apart
     held = materialize(_with_roots(members.select("s0", "s1", "n", *group), components(links)))
     span = materialize(_spans(held))
-    mixed = materialize(_mixed_tokens(shared, span).drop("s"))
+    mixed = materialize(_mixed_tokens(shared, F.broadcast(span) if few else span).drop("s"))
     crowded = materialize(mixed.groupBy("token").agg(F.sum("k").alias("k")).where(F.col("k") > CROWD).select("token"))
     crowds = materialize(_crowds(mixed.join(crowded, "token"), held, span))
     pairs = _pairs_apart(mixed.join(crowded, "token", "left_anti"), shared, held, span, percent)
@@ -469,9 +473,10 @@ def _spans(held: DataFrame) -> DataFrame:
     )
 
 
-def _neighbours(held: DataFrame, shared: DataFrame, percent: int, seed: int) -> DataFrame:
+def _neighbours(held: DataFrame, shared: DataFrame, percent: int, seed: int, few: bool) -> DataFrame:
     """Pairs of neighbours, by size, of one class for each component of a token or a group."""
-    mixed = _mixed_tokens(shared, _spans(held))
+    span = materialize(_spans(held))
+    mixed = _mixed_tokens(shared, F.broadcast(span) if few else span)
     pick = F.xxhash64("token", "g0", "g1", F.lit(seed))
     one = mixed.groupBy("token", "low").agg(F.min_by(F.struct("n", "s", "pos"), pick).alias("r"))
     last = F.lag("r").over(Window.partitionBy("token").orderBy("r.n", F.xxhash64("r.s", F.lit(seed)), "r.s"))
@@ -485,10 +490,13 @@ def _neighbours(held: DataFrame, shared: DataFrame, percent: int, seed: int) ->
 
 
 def _mixed_tokens(shared: DataFrame, span: DataFrame) -> DataFrame:
-    """Rows of tokens whose groups are not all in one component."""
-    rows = shared.join(span, ["g0", "g1"])
-    ends = rows.groupBy("token").agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a <> b").select("token")
-    return rows.join(ends, "token")
+    """Rows of tokens whose groups are not all in one component.
+
+    Tokens meet in narrow rows; what is known of a group is joined to those that are left.
+    """
+    ends = shared.join(span.select("g0", "g1", "low", "high"), ["g0", "g1"]).groupBy("token")
+    ends = ends.agg(F.min("low").alias("a"), F.max("high").alias("b")).where("a <> b").select("token")
+    return shared.join(ends, "token").join(span, ["g0", "g1"])
 
 
 def _enough_shared(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
