@@ -501,10 +501,16 @@ def _mixed_tokens(shared: DataFrame, span: DataFrame) -> DataFrame:
 
 def _enough_shared(pairs: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     """Pairs of groups whose common prefix tokens, and all that comes after the last, suffice."""
-    left = shared.select(F.col("g0").alias("l_g0"), F.col("g1").alias("l_g1"), "token", F.col("n").alias("l_n"), F.col("pos").alias("l_pos"))
-    both = pairs.join(left, ["l_g0", "l_g1"]).join(shared, ["g0", "g1", "token"])
-    seen = both.groupBy("l_g0", "l_g1", "g0", "g1").agg(
-        F.count(F.lit(1)).alias("c"), F.max("l_pos").alias("i"), F.max("pos").alias("j"), F.min("l_n").alias("l_n"), F.min("n").alias("n")
+    rows = shared.groupBy("g0", "g1").agg(F.min("n").alias("n"), F.collect_list("token").alias("tokens"), F.collect_list("pos").alias("places"))
+    rows = materialize(rows)
+    left = rows.select(*[F.col(c).alias(f"l_{c}") for c in rows.columns])
+    both = pairs.join(left, ["l_g0", "l_g1"]).join(rows, ["g0", "g1"]).withColumn("common", F.array_intersect("l_tokens", "tokens"))
+    # tokens are unsigned, and places follow their order
+    last = F.array_max(F.transform("common", lambda t: t.bitwiseXOR(F.lit(-(1 << 63))))).bitwiseXOR(F.lit(-(1 << 63)))
+    seen = both.where(F.size("common") > 0).withColumn("last", last).select(
+        "l_g0", "l_g1", "g0", "g1", "l_n", "n", F.size("common").alias("c"),
+        F.element_at("l_places", F.array_position("l_tokens", F.col("last")).cast("int")).alias("i"),
+        F.element_at("places", F.array_position("tokens", F.col("last")).cast("int")).alias("j"),
     )
     most = F.col("c") + F.least(F.col("l_n") - F.col("i"), F.col("n") - F.col("j")) - 1
     return seen.where((100 + percent) * most >= percent * (F.col("l_n") + F.col("n"))).select("l_g0", "l_g1", "g0", "g1")
